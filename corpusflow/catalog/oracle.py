@@ -206,7 +206,7 @@ SELECT query_id, rank,
 SELECT session_id, seq, CASE WHEN seq > 0 THEN 'CONVERSATION HISTORY:' || chr(10) || context || chr(10) || chr(10)
        || 'FOLLOW-UP: ' || content END AS request FROM ({CONTEXT})""",
     "rewrite_merge": f"""
-SELECT session_id, seq, CASE WHEN seq = 0 OR length(content) <= 150 THEN content WHEN length(content) > 400 THEN ''
+SELECT session_id, seq, CASE WHEN seq = 0 OR length(content) <= 100 THEN content WHEN length(content) > 250 THEN ''
        ELSE regexp_replace(lower(content), '^{WS}|{WS}$', '', 'g') END AS search_text
 FROM ({MESSAGES}) WHERE role = 'user'""",
     "session_assign": """
@@ -219,7 +219,7 @@ placed AS (SELECT t.*, e + 2 * (row_number() OVER (PARTITION BY session_id ORDER
 {MESSAGES}
 UNION ALL SELECT session_id, CAST(s AS INTEGER), 'user', message FROM placed
 UNION ALL SELECT session_id, CAST(s + 1 AS INTEGER), 'assistant', answer FROM placed""",
-    "chat_response": f"""WITH {ranked_ctes(USER_TURNS, CHUNKS)}, {TURNS},
+    "chat_response": f"""WITH {ranked_ctes(USER_TURNS, CHUNKS, 0.3)}, {TURNS},
 listed AS (SELECT query_id, string_agg(id, ',' ORDER BY rank) AS ids FROM sources GROUP BY query_id)
 SELECT turn_id, session_id, answer AS response, coalesce(ids, '') AS source_ids, ids IS NOT NULL AS retrieval_used
 FROM turns LEFT JOIN listed ON query_id = turn_id""",

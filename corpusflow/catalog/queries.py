@@ -168,7 +168,7 @@ def vector_upsert_replace(spark, sf):
 
 def vector_scan(spark, sf):
     path = new_path(spark, "index")
-    index.write_snapshot(vectors(spark, sf).withColumn("version", F.lit(1).cast("long")), path)
+    index.write_snapshot(vectors(spark, sf).withColumn("version", F.lit(1).cast("long")), path, buckets=8)
     return index.read_index(spark, path).select(
         "key", "filename", "source_path", "title", "doc_type", "chunk_index", "version",
         F.length("chunk_text").alias("n_chars"), F.coalesce(F.size("embedding"), F.lit(0)).alias("dim"),
@@ -387,7 +387,7 @@ def rewrite_merge(spark, sf):
     """Rewrites by length of the message: none, a padded one, a blank one."""
     turns = messages(spark, sf).filter("role = 'user'")
     n = F.length("content")
-    text = F.when(n > 400, F.lit(" \n ")).when(n > 150, F.concat(F.lit("\t "), F.lower("content"), F.lit(" \n")))
+    text = F.when(n > 250, F.lit(" \n ")).when(n > 100, F.concat(F.lit("\t "), F.lower("content"), F.lit(" \n")))
     rewrites = turns.select("session_id", "seq", text.alias("rewritten"))
     return conv.merge_rewrites(turns, rewrites, ["session_id", "seq"]).select("session_id", "seq", "search_text")
 
@@ -405,8 +405,9 @@ def turn_commit(spark, sf):
 
 
 def chat_response(spark, sf):
+    """With a cutoff that leaves some turns without sources."""
     turns, answers = turns_and_answers(spark, sf)
-    sources = retrieve(user_questions(spark, sf), vectors(spark, sf), dim=DIM)
+    sources = retrieve(user_questions(spark, sf), vectors(spark, sf), dim=DIM, max_distance=0.3)
     ids = F.transform("sources", lambda s: s["id"])
     return conv.responses(turns, sources, answers).select(
         "turn_id", "session_id", "response", F.array_join(ids, ",").alias("source_ids"), "retrieval_used"
@@ -470,7 +471,7 @@ def stream_ingest(spark, sf):
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("modificationTime"),
     )
     jobs.stream_ingest(docs, path, f"{path}/progress", EMBEDDER).awaitTermination()
-    index.compact(spark, path)
+    index.compact(spark, path, buckets=8)
     return index.read_index(spark, path).select(
         "key", "source_path", "title", "chunk_index", F.md5(F.col("chunk_text").cast("binary")).alias("text_md5")
     )

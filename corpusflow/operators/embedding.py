@@ -16,6 +16,8 @@ def batch_embedder(load: Callable[[], Model]) -> Embedder:
     """Embedder around a model: `load()` runs once per task, its result once per Arrow batch.
 
     The model maps a list of texts to a list of vectors, None where there is no vector.
+    Declared non-deterministic so that Spark runs the model once per row: it would otherwise
+    copy the call into every filter on the vector.
     """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -25,7 +27,7 @@ def batch_embedder(load: Callable[[], Model]) -> Embedder:
             vectors = model([t or "" for t in texts])
             yield pd.Series([None if v is None else np.asarray(v, "float32") for v in vectors])
 
-    return run
+    return run.asNondeterministic()
 
 
 def hashing_embedder(dim: int = 384) -> Embedder:

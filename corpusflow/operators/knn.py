@@ -26,13 +26,17 @@ from corpusflow.session import materialize
 DIGITS = 6
 TOLERANCE = 10.0**-DIGITS
 
-# The broadcast bound: at most this many queries, and a matrix of at most this many bytes.
+# The broadcast bound: at most this many queries, a matrix of at most this many bytes, and at
+# most this many hits (they are broadcast to fetch their metadata).
 MAX_BROADCAST_QUERIES = 50_000
 MAX_BROADCAST_BYTES = 64 << 20
+MAX_BROADCAST_HITS = 1_000_000
 
+# Cells, and the most vectors and queries that one task holds at a time (on average, blocks
+# being made by hash).
 N_CELLS = 256
-BLOCK_VECTORS = 20_000
-BLOCK_QUERIES = 4_000
+BLOCK_VECTORS = 50_000
+BLOCK_QUERIES = 20_000
 
 
 def knn(
@@ -61,16 +65,17 @@ def knn(
     locator = ["key"] + (["bucket"] if "bucket" in vectors.columns else [])
     if dim is None:
         first = vectors.filter("embedding is not null").select(F.size("embedding")).first()
-        dim = first[0] if first else 0
-    usable = F.col("embedding").isNotNull() & (F.size("embedding") == dim) & F.lit(enabled)
-    asked = queries.filter(usable).select("query_id", as_floats("embedding"))
-    stored = vectors.filter(usable).select(*locator, as_floats("embedding"))
+        dim = first[0] if first else 1
+    # Unusable vectors are left out inside the tasks: a filter here would make Spark compute
+    # an embedding column twice, once for the filter.
+    asked = queries.filter(F.lit(enabled)).select("query_id", as_floats("embedding"))
+    stored = vectors.filter(F.lit(enabled)).select(*locator, as_floats("embedding"))
 
-    bound = min(max_broadcast_queries, MAX_BROADCAST_BYTES // (8 * max(dim, 1)))
+    bound = min(max_broadcast_queries, MAX_BROADCAST_HITS // k, MAX_BROADCAST_BYTES // (8 * max(dim, 1)))
     sample = asked.limit(bound + 1).toArrow()
     small = sample.num_rows <= bound
     if small:
-        candidates = _broadcast_search(sample, stored, k, metric, queries.schema)
+        candidates = _broadcast_search(sample, stored, asked.schema["query_id"], k, metric, dim)
     else:
         candidates = _cell_search(asked, stored, k, metric, dim, n_cells)
 
@@ -92,24 +97,20 @@ def as_floats(name: str) -> Column:
 # ---------------------------------------------------------------- inside tasks
 
 
-def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, float64 matrix) of the vectors whose components are all finite."""
+def _scaled(column, metric: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, float64 matrix) of the usable vectors; of unit length for cosine."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    rows = flat.reshape(len(column), -1).astype("float64") if len(column) else np.empty((0, 0))
-    keep = np.flatnonzero(np.isfinite(rows).all(axis=1))
-    return keep, rows[keep]
-
-
-def _scaled(column, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """As `_matrix`; for cosine with unit vectors, those of no direction left out."""
-    keep, rows = _matrix(column)
+    keep = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False))
+    if len(keep) < len(column):
+        column = column.take(pa.array(keep))
+    rows = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype("float64")
+    usable = np.isfinite(rows).all(axis=1)
     if metric == "cosine":
         norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-        some = norm > 0
-        keep, rows = keep[some], rows[some] / norm[some, None]
-    return keep, rows
+        usable &= norm > 0
+        return keep[usable], rows[usable] / norm[usable, None]
+    return keep[usable], rows[usable]
 
 
 def _gaps(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -172,13 +173,13 @@ def _by_key(table: pa.Table) -> pa.Table:
 # ---------------------------------------------------------------- queries broadcast
 
 
-def _broadcast_search(sample: pa.Table, stored: DataFrame, k: int, metric: str, query_schema):
-    keep, q = _scaled(sample["embedding"], metric)
+def _broadcast_search(sample: pa.Table, stored: DataFrame, asked_id: T.StructField, k: int, metric: str, dim: int):
+    keep, q = _scaled(sample["embedding"], metric, dim)
     ids = sample["query_id"].combine_chunks().take(pa.array(keep))
     shared = stored.sparkSession.sparkContext.broadcast((ids, q))
     locator = [f for f in stored.schema if f.name != "embedding"]
     schema = T.StructType(
-        [query_schema["query_id"], T.StructField("distance", T.DoubleType()), *locator]
+        [asked_id, T.StructField("distance", T.DoubleType()), *locator]
     )
     names = [f.name for f in locator]
 
@@ -190,7 +191,7 @@ def _broadcast_search(sample: pa.Table, stored: DataFrame, k: int, metric: str,
             if not len(q) or not batch.num_rows:
                 continue
             table = _by_key(pa.Table.from_batches([batch]))
-            rows, v = _scaled(table["embedding"], metric)
+            rows, v = _scaled(table["embedding"], metric, dim)
             qi, vi, d = _nearest(q, v, k, metric, limit)
             part = table.select(names).take(pa.array(rows[vi]))
             part = part.append_column("_q", pa.array(qi)).append_column("distance", pa.array(d))
@@ -224,7 +225,7 @@ def _cell_search(asked: DataFrame, stored: DataFrame, k: int, metric: str, dim:
     spark = stored.sparkSession
     # Any pivots give right results; hashing the key spreads them over the data.
     picked = stored.orderBy(F.xxhash64("key"), "key").limit(n_cells).toArrow()
-    pivots = _scaled(picked["embedding"], metric)[1]
+    pivots = _scaled(picked["embedding"], metric, dim)[1]
     if not len(pivots):
         pivots = np.zeros((1, dim))
     locator = [f for f in stored.schema if f.name != "embedding"]
@@ -243,7 +244,7 @@ def _cell_search(asked: DataFrame, stored: DataFrame, k: int, metric: str, dim:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, v = _scaled(batch["embedding"], metric)
+            rows, v = _scaled(batch["embedding"], metric, dim)
             if not len(rows):
                 continue
             gaps = to_pivots(v)
@@ -291,7 +292,7 @@ def _cell_search(asked: DataFrame, stored: DataFrame, k: int, metric: str, dim:
         # A query's k-th neighbour is no farther than the k-th smallest of (way to a pivot +
         # way from it to one of its cell's innermost vectors).
         for batch in batches:
-            rows, q = _scaled(batch["embedding"], metric)
+            rows, q = _scaled(batch["embedding"], metric, dim)
             for at in range(0, len(rows), 200):
                 gaps = to_pivots(q[at : at + 200])
                 reach = (gaps[:, :, None] + inside[None, :, :]).reshape(len(gaps), -1)
@@ -332,7 +333,7 @@ def _cell_search(asked: DataFrame, stored: DataFrame, k: int, metric: str, dim:
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         right = _by_key(right)
-        (lrows, q), (rrows, v) = _scaled(left["embedding"], metric), _scaled(right["embedding"], metric)
+        (lrows, q), (rrows, v) = _scaled(left["embedding"], metric, dim), _scaled(right["embedding"], metric, dim)
         limit = left["bound"].to_numpy()[lrows]
         if len(q) and len(v):
             qi, vi, d = _nearest(q, v, k, metric, limit)
