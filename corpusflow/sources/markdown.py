@@ -1,5 +1,8 @@
 """Markdown documents from files."""
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +27,20 @@ def split_markdown(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs, named.filter("reason is not null").select("filename", "reason")
 
 
-def read_markdown(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, rejects) of the files below a folder."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select("path", "content")
-    )
+def read_markdown(spark: SparkSession, path: str, empty_files: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects) of the files below a folder.
+
+    Spark's file scans leave out files without content, which are documents all the same. Their
+    names are found in the scan's own file list, which the driver holds anyway; for a folder of
+    very many files, none of them empty, `empty_files=False` saves going through that list.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = scan.select("path", "content")
+    if empty_files:
+        names = [(unquote(re.sub("^file:/+", "file:/", uri)),) for uri in scan.inputFiles()]
+        listed = spark.createDataFrame(names, "path string")
+        empty = listed.join(files.select("path"), "path", "left_anti")
+        files = files.unionByName(empty.withColumn("content", F.lit(b"")))
     return split_markdown(files)
 
 

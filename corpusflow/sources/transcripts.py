@@ -24,8 +24,10 @@ def _exploded(arrays: DataFrame, first_seq) -> DataFrame:
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Messages of the files `{session}.json` in a folder; a malformed file is an error."""
+    # The file name comes URL-encoded; a plus sign in it is none.
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(
-        "value", F.regexp_replace("_metadata.file_name", r"\.json\z", "").alias("session_id")
+        "value", F.regexp_replace(name, r"\.json\z", "").alias("session_id")
     )
     return _exploded(files, F.lit(0))
 
