@@ -32,12 +32,15 @@ MAX_BROADCAST_QUERIES = 50_000
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_HITS = 1_000_000
 
-# Cells, and the most vectors and queries that one task holds at a time (on average, blocks
-# being made by hash).
+# Number of cells, and the most vectors and queries that one task holds at a time (on average,
+# blocks being made by hash).
 N_CELLS = 256
 BLOCK_VECTORS = 50_000
 BLOCK_QUERIES = 20_000
 
+# Rows of either side compared at a time.
+TILE = 512
+
 
 def knn(
     queries: DataFrame,
@@ -127,43 +130,90 @@ def _ranks(groups: np.ndarray) -> np.ndarray:
     return np.arange(len(groups)) - np.searchsorted(groups, groups, "left")
 
 
+def _few_copies(v: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the rows without those that repeat k earlier rows: copies are equally far
+    from any query, so only the first k can be among its nearest."""
+    if len(np.unique(v[:, 0])) > 0.9 * len(v):
+        return np.arange(len(v))
+    rows = np.ascontiguousarray(v).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel()
+    group = np.unique(rows, return_inverse=True)[1].ravel()
+    order = np.argsort(group, kind="stable")
+    return np.sort(order[_ranks(group[order]) < k])
+
+
+def _comparison(q: np.ndarray, v: np.ndarray, metric: str):
+    """Matrices a, b and functions such that the entries of a @ b.T order a query's vectors by
+    nearness: `bar(limit)` is the least entry of a vector that may be within the limit, and
+    `reach(entries)` a distance within which the vectors of these entries certainly are.
+
+    Cosine is compared in single precision; the worst error of the product is allowed for, and
+    what passes is measured again in double.
+    """
+    dim = q.shape[1]
+    if metric == "cosine":
+        slack = 2 * TOLERANCE + (dim + 4) * 1.2e-7
+        return (
+            q.astype("float32"), v.astype("float32"),
+            lambda limit, at: (1.0 - limit - slack).astype("float32"),
+            lambda entries, at: 1.0 - entries + slack,
+        )
+    qq, vv = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", v, v)
+    error = (dim + 8) * 4.5e-16 * (qq.max(initial=0.0) + vv.max(initial=0.0))
+    return (
+        np.column_stack([q, np.ones(len(q))]), np.column_stack([v, -vv / 2]),
+        lambda limit, at: (qq[at] - (limit + 2 * TOLERANCE) ** 2) / 2 - error,
+        lambda entries, at: np.sqrt(np.maximum(qq[at] - 2 * (entries - error), 0.0)) + TOLERANCE,
+    )
+
+
 def _nearest(q: np.ndarray, v: np.ndarray, k: int, metric: str, limit: np.ndarray):
     """(query row, vector row, distance) of each query's k best within `limit`.
 
-    Vector rows are in key order, so equal distances keep the smaller key.
+    Vector rows are in key order, so equal distances keep the smaller key. Works in tiles that
+    stay in the processor's cache; a query's limit shrinks as its k-th best is found.
     """
-    per = max(64, 4_000_000 // max(len(q), 1))
+    some = _few_copies(v, k)
+    v = v[some]
+    a, b, bar, reach = _comparison(q, v, metric)
     found = []
-    for at in range(0, len(v), per):
-        part = v[at : at + per]
-        if metric == "cosine":
-            rough, slack = 1.0 - q @ part.T, 2 * TOLERANCE
-            worst = limit[:, None] + slack
-        else:
-            qq, vv = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", part, part)
-            error = 1e-12 * (qq.max(initial=0.0) + vv.max(initial=0.0))
-            rough = np.maximum(qq[:, None] + vv[None, :] - 2.0 * (q @ part.T), 0.0)
-            worst = (limit[:, None] + 2 * TOLERANCE) ** 2 + error
-        close = rough <= worst
-        if len(part) > k and np.count_nonzero(close) > 4 * k * len(q):
-            kth = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
-            if metric == "cosine":
-                close &= rough <= kth + slack
-            else:
-                close &= rough <= (np.sqrt(kth + error) + 2 * TOLERANCE) ** 2 + error
-        qi, vi = np.nonzero(close)
-        d = np.empty(len(qi))
-        for s in range(0, len(qi), 100_000):
-            e = s + 100_000
-            d[s:e] = _gaps(q[qi[s:e]], part[vi[s:e]], metric)
-        order = np.lexsort((vi, d, qi))
-        qi, vi, d = qi[order], vi[order], d[order]
-        best = _ranks(qi) < k
-        found.append((qi[best], vi[best] + at, d[best]))
-    qi, vi, d = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int),) * 3
+    for at in range(0, len(q), TILE):
+        tile = slice(at, min(at + TILE, len(q)))
+        worst = limit[tile].copy()
+        least = bar(worst, tile)
+        best = (np.empty(0, int), np.empty(0, int), np.empty(0))
+        waiting, n = [], 0
+        for start in range(0, len(v), TILE):
+            entries = a[tile] @ b[start : start + TILE].T
+            if not start and entries.shape[1] > k:
+                kth = np.partition(entries, -k, axis=1)[:, -k].astype("float64")
+                worst = np.minimum(worst, reach(kth, tile))
+                least = bar(worst, tile)
+            qi, vi = np.nonzero(entries >= least[:, None])
+            if len(qi):
+                waiting.append((qi, vi + start))
+                n += len(qi)
+            if n > 2 * k * len(worst) or start + TILE >= len(v):
+                best = _best(best, waiting, q[tile], v, k, metric)
+                last = _ranks(best[0]) == k - 1
+                worst[best[0][last]] = np.minimum(worst[best[0][last]], best[2][last])
+                least, waiting, n = bar(worst, tile), [], 0
+        found.append((best[0] + at, some[best[1]], best[2]))
+    if not found:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _best(best, waiting, q: np.ndarray, v: np.ndarray, k: int, metric: str):
+    """The k best per query of the best so far and of the waiting pairs, measured exactly."""
+    parts = [best]
+    for qi, vi in waiting:
+        for s in range(0, len(qi), 50_000):
+            e = s + 50_000
+            parts.append((qi[s:e], vi[s:e], _gaps(q[qi[s:e]], v[vi[s:e]], metric)))
+    qi, vi, d = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((vi, d, qi))
-    best = order[_ranks(qi[order]) < k]
-    return qi[best], vi[best], d[best]
+    order = order[_ranks(qi[order]) < k]
+    return qi[order], vi[order], d[order]
 
 
 def _by_key(table: pa.Table) -> pa.Table:
@@ -197,7 +247,7 @@ def _broadcast_search(sample: pa.Table, stored: DataFrame, asked_id: T.StructFie
             part = part.append_column("_q", pa.array(qi)).append_column("distance", pa.array(d))
             kept = part if kept is None else pa.concat_tables([kept, part])
             waiting += len(qi)
-            if waiting > 4 * k * len(q):
+            if 2 * waiting >= k * len(q):
                 kept, waiting = best_of(kept, limit), 0
         if kept is not None:
             kept = best_of(kept, limit)

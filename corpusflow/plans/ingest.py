@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_text, ingest_report, with_chunk_metadata
 from corpusflow.operators.embedding import Embedder, embed
+from corpusflow.session import fan_out
 from corpusflow.sources.index import read_index, upsert, write_snapshot
 from corpusflow.sources.markdown import read_markdown
 
@@ -20,8 +21,9 @@ def embed_documents(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
 ) -> DataFrame:
-    """Chunk vectors of documents: row-wise from scan to vector, no shuffle."""
-    return embed(chunk_documents(docs, size, overlap), "chunk_text", embedder)
+    """Chunk vectors of documents: row-wise from scan to vector, no shuffle (unless there are
+    fewer files than cores)."""
+    return embed(chunk_documents(fan_out(docs), size, overlap), "chunk_text", embedder)
 
 
 def ingest(

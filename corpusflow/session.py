@@ -48,3 +48,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fan_out(df: DataFrame) -> DataFrame:
+    """Spread an input of fewer files than cores over all cores, ahead of work that costs far
+    more than moving it. Larger inputs, which have tasks enough, are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or len(df._jdf.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
