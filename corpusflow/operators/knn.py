@@ -4,10 +4,10 @@ Two ways, same answer. The query table's size is checked first:
 
 * It fits the bound: its matrix is broadcast and every task keeps the k best of its own
   vectors per query, so at most k rows per query and task are shuffled.
-* It does not: both sides are divided into cells around pivot vectors. Triangle-inequality
-  bounds leave each query only the cells that can hold one of its neighbours (Lu et al.,
-  "Efficient processing of k nearest neighbor joins using MapReduce", VLDB 2012). A crowded
-  cell is split into blocks of bounded size on both sides, so no task gets a whole cell.
+* It does not: both sides are divided into cells around pivot vectors. A query searches its
+  own cell first; distance bounds then leave it only the cells that can still hold one of its
+  neighbours (after Lu et al., "Efficient processing of k nearest neighbor joins using
+  MapReduce", VLDB 2012). Cells are split into blocks of bounded size on both sides.
 
 Neighbours are ordered by distance rounded to `DIGITS` digits, then by key.
 """
@@ -32,9 +32,10 @@ MAX_BROADCAST_QUERIES = 50_000
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_HITS = 1_000_000
 
-# Number of cells, and the most vectors and queries that one task holds at a time (on average,
-# blocks being made by hash).
-N_CELLS = 256
+# Vectors per cell aimed at and most cells; the most vectors and queries that one task holds at
+# a time (on average, blocks being made by hash).
+CELL_VECTORS = 20_000
+MAX_CELLS = 1024
 BLOCK_VECTORS = 50_000
 BLOCK_QUERIES = 20_000
 
@@ -52,7 +53,7 @@ def knn(
     enabled: bool = True,
     dim: int | None = None,
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
-    n_cells: int = N_CELLS,
+    n_cells: int | None = None,
 ) -> DataFrame:
     """The k nearest vectors per query: query_id, raw_rank (from 1), key, distance, metadata.
 
@@ -271,22 +272,15 @@ def _broadcast_search(sample: pa.Table, stored: DataFrame, asked_id: T.StructFie
 # ---------------------------------------------------------------- both sides large
 
 
-def _cell_search(asked: DataFrame, stored: DataFrame, k: int, metric: str, dim: int, n_cells: int):
-    spark = stored.sparkSession
+def _cell_search(asked: DataFrame, stored: DataFrame, k: int, metric: str, dim: int, n_cells: int | None):
+    """Search each query's home cell first; the k-th distance found there bounds the rest."""
+    if n_cells is None:
+        n_cells = min(MAX_CELLS, 1 + stored.count() // CELL_VECTORS)
     # Any pivots give right results; hashing the key spreads them over the data.
     picked = stored.orderBy(F.xxhash64("key"), "key").limit(n_cells).toArrow()
-    pivots = _scaled(picked["embedding"], metric, dim)[1]
+    pivots = np.unique(_scaled(picked["embedding"], metric, dim)[1], axis=0)
     if not len(pivots):
         pivots = np.zeros((1, dim))
-    locator = [f for f in stored.schema if f.name != "embedding"]
-    placed_schema = T.StructType(
-        locator
-        + [
-            stored.schema["embedding"],
-            T.StructField("cell", T.IntegerType()),
-            T.StructField("radius", T.DoubleType()),
-        ]
-    )
 
     def to_pivots(rows: np.ndarray) -> np.ndarray:
         square = (rows * rows).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :]
@@ -295,75 +289,97 @@ def _cell_search(asked: DataFrame, stored: DataFrame, k: int, metric: str, dim:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, v = _scaled(batch["embedding"], metric, dim)
-            if not len(rows):
-                continue
-            gaps = to_pivots(v)
-            cell = gaps.argmin(axis=1)
-            out = pa.Table.from_batches([batch]).take(pa.array(rows))
-            out = out.append_column("cell", pa.array(cell.astype("int32")))
-            out = out.append_column("radius", pa.array(gaps[np.arange(len(v)), cell]))
-            yield from out.to_batches()
-
-    # Written once: the bounds below must describe the same placement that is joined later.
-    placed = materialize(stored.mapInArrow(place, placed_schema), "knn-cells")
-
-    # At most n_cells rows, and at most k * n_cells rows.
-    extent = placed.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")
-    )
-    inner = Window.partitionBy("cell").orderBy("radius")
-    nearest = (
-        placed.select("cell", "radius")
-        .withColumn("r", F.row_number().over(inner))
-        .filter(F.col("r") <= k)
-        .groupBy("cell")
-        .agg(F.array_sort(F.collect_list("radius")).alias("radii"))
+            if len(rows):
+                gaps = to_pivots(v)
+                cell = gaps.argmin(axis=1)
+                out = pa.Table.from_batches([batch]).take(pa.array(rows))
+                out = out.append_column("cell", pa.array(cell.astype("int32")))
+                yield from out.append_column("radius", pa.array(gaps[np.arange(len(v)), cell])).to_batches()
+
+    # Written once: the bounds must describe the very placement that is searched.
+    placed = materialize(
+        stored.mapInArrow(place, _plus(stored.schema, cell=T.IntegerType(), radius=T.DoubleType())), "knn-cells"
     )
+    asked = materialize(asked, "knn-queries")
+
+    # One row per cell.
     size = np.zeros(len(pivots), "int64")
     low, high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
-    inside = np.full((len(pivots), k), np.inf)
-    for row in extent.join(F.broadcast(nearest), "cell").collect():
-        size[row.cell], low[row.cell], high[row.cell] = row.n, row.low, row.high
-        inside[row.cell, : len(row.radii)] = row.radii
-
-    # Room for rounding of the distances and of the arithmetic, in the metric of the bounds.
-    scale = float(np.abs(pivots).max(initial=1.0)) + float(high[np.isfinite(high)].max(initial=0.0))
-    room = 1e-5 * max(scale, 1.0)
-    routed_schema = T.StructType(
-        [
-            asked.schema["query_id"],
-            asked.schema["embedding"],
-            T.StructField("cell", T.IntegerType()),
-            T.StructField("bound", T.DoubleType()),
-        ]
-    )
+    extent = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("radius").alias("a"), F.max("radius").alias("b"))
+    for row in extent.collect():
+        size[row.cell], low[row.cell], high[row.cell] = row.n, row.a, row.b
+    used = size > 0
+    homes = size >= min(k, size.max(initial=0))
+
+    routed_schema = _plus(asked.schema, cell=T.IntegerType(), limit=T.DoubleType())
+
+    def routed(batch: pa.RecordBatch, rows: np.ndarray, cell: np.ndarray, limit: np.ndarray):
+        out = pa.Table.from_batches([batch]).select(["query_id", "embedding"]).take(pa.array(rows))
+        out = out.append_column("cell", pa.array(cell.astype("int32")))
+        return out.append_column("limit", pa.array(limit)).to_batches()
+
+    def home_of(gaps: np.ndarray) -> np.ndarray:
+        return np.where(homes, gaps, np.inf).argmin(axis=1)
+
+    def go_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, q = _scaled(batch["embedding"], metric, dim)
+            yield from routed(batch, rows, home_of(to_pivots(q)), np.full(len(q), np.inf))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A query's k-th neighbour is no farther than the k-th smallest of (way to a pivot +
-        # way from it to one of its cell's innermost vectors).
+    between = to_pivots(pivots)
+    # Allowance for rounded distances and for the arithmetic.
+    scale = max(1.0, float(np.abs(pivots).max()), float(high[used].max(initial=0.0)))
+    room = 1e-6 * scale + TOLERANCE
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """To every other cell whose nearest possible vector is within the query's limit."""
         for batch in batches:
             rows, q = _scaled(batch["embedding"], metric, dim)
-            for at in range(0, len(rows), 200):
-                gaps = to_pivots(q[at : at + 200])
-                reach = (gaps[:, :, None] + inside[None, :, :]).reshape(len(gaps), -1)
-                bound = np.partition(reach, k - 1, axis=1)[:, k - 1] + room
-                # Largest error of a rounded cosine, seen as a distance of unit vectors.
-                if metric == "cosine":
-                    bound = np.sqrt(bound * bound + 4 * TOLERANCE)
-                floor = np.maximum(np.maximum(gaps - high, low - gaps), 0.0)
-                qi, cell = np.nonzero((floor <= bound[:, None]) & (size > 0)[None, :])
-                part = pa.Table.from_batches([batch]).take(pa.array(rows[at + qi]))
-                far = bound[qi] ** 2 / 2 if metric == "cosine" else bound[qi]
-                part = part.append_column("cell", pa.array(cell.astype("int32")))
-                yield from part.append_column("bound", pa.array(far)).to_batches()
-
-    routed = asked.mapInArrow(route, routed_schema)
-    visits = {r.cell: r["count"] for r in routed.groupBy("cell").count().collect()}
-    blocks = spark.createDataFrame(
-        [
-            (int(c), int(-(-size[c] // BLOCK_VECTORS)), int(-(-n // BLOCK_QUERIES)))
-            for c, n in sorted(visits.items())
-        ],
+            limit = batch["limit"].to_numpy(zero_copy_only=False)[rows]
+            for at in range(0, len(rows), 2000):
+                gaps, far = to_pivots(q[at : at + 2000]), limit[at : at + 2000]
+                within = np.sqrt(2.0 * far + 4 * TOLERANCE) if metric == "cosine" else far
+                # Vectors of a cell lie between its radii, and on its side of the plane midway
+                # between its pivot and the query's nearest one.
+                floor = np.maximum(gaps - high, low - gaps)
+                nearest = gaps.argmin(axis=1)
+                across = between[nearest]
+                plane = (gaps**2 - gaps.min(axis=1)[:, None] ** 2) / np.where(across > 0, 2 * across, 1.0)
+                floor = np.maximum(floor, np.where(across > 1e-2 * scale, plane, 0.0))
+                go = used & (floor <= (within + room)[:, None])
+                go[np.arange(len(go)), home_of(gaps)] = False
+                qi, cell = np.nonzero(go)
+                yield from routed(batch, rows[at + qi], cell, far[qi])
+
+    first = materialize(
+        _visit(asked.mapInArrow(go_home, routed_schema), placed, size, k, metric, dim), "knn-home"
+    )
+    by_distance = Window.partitionBy("query_id").orderBy("distance", "key")
+    reached = (
+        first.withColumn("r", F.row_number().over(by_distance)).filter(F.col("r") == k)
+        .select("query_id", F.col("distance").alias("limit"))
+    )
+    bounded = materialize(
+        asked.join(reached, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")))),
+        "knn-limits",
+    )
+    second = _visit(bounded.mapInArrow(go_on, routed_schema), placed, size, k, metric, dim)
+    return first.unionByName(second)
+
+
+def _plus(schema: T.StructType, **columns: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in columns.items()]])
+
+
+def _visit(routed: DataFrame, placed: DataFrame, size: np.ndarray, k: int, metric: str, dim: int) -> DataFrame:
+    """Each routed query's k best in the cell it visits, within its limit.
+
+    A cell's vectors and visitors are cut into blocks by hash; every pair of blocks of a cell
+    is one group, so neither a crowded cell nor a popular one ends up in a single task.
+    """
+    visits = routed.groupBy("cell").count().collect()
+    blocks = routed.sparkSession.createDataFrame(
+        [(r.cell, int(-(-size[r.cell] // BLOCK_VECTORS)), int(-(-r["count"] // BLOCK_QUERIES))) for r in visits],
         "cell int, v_blocks int, q_blocks int",
     )
 
@@ -376,19 +392,15 @@ def _cell_search(asked: DataFrame, stored: DataFrame, k: int, metric: str, dim:
             .drop("v_blocks", "q_blocks")
         )
 
-    out_schema = T.StructType(
-        [asked.schema["query_id"], T.StructField("distance", T.DoubleType()), *locator]
-    )
+    locator = [f for f in placed.schema if f.name not in ("embedding", "cell", "radius")]
     names = [f.name for f in locator]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         right = _by_key(right)
-        (lrows, q), (rrows, v) = _scaled(left["embedding"], metric, dim), _scaled(right["embedding"], metric, dim)
-        limit = left["bound"].to_numpy()[lrows]
-        if len(q) and len(v):
-            qi, vi, d = _nearest(q, v, k, metric, limit)
-        else:
-            qi, vi, d = np.empty(0, int), np.empty(0, int), np.empty(0)
+        lrows, q = _scaled(left["embedding"], metric, dim)
+        rrows, v = _scaled(right["embedding"], metric, dim)
+        limit = left["limit"].to_numpy()[lrows]
+        qi, vi, d = _nearest(q, v, k, metric, limit) if len(v) else (np.empty(0, int),) * 2 + (np.empty(0),)
         near = right.select(names).take(pa.array(rrows[vi], pa.int64()))
         ids = left["query_id"].take(pa.array(lrows[qi], pa.int64()))
         return pa.table([ids, pa.array(d), *near.columns], names=["query_id", "distance", *names])
@@ -396,4 +408,5 @@ def _cell_search(asked: DataFrame, stored: DataFrame, k: int, metric: str, dim:
     by = ["cell", "v_block", "q_block"]
     left = spread(routed, "q_block", "query_id", "v_block").groupBy(*by)
     right = spread(placed, "v_block", "key", "q_block").groupBy(*by)
-    return left.cogroup(right).applyInArrow(search, out_schema)
+    schema = T.StructType([routed.schema["query_id"], T.StructField("distance", T.DoubleType()), *locator])
+    return left.cogroup(right).applyInArrow(search, schema)
