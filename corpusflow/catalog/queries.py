@@ -14,7 +14,7 @@ from corpusflow.operators.knn import knn
 from corpusflow.plans.ingest import chunk_documents, embed_documents
 from corpusflow.plans.replay import replay, search_texts, turn_id
 from corpusflow.plans.retrieve import retrieve, search
-from corpusflow.session import new_path
+from corpusflow.session import fan_out, new_path
 from corpusflow.sources import index, transcripts
 from corpusflow.sources.markdown import split_markdown
 from corpusflow.streaming import jobs
@@ -278,13 +278,13 @@ def search_gate(spark, sf):
 
 
 def tokenize_ws(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+    t = fan_out(table(spark, sf, "documents")).select("doc_id", tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
 def lexical_overlap(spark, sf):
     """Every message scored against the one after it."""
-    m = messages(spark, sf).select("session_id", "seq", "content")
+    m = fan_out(messages(spark, sf)).select("session_id", "seq", "content")
     after = m.select("session_id", (F.col("seq") - 1).alias("seq"), F.col("content").alias("next"))
     return m.join(after, ["session_id", "seq"]).select(
         "session_id", "seq", F.round(lexical_score(F.col("content"), F.col("next")), 6).alias("lexical")

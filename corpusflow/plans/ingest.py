@@ -11,8 +11,9 @@ from corpusflow.sources.markdown import read_markdown
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks with key and metadata of documents(filename, content)."""
-    return with_chunk_metadata(chunk_text(docs, "content", size, overlap))
+    """Chunks with key and metadata of documents(filename, content): row-wise, no shuffle
+    (unless there are fewer files than cores)."""
+    return with_chunk_metadata(chunk_text(fan_out(docs), "content", size, overlap))
 
 
 def embed_documents(
@@ -21,9 +22,8 @@ def embed_documents(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
 ) -> DataFrame:
-    """Chunk vectors of documents: row-wise from scan to vector, no shuffle (unless there are
-    fewer files than cores)."""
-    return embed(chunk_documents(fan_out(docs), size, overlap), "chunk_text", embedder)
+    """Chunk vectors of documents, row-wise from scan to vector."""
+    return embed(chunk_documents(docs, size, overlap), "chunk_text", embedder)
 
 
 def ingest(

@@ -13,13 +13,9 @@ def docs_of(spark, contents):
 
 
 def windows(text, size, overlap):
-    starts, at = [], 0
-    while text:
-        starts.append(at)
-        if at + size >= len(text):
-            break
-        at += size - overlap
-    return [text[s : s + size] for s in starts]
+    """A further chunk begins wherever the one a step earlier ends before the text does."""
+    step = size - overlap
+    return [text[s : s + size] for s in range(0, len(text), step) if s == 0 or s - step + size < len(text)]
 
 
 @pytest.mark.parametrize("size,overlap", [(10, 3), (10, 0), (7, 6), (1, 0)])

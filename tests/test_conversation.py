@@ -115,11 +115,11 @@ def test_chat_turns(spark):
         rows = [(t, i, *x) for t, *_, s in now for i, x in enumerate(s, 1)]
         sources = spark.createDataFrame(rows, SOURCES)
         answers = spark.createDataFrame(
-            [(t, f"stub::{m}::history={past[t]}::sources={len(s)}", at) for t, _, _, m, _, s in now],
+            [(t, f"{past[t]} before, {len(s)} sources: {m}", at) for t, _, _, m, _, s in now],
             "turn_id string, answer string, answered_at timestamp_ntz")
         for r in conv.responses(turns, sources, answers).collect():
             _, name, _, message, history, expected = next(t for t in TURNS if t[0] == r.turn_id)
-            assert r.response == f"stub::{message}::history={history}::sources={len(expected)}"
+            assert r.response == f"{history} before, {len(expected)} sources: {message}"
             assert r.session_id == name and r.retrieval_used == bool(expected)
             assert [tuple(s) for s in r.sources] == expected
         log = spark.createDataFrame(conv.commit_turns(log, turns, answers).collect(), M)

@@ -65,17 +65,13 @@ def test_random_hits_match_a_greedy_walk(spark):
         for i, (d, p, t, c) in enumerate(hits, 1):
             score = (1.0 - (d or 1.0)) + len({"one", "two"} & set(c.split())) / 2 * 0.5
             scored.append((score, f"{q}-{i}", p or t or "unknown"))
-        scored.sort(key=lambda s: s[0], reverse=True)
-        kept, seen, dropped = [], {}, 0
-        for _, key, doc in scored:
-            if len(kept) >= n:
-                break
-            if seen.get(doc, 0) < cap:
-                seen[doc] = seen.get(doc, 0) + 1
-                kept.append(key)
-            else:
-                dropped += 1
-        expected[str(q)] = (kept, size, len(kept), dropped, len(seen))
+        order = sorted(scored, key=lambda s: -s[0])
+        docs = [doc for _, _, doc in order]
+        allowed = [i for i in range(size) if docs[:i].count(docs[i]) < cap]
+        kept = allowed[:n]
+        end = kept[-1] if len(kept) == n else size
+        dropped = len(set(range(end)) - set(allowed))
+        expected[str(q)] = ([order[i][1] for i in kept], size, len(kept), dropped, len({docs[i] for i in kept}))
     ranked = rerank(score_hits(spark.createDataFrame(rows, HITS).repartition(4)))
     got = {}
     for r in diversify(ranked).orderBy("query_id", "rank").collect():
