@@ -184,9 +184,9 @@ def transcript_scan(spark, sf):
 def transcript_sink(spark, sf):
     """Sessions written as JSON arrays, three messages to a part, and read back."""
     path = new_path(spark, "transcripts")
-    transcripts.transcript_json(messages(spark, sf), 3).write.parquet(path)
-    arrays = spark.read.schema("session_id bigint, part bigint, value string").parquet(path)
-    return transcripts.parse_transcript_json(arrays, 3).select("session_id", "seq", "role", "content")
+    transcripts.write_transcripts(messages(spark, sf), path, 3)
+    back = transcripts.read_written_transcripts(spark, path, T.LongType(), 3)
+    return back.select("session_id", "seq", "role", "content")
 
 
 def transcript_log(spark, sf):

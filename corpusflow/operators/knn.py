@@ -32,12 +32,11 @@ MAX_BROADCAST_QUERIES = 50_000
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_HITS = 1_000_000
 
-# Vectors per cell aimed at and most cells; the most vectors and queries that one task holds at
-# a time (on average, blocks being made by hash).
+# Vectors per cell aimed at and most cells; bytes of vectors that one task holds of either side
+# (on average, blocks being made by hash).
 CELL_VECTORS = 20_000
 MAX_CELLS = 1024
-BLOCK_VECTORS = 50_000
-BLOCK_QUERIES = 20_000
+BLOCK_BYTES = 64 << 20
 
 # Rows of either side compared at a time.
 TILE = 512
@@ -377,9 +376,10 @@ def _visit(routed: DataFrame, placed: DataFrame, size: np.ndarray, k: int, metri
     A cell's vectors and visitors are cut into blocks by hash; every pair of blocks of a cell
     is one group, so neither a crowded cell nor a popular one ends up in a single task.
     """
+    rows = max(1, BLOCK_BYTES // (4 * dim))
     visits = routed.groupBy("cell").count().collect()
     blocks = routed.sparkSession.createDataFrame(
-        [(r.cell, int(-(-size[r.cell] // BLOCK_VECTORS)), int(-(-r["count"] // BLOCK_QUERIES))) for r in visits],
+        [(r.cell, int(-(-size[r.cell] // rows)), int(-(-r["count"] // rows))) for r in visits],
         "cell int, v_blocks int, q_blocks int",
     )
 

@@ -1,10 +1,12 @@
 """The vector index: upsert by key, snapshots on plain Parquet, an append log for streams.
 
-Layout below the index path: `snapshots/v=N` (partitioned by a hash bucket of the key),
-`commits` (one row per finished snapshot) and `log` (vectors appended since). Nothing that a
-reader may be using is overwritten; a snapshot counts once its commit row is there.
+Layout below the index path: `snapshots/<folder>` (partitioned by a hash bucket of the key),
+`commits` (one row per finished snapshot, naming its folder) and `log` (vectors appended since).
+Nothing is ever overwritten; a snapshot counts once its commit row is there.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 from corpusflow.schemas import VECTORS
 
 BUCKETS = 64
-_COMMITS = "snapshot bigint"
+_COMMITS = "snapshot bigint, folder string"
 
 
 def latest(vectors: DataFrame) -> DataFrame:
@@ -46,14 +48,17 @@ def write_snapshot(vectors: DataFrame, path: str, buckets: int = BUCKETS) -> int
     files of the advisory partition size.
     """
     spark = vectors.sparkSession
-    number = (current_snapshot(spark, path) or 0) + 1
+    latest_commit = current_snapshot(spark, path)
+    number = latest_commit[0] + 1 if latest_commit else 1
+    folder = f"{number}-{uuid.uuid4().hex}"
     (
         vectors.drop("bucket")
         .withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
         .hint("rebalance", "bucket")
-        .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/snapshots/v={number}")
+        .write.partitionBy("bucket").parquet(f"{path}/snapshots/{folder}")
     )
-    spark.createDataFrame([(number,)], _COMMITS).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    commit = spark.createDataFrame([(number, folder)], _COMMITS)
+    commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return number
 
 
@@ -62,19 +67,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def current_snapshot(spark: SparkSession, path: str) -> int | None:
+def current_snapshot(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """(number, folder) of the last committed snapshot."""
     if not _exists(spark, f"{path}/commits"):
         return None
-    return spark.read.schema(_COMMITS).parquet(f"{path}/commits").agg(F.max("snapshot")).first()[0]
+    commits = spark.read.schema(_COMMITS).parquet(f"{path}/commits")
+    last = commits.agg(F.max(F.struct("snapshot", "folder")).alias("c")).first().c
+    return tuple(last) if last else None
 
 
 def read_index(spark: SparkSession, path: str, schema: T.StructType = VECTORS) -> DataFrame:
     """The current snapshot with all metadata, and its `bucket` for pruning."""
-    number = current_snapshot(spark, path)
+    last = current_snapshot(spark, path)
     stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-    if number is None:
+    if last is None:
         return spark.createDataFrame([], stored)
-    return spark.read.schema(stored).parquet(f"{path}/snapshots/v={number}")
+    return spark.read.schema(stored).parquet(f"{path}/snapshots/{last[1]}")
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType = VECTORS) -> DataFrame:

@@ -57,6 +57,24 @@ def parse_transcript_json(arrays: DataFrame, part_messages: int = PART_MESSAGES)
     return _exploded(arrays, F.col("part") * part_messages)
 
 
+def write_transcripts(messages: DataFrame, path: str, part_messages: int = PART_MESSAGES) -> None:
+    """Export sessions as JSON arrays, replacing an earlier export at the path."""
+    transcript_json(messages, part_messages).write.mode("overwrite").parquet(path)
+
+
+def read_written_transcripts(
+    spark: SparkSession, path: str, session_type: T.DataType = T.StringType(), part_messages: int = PART_MESSAGES
+) -> DataFrame:
+    schema = T.StructType(
+        [
+            T.StructField("session_id", session_type),
+            T.StructField("part", T.LongType()),
+            T.StructField("value", T.StringType()),
+        ]
+    )
+    return parse_transcript_json(spark.read.schema(schema).parquet(path), part_messages)
+
+
 def append_messages(messages: DataFrame, path: str, buckets: int = SESSION_BUCKETS) -> None:
     """Append to the log. Partitioned by a hash of the session, so reading one session
     touches one bucket; each task writes the buckets it has, without a shuffle."""

@@ -44,8 +44,7 @@ def as_dict(df):
 @pytest.mark.parametrize("shift", [0.0, 50.0])
 def test_same_as_brute_force(spark, monkeypatch, metric, way, shift):
     if way == "small blocks":
-        monkeypatch.setattr(module, "BLOCK_VECTORS", 20)
-        monkeypatch.setattr(module, "BLOCK_QUERIES", 7)
+        monkeypatch.setattr(module, "BLOCK_BYTES", 10 * 4 * 8)
     data = clusters(240) + shift
     vectors = [(f"k{i * 7919 % 240}", v.tolist(), f"t{i}") for i, v in enumerate(data)]
     queries = [(i, v.tolist()) for i, v in enumerate(np.vstack([clusters(30, seed=5) + shift, data[:10]]))]
