@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 CHUNK_SIZE = 1500
 CHUNK_OVERLAP = 200
 
-# A text is cut into stretches of this many chunks first. `substring` walks from the start
-# of its input, so cutting chunks straight out of a long text would take quadratic time.
-_CHUNKS_PER_STRETCH = 32
+# A text is cut into stretches of so many chunks, those into shorter ones, and these into
+# chunks. `substring` walks from the start of its input, so cutting every chunk straight out of
+# a long text would take quadratic time.
+_STRETCHES = (1024, 32, 1)
 
 
 def chunk_count(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -34,27 +35,21 @@ def chunk_text(
     """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("chunking needs 0 <= overlap < size")
-    step, per = size - overlap, _CHUNKS_PER_STRETCH
+    step = size - overlap
     others = [c for c in df.columns if c != text_col]
-    stretches = (
-        df.withColumn("_n", chunk_count(F.col(text_col), size, overlap))
-        .filter("_n > 0")
-        .withColumn("_s", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / per).cast("int"))))
-        .select(
+    cut = df.select(
+        *others, F.lit(0).alias("_first"), chunk_count(F.col(text_col), size, overlap).alias("_n"),
+        F.col(text_col).alias("_part"),
+    ).filter("_n > 0")
+    for per in _STRETCHES:
+        last = F.floor((F.col("_n") - 1) / per).cast("int")
+        cut = cut.withColumn("_s", F.explode(F.sequence(F.lit(0), last))).select(
             *others,
-            (F.col("_s") * per).alias("_first"),
-            F.least(F.lit(per), F.col("_n") - F.col("_s") * per).alias("_k"),
-            F.substring(text_col, F.col("_s") * (per * step) + 1, F.lit((per - 1) * step + size)).alias("_part"),
+            (F.col("_first") + F.col("_s") * per).alias("_first"),
+            F.least(F.lit(per), F.col("_n") - F.col("_s") * per).alias("_n"),
+            F.substring("_part", F.col("_s") * (per * step) + 1, F.lit((per - 1) * step + size)).alias("_part"),
         )
-    )
-    return (
-        stretches.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-        .select(
-            *others,
-            (F.col("_first") + F.col("_i")).cast("int").alias("chunk_index"),
-            F.substring("_part", F.col("_i") * step + 1, F.lit(size)).alias("chunk_text"),
-        )
-    )
+    return cut.select(*others, F.col("_first").alias("chunk_index"), F.col("_part").alias("chunk_text"))
 
 
 def with_chunk_metadata(

@@ -7,6 +7,7 @@ Nothing is ever overwritten; a snapshot counts once its commit row is there.
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,16 +63,20 @@ def write_snapshot(vectors: DataFrame, path: str, buckets: int = BUCKETS) -> int
     return number
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def _read_if_there(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def current_snapshot(spark: SparkSession, path: str) -> tuple[int, str] | None:
     """(number, folder) of the last committed snapshot."""
-    if not _exists(spark, f"{path}/commits"):
+    commits = _read_if_there(spark, f"{path}/commits", _COMMITS)
+    if commits is None:
         return None
-    commits = spark.read.schema(_COMMITS).parquet(f"{path}/commits")
     last = commits.agg(F.max(F.struct("snapshot", "folder")).alias("c")).first().c
     return tuple(last) if last else None
 
@@ -86,9 +91,8 @@ def read_index(spark: SparkSession, path: str, schema: T.StructType = VECTORS) -
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType = VECTORS) -> DataFrame:
-    if not _exists(spark, f"{path}/log"):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/log")
+    log = _read_if_there(spark, f"{path}/log", schema)
+    return spark.createDataFrame([], schema) if log is None else log
 
 
 def compact(spark: SparkSession, path: str, replace_document: bool = False, buckets: int = BUCKETS) -> int:
