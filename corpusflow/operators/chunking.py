@@ -12,8 +12,8 @@ CHUNK_OVERLAP = 200
 _STRETCHES = (1024, 32, 1)
 
 
-def chunk_count(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
-    length = F.length(text)
+def chunk_count(length: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Number of chunks of a text of the given length in characters."""
     more = F.ceil((length - size) / F.lit(size - overlap)).cast("int")
     return (
         F.when(F.coalesce(length, F.lit(0)) == 0, F.lit(0))
@@ -37,13 +37,14 @@ def chunk_text(
         raise ValueError("chunking needs 0 <= overlap < size")
     step = size - overlap
     others = [c for c in df.columns if c != text_col]
+    # The text may be a costly expression: it is computed in one projection, and no filter on its
+    # length is left for the optimizer to copy it into.
     cut = df.select(
-        *others, F.lit(0).alias("_first"), chunk_count(F.col(text_col), size, overlap).alias("_n"),
-        F.col(text_col).alias("_part"),
-    ).filter("_n > 0")
+        *others, F.lit(0).alias("_first"), F.length(text_col).alias("_n"), F.col(text_col).alias("_part")
+    ).withColumn("_n", chunk_count(F.col("_n"), size, overlap))
     for per in _STRETCHES:
-        last = F.floor((F.col("_n") - 1) / per).cast("int")
-        cut = cut.withColumn("_s", F.explode(F.sequence(F.lit(0), last))).select(
+        numbers = F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / per).cast("int"))
+        cut = cut.withColumn("_s", F.explode(F.when(F.col("_n") > 0, numbers))).select(
             *others,
             (F.col("_first") + F.col("_s") * per).alias("_first"),
             F.least(F.lit(per), F.col("_n") - F.col("_s") * per).alias("_n"),
