@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import decontam, packing, quality_rules, secrets, simhash, url_filter
+from corpusflow.llm import decontam, packing, quality_model, quality_rules, secrets, sharding, simhash, suffix_dedup, toxicity, url_filter
 from corpusflow.llm.common import table
 
 # Rules of op1: host, path, verdict.
@@ -33,11 +33,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.secret_spans(docs, secrets.fit(docs))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.quality_scores(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled good and not toxic: the target of the quality rules."""
     return table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
@@ -49,6 +58,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, weights)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,7 +71,22 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_simhash, op4_secret_scan, op6_quality_rules, op8_decontaminate, op9_pack)
+    for f in (
+        op1_url_filter,
+        op2_simhash,
+        op3_shard,
+        op4_secret_scan,
+        op5_quality_model,
+        op6_quality_rules,
+        op7_toxicity,
+        op8_decontaminate,
+        op9_pack,
+        op10_suffix_dedup,
+    )
 }
