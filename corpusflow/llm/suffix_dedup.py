@@ -7,12 +7,14 @@ divided by content, so that equal strings meet without comparing all documents w
 2. The anchor of a string is the smallest hash of its GRAM-byte parts. Equal strings have equal
    anchors, and neighbouring strings mostly share theirs, so a text falls into short contexts of
    one anchor each. Contexts whose anchor occurs once hold no repeated string and go no further.
-3. The other contexts are shuffled to shards by anchor. A shard sorts all its suffixes (Larsson and
-   Sadakane: ranks of h bytes give ranks of 2h bytes, groups already sorted are left alone), finds
-   the common prefixes of neighbours (Kasai), and so the groups of equal strings and the first of
-   each group.
-4. A frequent anchor is spread over several shards. Each passes on the first of each of its
-   strings in sorted order; slices of these for a range of strings are merged by binary search.
+3. Of equal contexts of an anchor the first stays, the others are covered. If an anchor has only
+   one context, and that has its anchor once, nothing else can repeat.
+4. The contexts left are cut from the texts and shuffled to shards by anchor. A shard sorts all its
+   suffixes (Larsson and Sadakane: ranks of h bytes give ranks of 2h bytes, groups already sorted
+   are left alone), finds the common prefixes of neighbours (Kasai), and so the groups of equal
+   strings and the first of each group.
+5. A frequent anchor is spread over several shards. Each passes on the first of each of its
+   strings; sorted slices of these are merged by binary search.
 """
 
 import hashlib
@@ -23,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import SpanHash, documents, rows_of
+from corpusflow.llm.common import SpanHash, documents, mix, rows_of
 from corpusflow.session import materialize
 
 LENGTH = 100
 GRAM = 32
-# Strings of a context, bytes of a shard, contexts of an anchor in one shard: at most.
+# Strings of a context, bytes of a shard, rows resolved at once, contexts of an anchor in a shard.
 RUN = 63
 SHARD_BYTES = 1 << 20
+ROWS = 1 << 16
 HOT = 4096
 # Stands for a null doc_id, which comes after all others.
 NO_ID = (1 << 63) - 1
@@ -57,12 +60,13 @@ def place_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place // 128, place % 64
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, anchor) of all contexts."""
+def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, anchor, hash of the bytes) of all contexts."""
     empty = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return empty, empty, empty
-    grams, width = SpanHash(data).grams(GRAM), LENGTH - GRAM + 1
+        return empty, empty, empty, empty
+    spans = SpanHash(data)
+    grams, width = spans.grams(GRAM), LENGTH - GRAM + 1
     anchor = sliding_min(grams, width)
     row = rows_of(offsets)
     inside = row[: len(anchor)] == row[LENGTH - 1 :]
@@ -85,7 +89,8 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     which = np.repeat(np.arange(len(first)), high - low)
     there = np.repeat(low - np.cumsum(high - low) + high - low, high - low) + np.arange(len(which))
     twice = np.bincount(which[grams[at[there]] == anchor[first[which]]], minlength=len(first)) > 1
-    return row[first], placed(first - offsets[row[first]], twice, n), anchor[first].view(np.int64)
+    place = placed(first - offsets[row[first]], twice, n)
+    return row[first], place, anchor[first].view(np.int64), spans(first, first + n + LENGTH - 1).view(np.int64)
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -174,6 +179,36 @@ def merged(first: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.nd
     return first[at], np.append(end[at[1:] - 1], end[-1]), owner[at]
 
 
+def resolve(rows: pa.Table, hot: int) -> pa.RecordBatch:
+    """Contexts of repeated anchors: places that are covered (route null), and the first of each context
+    that must be looked into (route: where to).
+
+    An anchor of which these rows are not all, or that is too frequent, isn't decided here: its
+    contexts go on, fewer by the copies seen.
+    """
+    anchor, context, k, h, place, total = (rows.column(c).to_numpy() for c in ("anchor", "context", "k", "h", "place", "n"))
+    order = np.lexsort((place, h, k, context, anchor))
+    anchor, context, k, h, place, total = (x[order] for x in (anchor, context, k, h, place, total))
+    twice = place // 64 % 2
+    new_anchor = np.append(True, anchor[1:] != anchor[:-1])
+    new = new_anchor | np.append(True, context[1:] != context[:-1])
+    # A repeated row gives its contexts again.
+    again = np.append(False, (k[1:] == k[:-1]) & (h[1:] == h[:-1]) & (place[1:] == place[:-1])) & ~new
+    group = np.cumsum(new_anchor) - 1
+    whole = np.bincount(group, 1 + twice) == total[new_anchor]
+    settled = whole & (np.bincount(group, new) == 1) & (np.bincount(group, twice) == 0)
+    covered = ~new & ~again
+    on = new & ~settled[group]
+    parts = -(-total[on] // hot)
+    salt = (mix((k[on] ^ h[on] ^ place[on]).view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+    route = np.where(parts > 1, mix((anchor[on] + salt).view(np.uint64)).view(np.int64), anchor[on])
+    pick = np.concatenate([np.flatnonzero(covered), np.flatnonzero(on)])
+    n = int(covered.sum())
+    routes = pa.array(np.concatenate([np.zeros(n, np.int64), route]), mask=np.arange(len(pick)) < n)
+    spread = pa.array(np.concatenate([np.zeros(n, bool), parts > 1]))
+    return pa.RecordBatch.from_arrays([pa.array(k[pick]), pa.array(h[pick]), pa.array(place[pick]), routes, spread], names=["k", "h", "place", "route", "spread"])
+
+
 SPANS = "k long, h long, start long, stop long, string binary"
 
 
@@ -236,37 +271,51 @@ def merge_strings(strings: np.ndarray, k: np.ndarray, h: np.ndarray, start: np.n
     return later
 
 
-def _batches_by(batches: Iterator[pa.RecordBatch], column: str, most: int, size) -> Iterator[pa.Table]:
-    """Tables of whole groups of equal `column`, of about `most` in `size` each. Rows come sorted."""
-    held: list[pa.RecordBatch] = []
-    have = 0
+def _tables(batches: Iterator[pa.RecordBatch], column: str, most: int, most_of_one: int | None = None) -> Iterator[pa.Table]:
+    """Sorted rows as tables of about `most` rows that end where `column` changes; a value's rows are
+    divided only from `most_of_one` rows on."""
+    held = None
     for batch in batches:
         if not len(batch):
             continue
-        values = batch.column(column)
-        bounds = [i + 1 for i, same in enumerate(np.asarray(values.slice(1).to_numpy(zero_copy_only=False) == values.slice(0, len(values) - 1).to_numpy(zero_copy_only=False))) if not same]
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        if len(held) < most:
+            continue
+        values = held.column(column).to_numpy()
+        changes = np.flatnonzero(values[1:] != values[:-1]) + 1
         at = 0
-        if held and held[-1].column(column)[-1] != values[0] and have >= most:
-            yield pa.Table.from_batches(held)
-            held, have = [], 0
-        for bound in bounds:
-            if have + size(batch.slice(at, bound - at)) >= most:
-                yield pa.Table.from_batches([*held, batch.slice(at, bound - at)])
-                held, have, at = [], 0, bound
-        rest = batch.slice(at)
-        held.append(rest)
-        have += size(rest)
-    if held:
-        yield pa.Table.from_batches(held)
+        while len(held) - at >= most:
+            cut = changes[(changes > at) & (changes <= at + most)]
+            later = changes[changes > at]
+            if len(cut) or len(later):
+                end = int(cut[-1] if len(cut) else later[0])
+            elif most_of_one and len(held) - at >= most_of_one:
+                end = at + most_of_one
+            else:
+                break
+            yield held.slice(at, end - at)
+            at = end
+        held = held.slice(at)
+    if held is not None and len(held):
+        yield held
 
 
 def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, _, data, offsets in documents(batch):
-            row, place, anchor = contexts(data, offsets)
+            row, place, anchor, context = contexts(data, offsets)
             at = pa.array(first + row)
-            columns = [pa.array(anchor), batch.column("k").take(at), batch.column("h").take(at), pa.array(place)]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "k", "h", "place"])
+            columns = [pa.array(anchor), pa.array(context), batch.column("k").take(at), batch.column("h").take(at), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "context", "k", "h", "place"])
+
+
+def _resolve(hot: int, at_once: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _tables(batches, "anchor", at_once, 4 * at_once):
+            yield resolve(rows, hot)
+
+    return run
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +324,8 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             whole = data.tobytes()
             for r in range(len(offsets) - 1):
                 wanted = batch.column("wanted").slice(first + r, 1).flatten()
+                if not len(wanted):
+                    continue
                 place = wanted.field("place").to_numpy()
                 start, n = place_of(place)
                 start = start + offsets[r]
@@ -285,16 +336,21 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _batches_by(batches, "route", SHARD_BYTES, lambda b: b.get_total_buffer_size() if len(b) == 0 else len(b) * (LENGTH + RUN // 2)):
+    for rows in _tables(batches, "route", SHARD_BYTES // (LENGTH + RUN // 2)):
         yield from shard_spans(rows)
 
 
 def _merges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _batches_by(batches, "string", 1 << 16, len):
-        rows = rows.combine_chunks()
-        strings = np.array(rows.column("string").to_pylist(), f"S{LENGTH}")
+    """Covered spans as they come, and those of strings that occur in several shards."""
+
+    known = []
+    for batch in batches:
+        yield batch.filter(batch.column("string").is_null())
+        known.append(batch.filter(batch.column("string").is_valid()))
+    for rows in _tables(iter(known), "string", ROWS):
+        text = np.array(rows.column("string").to_pylist(), f"S{LENGTH}")
         k, h, start, stop = (rows.column(c).to_numpy() for c in ("k", "h", "start", "stop"))
-        later = merge_strings(strings, k, h, start)
+        later = merge_strings(text, k, h, start)
         yield _spans(k[later], h[later], start[later], stop[later])
 
 
@@ -307,9 +363,11 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text, spans = whole[a:b], []
                 if copy[first + r]:
                     spans = [(0, b - a)] if b - a >= LENGTH else []
-                elif batch.column("spans")[first + r].is_valid:
+                else:
                     found = batch.column("spans").slice(first + r, 1).flatten()
                     x, y = (found.field(c).to_numpy() for c in ("start", "stop"))
+                    start, n = place_of(batch.column("covered").slice(first + r, 1).flatten().to_numpy())
+                    x, y = np.concatenate([x, start]), np.concatenate([y, start + n + LENGTH - 1])
                     order = np.lexsort((y, x))
                     x, y = x[order], np.maximum.accumulate(y[order])
                     x, y, _ = merged(x, y, np.zeros(len(x)))
@@ -322,13 +380,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, hot: int = HOT, at_once: int = ROWS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of `docs` (doc_id, text).
 
     kept: the bytes that are left. Documents come in the order of doc_id, those of the same doc_id
     in the order of a hash of their texts, those without one last. Rows that repeat both doc_id and
     text are one document and each give its result. A null text is empty; texts of fewer than LENGTH
-    bytes stay whole. Other columns are ignored. doc_id is an integer.
+    bytes stay whole. Other columns are ignored. doc_id is an integer. An anchor of over `hot` contexts
+    is spread; `at_once` rows are resolved at once. Neither changes the result.
     """
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k")
     text = F.coalesce("text", F.lit("")).alias("text")
@@ -336,27 +395,27 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     # The first document of each text; text and hash only, so that the text isn't shuffled here.
     reps = materialize(whole.groupBy("h", F.octet_length("text")).agg(F.min("k").alias("k")).select("k", "h"), "texts")
 
-    # Every use of the texts below is partitioned by (k, h), so they are shuffled once.
+    # One plan, in which every use of the texts is partitioned by (k, h): they are shuffled once.
     firsts = whole.join(reps, ["k", "h"], "left_semi")
-    found = firsts.mapInArrow(_find_contexts, "anchor long, k long, h long, place long")
+    found = firsts.mapInArrow(_find_contexts, "anchor long, context long, k long, h long, place long")
     times = 1 + F.shiftright("place", 6).bitwiseAND(1)
     counts = found.groupBy("anchor").agg(F.sum(times).alias("n")).where("n > 1")
-    repeated = found.join(counts, "anchor")
-    salt = F.pmod(F.xxhash64("k", "h", "place"), F.ceil(F.col("n") / HOT))
-    spread = F.col("n") > HOT
-    route = F.when(spread, F.xxhash64("anchor", salt)).otherwise(F.col("anchor"))
-    wanted = repeated.select("k", "h", F.struct(route.alias("route"), spread.alias("spread"), "place").alias("wanted"))
-    wanted = wanted.groupBy("k", "h").agg(F.collect_list("wanted").alias("wanted"))
-    cut = whole.join(wanted, ["k", "h"]).select("k", "h", "text", "wanted")
+    repeated = found.join(counts, "anchor").sortWithinPartitions("anchor")
+    resolved = repeated.mapInArrow(_resolve(hot, at_once), "k long, h long, place long, route long, spread boolean")
+    lists = resolved.groupBy("k", "h").agg(
+        F.collect_list(F.when(F.col("route").isNull(), F.col("place"))).alias("covered"),
+        F.collect_list(F.when(F.col("route").isNotNull(), F.struct("route", "spread", "place"))).alias("wanted"),
+    )
+    cut = whole.join(lists, ["k", "h"]).select("k", "h", "text", "wanted")
     cut = cut.mapInArrow(_cut_contexts, "route long, spread boolean, k long, h long, place long, context binary")
-    cut = cut.repartition("route").sortWithinPartitions("route")
-    spans = materialize(cut.mapInArrow(_shards, SPANS), "spans")
-
-    strings = spans.where("string is not null").repartitionByRange("string").sortWithinPartitions("string")
-    more = strings.mapInArrow(_merges, SPANS)
-    spans = spans.where("string is null").unionByName(more).groupBy("k", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    marked = whole.join(reps.distinct().withColumn("rep", F.lit(True)), ["k", "h"], "left").join(spans, ["k", "h"], "left")
-    marked = marked.select("k", "text", F.col("rep").isNull().alias("copy"), "spans")
+    spans = cut.repartition("route").sortWithinPartitions("route").mapInArrow(_shards, SPANS)
+    # Equal strings meet; other spans go anywhere.
+    spans = spans.withColumn("to", F.when(F.col("string").isNull(), F.xxhash64("k", "h", "start")).otherwise(F.xxhash64("string")))
+    spans = spans.repartition("to").drop("to").sortWithinPartitions("string").mapInArrow(_merges, SPANS)
+    spans = spans.groupBy("k", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    marked = whole.join(reps.distinct().withColumn("rep", F.lit(True)), ["k", "h"], "left")
+    marked = marked.join(lists.drop("wanted"), ["k", "h"], "left").join(spans, ["k", "h"], "left")
+    marked = marked.select("k", "text", F.col("rep").isNull().alias("copy"), "covered", "spans")
     out = marked.mapInArrow(_remove, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     doc_id = F.when(F.col("k") != NO_ID, F.col("k")).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id")
     return out.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
