@@ -50,14 +50,34 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 # A context's place in its text: start of its first string, whether its anchor is in it twice (then
-# its own strings may repeat), number of its strings.
-def placed(start: np.ndarray, twice: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return start * 128 + twice * 64 + n
+# its own strings may repeat), number of its strings. Above these, twelve bits each of hashes of the
+# anchor with the SIDE bytes before it, and with those after it; zero where the text has none. Equal
+# strings around an anchor agree on one side or the other.
+SIDE = (LENGTH - GRAM) // 2
+_SIDE_BITS, _START_BITS = 12, 32
+
+
+def placed(start: np.ndarray, twice: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (((left << _SIDE_BITS | right) << _START_BITS | start) << 1 | twice) << 6 | n
 
 
 def place_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First string's start and number of strings."""
-    return place // 128, place % 64
+    return place >> 7 & (1 << _START_BITS) - 1, place & 63
+
+
+def sides_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    side = place >> 7 + _START_BITS
+    return side >> _SIDE_BITS, side & (1 << _SIDE_BITS) - 1
+
+
+def shared_side(group: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Contexts that agree on a side with another of their group."""
+    out = np.zeros(len(place), bool)
+    for side in sides_of(place):
+        _, which, count = np.unique(group << _SIDE_BITS | side, return_inverse=True, return_counts=True)
+        out |= (count[which] > 1) & (side > 0)
+    return out
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,8 +108,18 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     low, high = np.searchsorted(at, first), np.searchsorted(at, first + n + width - 1)
     which = np.repeat(np.arange(len(first)), high - low)
     there = np.repeat(low - np.cumsum(high - low) + high - low, high - low) + np.arange(len(which))
-    twice = np.bincount(which[grams[at[there]] == anchor[first[which]]], minlength=len(first)) > 1
-    place = placed(first - offsets[row[first]], twice, n)
+    here = grams[at[there]] == anchor[first[which]]
+    which, there = which[here], at[there[here]]
+    twice = np.bincount(which, minlength=len(first)) > 1
+    its = there[np.searchsorted(which, np.arange(len(first)))]
+    low, high = offsets[row[first]], offsets[row[first] + 1]
+
+    def side(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        there = (begin >= low) & (end <= high)
+        hashes = spans(np.where(there, begin, low), np.where(there, end, low)) % np.uint64((1 << _SIDE_BITS) - 1)
+        return np.where(there, hashes.astype(np.int64) + 1, 0)
+
+    place = placed(first - low, twice, n, side(its - SIDE, its + GRAM), side(its, its + GRAM + SIDE))
     return row[first], place, anchor[first].view(np.int64), spans(first, first + n + LENGTH - 1).view(np.int64)
 
 
@@ -187,9 +217,9 @@ def resolve(rows: pa.Table, hot: int) -> pa.RecordBatch:
     contexts go on, fewer by the copies seen.
     """
     anchor, context, k, h, place, total = (rows.column(c).to_numpy() for c in ("anchor", "context", "k", "h", "place", "n"))
-    order = np.lexsort((place, h, k, context, anchor))
+    order = np.lexsort((place_of(place)[0], h, k, context, anchor))
     anchor, context, k, h, place, total = (x[order] for x in (anchor, context, k, h, place, total))
-    twice = place // 64 % 2
+    twice = place >> 6 & 1
     new_anchor = np.append(True, anchor[1:] != anchor[:-1])
     new = new_anchor | np.append(True, context[1:] != context[:-1])
     # A repeated row gives its contexts again.
@@ -198,11 +228,14 @@ def resolve(rows: pa.Table, hot: int) -> pa.RecordBatch:
     whole = np.bincount(group, 1 + twice) == total[new_anchor]
     settled = whole & (np.bincount(group, new) == 1) & (np.bincount(group, twice) == 0)
     covered = ~new & ~again
-    on = new & ~settled[group]
+    # Of an anchor whose rows are all here, contexts that agree with no other on a side end here.
+    on = np.flatnonzero(new & ~settled[group])
+    alone = whole[group[on]] & (total[on] <= hot) & (twice[on] == 0) & ~shared_side(group[on], place[on])
+    on = on[~alone]
     parts = -(-total[on] // hot)
     salt = (mix((k[on] ^ h[on] ^ place[on]).view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
     route = np.where(parts > 1, mix((anchor[on] + salt).view(np.uint64)).view(np.int64), anchor[on])
-    pick = np.concatenate([np.flatnonzero(covered), np.flatnonzero(on)])
+    pick = np.concatenate([np.flatnonzero(covered), on])
     n = int(covered.sum())
     routes = pa.array(np.concatenate([np.zeros(n, np.int64), route]), mask=np.arange(len(pick)) < n)
     spread = pa.array(np.concatenate([np.zeros(n, bool), parts > 1]))
@@ -222,7 +255,7 @@ def shard_spans(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     spread anchor."""
     rows = rows.combine_chunks()
     k, h, place, spread = (rows.column(c).to_numpy() for c in ("k", "h", "place", "spread"))
-    order = np.lexsort((place, h, k))
+    order = np.lexsort((place_of(place)[0], h, k))
     new = np.ones(len(order), bool)  # a repeated row gives its contexts again
     new[1:] = (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1]) | (place[order][1:] != place[order][:-1])
     order = order[new]
@@ -398,7 +431,7 @@ def drop_repeats(docs: DataFrame, hot: int = HOT, at_once: int = ROWS) -> DataFr
     # One plan, in which every use of the texts is partitioned by (k, h): they are shuffled once.
     firsts = whole.join(reps, ["k", "h"], "left_semi")
     found = firsts.mapInArrow(_find_contexts, "anchor long, context long, k long, h long, place long")
-    times = 1 + F.shiftright("place", 6).bitwiseAND(1)
+    times = F.lit(1) + F.shiftright("place", 6).bitwiseAND(1)
     counts = found.groupBy("anchor").agg(F.sum(times).alias("n")).where("n > 1")
     repeated = found.join(counts, "anchor").sortWithinPartitions("anchor")
     resolved = repeated.mapInArrow(_resolve(hot, at_once), "k long, h long, place long, route long, spread boolean")
