@@ -29,10 +29,10 @@ from corpusflow.llm.common import SpanHash, documents, mix, rows_of
 from corpusflow.session import materialize
 
 LENGTH = 100
-GRAM = 32
+GRAM = 16
 # Strings of a context, bytes of a shard, rows resolved at once, contexts of an anchor in a shard.
-RUN = 63
-SHARD_BYTES = 1 << 20
+RUN = 127
+SHARD_BYTES = 3 << 18
 ROWS = 1 << 16
 HOT = 4096
 # Stands for a null doc_id, which comes after all others.
@@ -54,20 +54,20 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 # anchor with the SIDE bytes before it, and with those after it; zero where the text has none. Equal
 # strings around an anchor agree on one side or the other.
 SIDE = (LENGTH - GRAM) // 2
-_SIDE_BITS, _START_BITS = 12, 32
+_SIDE_BITS, _START_BITS, _RUN_BITS = 12, 31, 7
 
 
 def placed(start: np.ndarray, twice: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (((left << _SIDE_BITS | right) << _START_BITS | start) << 1 | twice) << 6 | n
+    return (((left << _SIDE_BITS | right) << _START_BITS | start) << 1 | twice) << _RUN_BITS | n
 
 
 def place_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First string's start and number of strings."""
-    return place >> 7 & (1 << _START_BITS) - 1, place & 63
+    return place >> 1 + _RUN_BITS & (1 << _START_BITS) - 1, place & RUN
 
 
 def sides_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    side = place >> 7 + _START_BITS
+    side = place >> 1 + _RUN_BITS + _START_BITS
     return side >> _SIDE_BITS, side & (1 << _SIDE_BITS) - 1
 
 
@@ -133,30 +133,40 @@ def words_at(data: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in their order, a suffix before those it begins."""
+    """Starts of all suffixes in their order, a suffix before those it begins. Below 2**21 bytes a pair of
+    ranks and a start are one number, and numbers are sorted many times as fast as places by keys."""
     n = len(data)
-    order = np.argsort(words_at(data), kind="stable")
-    key = words_at(data)[order]
-    new = np.append(True, key[1:] != key[:-1])
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    group = np.flatnonzero(new)
-    rank[order] = np.repeat(group, np.diff(np.append(group, n)))
-    h = 8
-    while True:
-        size = np.diff(np.append(group, n))
-        open_ = np.repeat(size > 1, size)
-        at = np.flatnonzero(open_)
-        if not len(at):
-            break
-        suffix = order[at]
-        key = rank[suffix] * (n + 1) + rank[np.minimum(suffix + h, n)] + 1
-        by_key = np.argsort(key, kind="stable")
-        order[at] = suffix[by_key]
-        key = key[by_key]
-        new[at] = np.append(True, key[1:] != key[:-1])
-        group = np.flatnonzero(new)
-        rank[order] = np.repeat(group, np.diff(np.append(group, n)))
+    width = max(n, 2).bit_length()
+    # As many letters at first as fit beside the start, in a dense alphabet; zero is the end.
+    known, letter = np.unique(data, return_inverse=True)
+    bits = len(known).bit_length()
+    h = max(1, (63 - width) // bits)
+    padded = np.concatenate([letter + 1, np.zeros(h, np.int64)])
+    key = np.zeros(n, np.int64)
+    for i in range(h):
+        key = key << bits | padded[i : n + i]
+    rank, order = np.empty(n + 1, np.int64), np.empty(n, np.int64)
+    rank[n] = 0
+
+    def settle(at: np.ndarray, key: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """Sort the places `at` by key; give their suffixes new ranks; the places still open."""
+        if 3 * width < 64:
+            packed = np.sort(key << width | suffix)
+            suffix, key = packed & (1 << width) - 1, packed >> width
+        else:
+            by_key = np.argsort(key)
+            suffix, key = suffix[by_key], key[by_key]
+        order[at] = suffix
+        new = np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(at)))
+        rank[suffix] = np.repeat(at[first], size) + 1
+        return at[np.repeat(size > 1, size)]
+
+    open_ = settle(np.arange(n), key, np.arange(n))
+    while len(open_):
+        suffix = order[open_]
+        open_ = settle(open_, rank[suffix] << width | rank[np.minimum(suffix + h, n)], suffix)
         h *= 2
     return order
 
@@ -181,9 +191,10 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         active = np.flatnonzero(j < n)
         while len(active):
             differ = word[np.minimum(i[active] + k[active], n)] ^ word[np.minimum(j[active] + k[active], n)]
-            same = np.full(len(active), 8)
-            for byte in range(1, 9):
-                same -= differ >> np.uint64(64 - 8 * byte) != 0
+            # Equal leading bytes from the exponent of the highest bit; the bit below it is cleared, so
+            # that the conversion doesn't round up.
+            top = (differ & ~(differ >> np.uint64(1))).astype(np.float64)
+            same = np.where(differ == 0, 8, 7 - ((top.view(np.int64) >> 52) - 1023 >> 3))
             k[active] += same
             active = active[(same == 8) & (k[active] < most)]
         h[lane] = out[i] = np.minimum(k, most)
@@ -211,7 +222,7 @@ def merged(first: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[np.nd
 
 def resolve(rows: pa.Table, hot: int) -> pa.RecordBatch:
     """Contexts of repeated anchors: places that are covered (route null), and the first of each context
-    that must be looked into (route: where to).
+    that must be looked into (route: where to; odd if the anchor is spread).
 
     An anchor of which these rows are not all, or that is too frequent, isn't decided here: its
     contexts go on, fewer by the copies seen.
@@ -219,7 +230,7 @@ def resolve(rows: pa.Table, hot: int) -> pa.RecordBatch:
     anchor, context, k, h, place, total = (rows.column(c).to_numpy() for c in ("anchor", "context", "k", "h", "place", "n"))
     order = np.lexsort((place_of(place)[0], h, k, context, anchor))
     anchor, context, k, h, place, total = (x[order] for x in (anchor, context, k, h, place, total))
-    twice = place >> 6 & 1
+    twice = place >> _RUN_BITS & 1
     new_anchor = np.append(True, anchor[1:] != anchor[:-1])
     new = new_anchor | np.append(True, context[1:] != context[:-1])
     # A repeated row gives its contexts again.
@@ -234,12 +245,11 @@ def resolve(rows: pa.Table, hot: int) -> pa.RecordBatch:
     on = on[~alone]
     parts = -(-total[on] // hot)
     salt = (mix((k[on] ^ h[on] ^ place[on]).view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-    route = np.where(parts > 1, mix((anchor[on] + salt).view(np.uint64)).view(np.int64), anchor[on])
+    route = np.where(parts > 1, mix((anchor[on] + salt).view(np.uint64)).view(np.int64), anchor[on]) & ~1 | (parts > 1)
     pick = np.concatenate([np.flatnonzero(covered), on])
     n = int(covered.sum())
     routes = pa.array(np.concatenate([np.zeros(n, np.int64), route]), mask=np.arange(len(pick)) < n)
-    spread = pa.array(np.concatenate([np.zeros(n, bool), parts > 1]))
-    return pa.RecordBatch.from_arrays([pa.array(k[pick]), pa.array(h[pick]), pa.array(place[pick]), routes, spread], names=["k", "h", "place", "route", "spread"])
+    return pa.RecordBatch.from_arrays([pa.array(k[pick]), pa.array(h[pick]), pa.array(place[pick]), routes], names=["k", "h", "place", "route"])
 
 
 SPANS = "k long, h long, start long, stop long, string binary"
@@ -254,12 +264,12 @@ def shard_spans(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     """Covered spans in the contexts of one shard; and, with `string`, the first of every string of a
     spread anchor."""
     rows = rows.combine_chunks()
-    k, h, place, spread = (rows.column(c).to_numpy() for c in ("k", "h", "place", "spread"))
+    k, h, place, spread = (rows.column(c).to_numpy() for c in ("k", "h", "place", "route"))
     order = np.lexsort((place_of(place)[0], h, k))
     new = np.ones(len(order), bool)  # a repeated row gives its contexts again
     new[1:] = (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1]) | (place[order][1:] != place[order][:-1])
     order = order[new]
-    k, h, place, spread = k[order], h[order], place[order], spread[order]
+    k, h, place, spread = k[order], h[order], place[order], spread[order] & 1 == 1
     data = np.frombuffer(b"".join(rows.column("context").take(pa.array(order)).to_pylist()), np.uint8)
     begins, n = place_of(place)
     begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
@@ -364,12 +374,12 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 start = start + offsets[r]
                 cut = [whole[x:y] for x, y in zip(start.tolist(), (start + n + LENGTH - 1).tolist(), strict=True)]
                 ids = [pa.array(np.full(len(cut), batch.column(c)[first + r].as_py())) for c in ("k", "h")]
-                columns = [wanted.field("route"), wanted.field("spread"), *ids, pa.array(place), pa.array(cut, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["route", "spread", "k", "h", "place", "context"])
+                columns = [wanted.field("route"), *ids, pa.array(place), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["route", "k", "h", "place", "context"])
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _tables(batches, "route", SHARD_BYTES // (LENGTH + RUN // 2)):
+    for rows in _tables(batches, "route", SHARD_BYTES // (LENGTH + RUN)):
         yield from shard_spans(rows)
 
 
@@ -431,16 +441,16 @@ def drop_repeats(docs: DataFrame, hot: int = HOT, at_once: int = ROWS) -> DataFr
     # One plan, in which every use of the texts is partitioned by (k, h): they are shuffled once.
     firsts = whole.join(reps, ["k", "h"], "left_semi")
     found = firsts.mapInArrow(_find_contexts, "anchor long, context long, k long, h long, place long")
-    times = F.lit(1) + F.shiftright("place", 6).bitwiseAND(1)
+    times = F.lit(1) + F.shiftright("place", _RUN_BITS).bitwiseAND(1)
     counts = found.groupBy("anchor").agg(F.sum(times).alias("n")).where("n > 1")
     repeated = found.join(counts, "anchor").sortWithinPartitions("anchor")
-    resolved = repeated.mapInArrow(_resolve(hot, at_once), "k long, h long, place long, route long, spread boolean")
+    resolved = repeated.mapInArrow(_resolve(hot, at_once), "k long, h long, place long, route long")
     lists = resolved.groupBy("k", "h").agg(
         F.collect_list(F.when(F.col("route").isNull(), F.col("place"))).alias("covered"),
-        F.collect_list(F.when(F.col("route").isNotNull(), F.struct("route", "spread", "place"))).alias("wanted"),
+        F.collect_list(F.when(F.col("route").isNotNull(), F.struct("route", "place"))).alias("wanted"),
     )
     cut = whole.join(lists, ["k", "h"]).select("k", "h", "text", "wanted")
-    cut = cut.mapInArrow(_cut_contexts, "route long, spread boolean, k long, h long, place long, context binary")
+    cut = cut.mapInArrow(_cut_contexts, "route long, k long, h long, place long, context binary")
     spans = cut.repartition("route").sortWithinPartitions("route").mapInArrow(_shards, SPANS)
     # Equal strings meet; other spans go anywhere.
     spans = spans.withColumn("to", F.when(F.col("string").isNull(), F.xxhash64("k", "h", "start")).otherwise(F.xxhash64("string")))
