@@ -1,7 +1,8 @@
 """Quality rules: counted rules plus a log-likelihood ratio of hashed n-grams.
 
 The ratio compares two multinomials over hashed byte n-grams: that of a trusted target and that of
-the raw corpus. Both are counted over all their documents. A document's score is the mean ratio of
+the raw corpus. The raw corpus is counted over all documents, the target over a bounded number of
+trusted ones, whose ids every task can hold. A document's score is the mean ratio of
 its n-grams, so it does not grow with the length; a document scoring below a fixed threshold fails.
 """
 
@@ -17,6 +18,8 @@ from corpusflow.llm.common import SpanHash, documents, mix, row_sums, rows_of, w
 GRAM = 3
 BUCKETS = 1 << 16
 THRESHOLD = -0.5
+# Trusted documents that the target is counted over, at most: those of the smallest hashes.
+MAX_TRUSTED = 20_000
 SYMBOLS = "#*$%&|<>"
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -129,10 +132,11 @@ def _judge(weights, threshold: float, whole_rows: bool):
     return run
 
 
-def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """Log ratios of the n-gram buckets. `trusted` has the doc_id of trusted documents."""
-    ids = trusted.select("doc_id").where("doc_id is not null").distinct()
-    target = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+def fit(docs: DataFrame, trusted: DataFrame, most: int = MAX_TRUSTED) -> np.ndarray:
+    """Log ratios of the n-gram buckets. `trusted` has the doc_id of trusted documents, of which at
+    most `most` are used."""
+    ids = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    target = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
     return log_ratio(multinomial(target), multinomial(docs))
 
 

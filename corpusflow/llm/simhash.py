@@ -32,8 +32,8 @@ BITS = 64
 SEED = 42
 # Rows of a cell in which fingerprints are compared.
 CELL_ROWS = 8192
-# Estimated costs in seconds of a row that is shuffled and of a comparison.
-ROW_COST, COMPARE_COST = 4e-6, 5e-9
+# Estimated costs in seconds of a row that is shuffled, its disk included, and of a comparison.
+ROW_COST, COMPARE_COST = 3e-5, 5e-9
 HASHES_AT_ONCE = 1 << 16
 
 

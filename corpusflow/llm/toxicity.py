@@ -14,7 +14,7 @@ from corpusflow.llm import features
 
 VIEW = features.View(prefixes=(4, 5, 6, 7, 8), lower=True)
 # Documents used for training, at most: those of the smallest hashes.
-MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
+MAX_POSITIVE, MAX_UNLABELLED = 2000, 4000
 EPOCHS, BATCHES, RATE, DECAY = 40, 16, 0.2, 1e-5
 SUPPORT, LEAST_RATIO = 5, 0.5
 THRESHOLD = 0.5
@@ -40,7 +40,10 @@ def nonnegative_pu(prior: float):
         if not len(positive) or not len(unlabelled):
             return weights
         ratio = log_ratio(y, ends, bucket)
-        value = value * ratio[bucket]
+        used = ratio[bucket] != 0
+        ends = np.append(0, np.cumsum(used))[ends]
+        bucket = bucket[used]
+        value = value[used] * ratio[bucket]
         rng = np.random.default_rng(1)
         m, v, t = np.zeros_like(weights), np.zeros_like(weights), 0
         for _ in range(EPOCHS):
