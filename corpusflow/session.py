@@ -29,10 +29,12 @@ def build_session(app_name: str = "corpusflow", master: str | None = None, **ext
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: `spark.checkpoint.dir` of the session.
 
-    Only where the session names none (tests on one machine) a temporary one is made.
+    Only on one machine (a local master, as in tests) a temporary one is made where none is named.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="corpusflow-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
