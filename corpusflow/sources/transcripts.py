@@ -92,7 +92,8 @@ def read_messages(spark: SparkSession, path: str, schema: T.StructType = MESSAGE
 
 def session_messages(log: DataFrame, session_id, buckets: int = SESSION_BUCKETS) -> DataFrame:
     """One session's messages; the bucket condition prunes the scan to one folder."""
-    session = F.lit(session_id)
+    # The bucket is a hash of the stored type, which a literal need not have.
+    session = F.lit(session_id).cast(log.schema["session_id"].dataType)
     return log.filter(
         (F.col("bucket") == F.pmod(F.xxhash64(session), F.lit(buckets))) & (F.col("session_id") == session)
     )
