@@ -14,7 +14,7 @@ from corpusflow.operators.knn import knn
 from corpusflow.plans.ingest import chunk_documents, embed_documents
 from corpusflow.plans.replay import replay, search_texts, turn_id
 from corpusflow.plans.retrieve import retrieve, search
-from corpusflow.session import fan_out, new_path
+from corpusflow.session import new_path
 from corpusflow.sources import index, transcripts
 from corpusflow.sources.markdown import split_markdown
 from corpusflow.streaming import jobs
@@ -185,7 +185,7 @@ def transcript_sink(spark, sf):
     """Sessions written as JSON arrays, three messages to a part, and read back."""
     path = new_path(spark, "transcripts")
     transcripts.write_transcripts(messages(spark, sf), path, 3)
-    back = transcripts.read_written_transcripts(spark, path, T.LongType(), 3)
+    back = transcripts.read_written_transcripts(spark, path, T.LongType())
     return back.select("session_id", "seq", "role", "content")
 
 
@@ -241,28 +241,28 @@ def vector_cast_check(spark, sf):
 
 def knn_cosine(spark, sf):
     q, v = vector_pairs(spark, sf)
-    return knn(q, v, 12)
+    return knn(q, v, 12, dim=DIM)
 
 
 def knn_cosine_cells(spark, sf):
     """As knn_cosine, by the way for two large sides."""
     q, v = vector_pairs(spark, sf)
-    return knn(q, v, 12, max_broadcast_queries=0, n_cells=16)
+    return knn(q, v, 12, dim=DIM, max_broadcast_queries=0, n_cells=16)
 
 
 def knn_euclidean(spark, sf):
     q, v = vector_pairs(spark, sf)
-    return knn(q, v, 12, metric="euclidean")
+    return knn(q, v, 12, dim=DIM, metric="euclidean")
 
 
 def knn_euclidean_cells(spark, sf):
     q, v = vector_pairs(spark, sf)
-    return knn(q, v, 12, metric="euclidean", max_broadcast_queries=0, n_cells=16)
+    return knn(q, v, 12, dim=DIM, metric="euclidean", max_broadcast_queries=0, n_cells=16)
 
 
 def distance_cutoff(spark, sf):
     q, v = vector_pairs(spark, sf)
-    return knn(q, v, 12, metadata=["label"], max_distance=0.5)
+    return knn(q, v, 12, dim=DIM, metadata=["label"], max_distance=0.5)
 
 
 def search_gate(spark, sf):
@@ -278,13 +278,13 @@ def search_gate(spark, sf):
 
 
 def tokenize_ws(spark, sf):
-    t = fan_out(table(spark, sf, "documents")).select("doc_id", tokens(F.col("text")).alias("t"))
+    t = table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
 def lexical_overlap(spark, sf):
     """Every message scored against the one after it."""
-    m = fan_out(messages(spark, sf)).select("session_id", "seq", "content")
+    m = messages(spark, sf).select("session_id", "seq", "content")
     after = m.select("session_id", (F.col("seq") - 1).alias("seq"), F.col("content").alias("next"))
     return m.join(after, ["session_id", "seq"]).select(
         "session_id", "seq", F.round(lexical_score(F.col("content"), F.col("next")), 6).alias("lexical")
@@ -295,7 +295,7 @@ def distance_default(spark, sf):
     """Each vector finds itself at distance zero."""
     q, v = vector_pairs(spark, sf)
     d = F.col("distance")
-    return knn(q, v, 5).select(
+    return knn(q, v, 5, dim=DIM).select(
         "query_id", "key", "distance",
         rerank.scoring_distance(d).alias("scoring_distance"),
         rerank.scoring_distance(d, zero_is_missing=False).alias("plain_distance"),
@@ -385,7 +385,7 @@ def rewrite_request(spark, sf):
 
 def rewrite_merge(spark, sf):
     """Rewrites by length of the message: none, a padded one, a blank one."""
-    turns = messages(spark, sf).filter("role = 'user'")
+    turns = conv.rewrite_context(messages(spark, sf))
     n = F.length("content")
     text = F.when(n > 250, F.lit(" \n ")).when(n > 100, F.concat(F.lit("\t "), F.lower("content"), F.lit(" \n")))
     rewrites = turns.select("session_id", "seq", text.alias("rewritten"))

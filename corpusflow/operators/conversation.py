@@ -39,18 +39,22 @@ def positions(df: DataFrame, key: str, order: str, out_col: str, block: int = BL
 def with_previous(messages: DataFrame, n: int, value: Column, out_col: str, block: int = BLOCK) -> DataFrame:
     """Add the `value` of the last `n` earlier messages of the session, oldest first.
 
-    Relies on `seq` being gap-free: the n messages before a block are the last n of the
-    block before it.
+    Messages are numbered first, so `seq` may start anywhere and have gaps: the n messages
+    before a block of positions are then the last n of the block before it.
     """
     block = max(block, n)
-    own = F.floor(F.col("seq") / block)
-    copies = F.when(F.col("seq") % block >= block - n, F.array(own, own + 1)).otherwise(F.array(own))
-    window = Window.partitionBy("session_id", "_block").orderBy("seq").rowsBetween(-n, -1)
+    at = F.col("_at")
+    own = F.floor(at / block)
+    copies = F.when(at % block >= block - n, F.array(own, own + 1)).otherwise(F.array(own))
+    window = Window.partitionBy("session_id", "_block").orderBy("_at").rowsBetween(-n, -1)
+    # A null value keeps its place in the list: inside a struct it is not left out.
+    past = F.transform(F.collect_list(F.struct(value.alias("v"))).over(window), lambda s: s["v"])
     return (
-        messages.withColumn("_block", F.explode(copies))
-        .withColumn(out_col, F.collect_list(value).over(window))
+        positions(messages, "session_id", "seq", "_at", block)
+        .withColumn("_block", F.explode(copies))
+        .withColumn(out_col, past)
         .filter(F.col("_block") == own)
-        .drop("_block")
+        .drop("_block", "_at")
     )
 
 
@@ -66,7 +70,7 @@ def with_history(messages: DataFrame, n: int = HISTORY_MESSAGES) -> DataFrame:
 
 def rewrite_context(messages: DataFrame, n: int = REWRITE_MESSAGES) -> DataFrame:
     """Each user turn with `context`: a `role: content` line for each of the last n messages."""
-    line = F.concat("role", F.lit(": "), F.coalesce("content", F.lit("")), F.lit("\n"))
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("content", F.lit("")), F.lit("\n"))
     past = with_previous(messages, n, line, "_lines")
     return past.filter(F.col("role") == "user").withColumn("context", F.array_join("_lines", "")).drop("_lines")
 
@@ -76,18 +80,23 @@ CONTEXT_LABEL = "CONVERSATION HISTORY:"
 FOLLOW_UP_LABEL = "FOLLOW-UP:"
 
 
+def has_history() -> Column:
+    """Every line of a context has its line end, so only an empty window gives an empty one."""
+    return F.col("context") != ""
+
+
 def rewrite_request(turns: DataFrame) -> DataFrame:
-    """Add `request`, the text asking for a standalone query; null for a session's first turn."""
+    """Add `request`, the text asking for a standalone query; null for a turn without history."""
     text = F.concat(
         F.lit(f"{CONTEXT_LABEL}\n"), F.col("context"), F.lit(f"\n\n{FOLLOW_UP_LABEL} "), F.col("content")
     )
-    return turns.withColumn("request", F.when(F.col("seq") > 0, text))
+    return turns.withColumn("request", F.when(has_history(), text))
 
 
 def merge_rewrites(turns: DataFrame, rewrites: DataFrame, on: list[str]) -> DataFrame:
-    """Add `search_text`: the stripped rewrite where there is history and a rewrite, else the
-    message. An empty rewrite stays empty."""
-    rewritten = F.when(F.col("seq") > 0, strip(F.col("rewritten")))
+    """Add `search_text` to turns of `rewrite_context`: the stripped rewrite where there is history
+    and a rewrite, else the message. An empty rewrite stays empty."""
+    rewritten = F.when(has_history(), strip(F.col("rewritten")))
     return (
         turns.join(rewrites.select(*on, "rewritten"), on, "left")
         .withColumn("search_text", F.coalesce(rewritten, F.col("content")))
@@ -122,12 +131,17 @@ def new_messages(messages: DataFrame, turns: DataFrame, answers: DataFrame) -> D
     pair = F.array(
         row(first, "user", "message", "asked_at"), row(first + 1, "assistant", "answer", "answered_at")
     )
-    return numbered.select("session_id", F.explode(pair).alias("m")).select("session_id", "m.*")
+    return numbered.select("session_id", "turn_id", F.explode(pair).alias("m")).select("session_id", "m.*", "turn_id")
 
 
 def commit_turns(messages: DataFrame, turns: DataFrame, answers: DataFrame) -> DataFrame:
-    """The log after the answered turns."""
-    return messages.unionByName(new_messages(messages, turns, answers))
+    """The log after the answered turns, whose messages carry their `turn_id`.
+
+    A turn already in the log is not committed again, so a rerun changes nothing."""
+    if "turn_id" in messages.columns:
+        done = messages.select("turn_id").filter("turn_id is not null").distinct()
+        turns = turns.join(done, "turn_id", "left_anti")
+    return messages.unionByName(new_messages(messages, turns, answers), allowMissingColumns=True)
 
 
 def sources_per_query(sources: DataFrame, value: Column, out_col: str) -> DataFrame:

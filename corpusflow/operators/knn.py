@@ -47,17 +47,18 @@ def knn(
     vectors: DataFrame,
     k: int = 5,
     metric: str = "cosine",
+    *,
+    dim: int,
     metadata: list[str] | None = None,
     max_distance: float | None = None,
     enabled: bool = True,
-    dim: int | None = None,
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
     n_cells: int | None = None,
 ) -> DataFrame:
     """The k nearest vectors per query: query_id, raw_rank (from 1), key, distance, metadata.
 
     `queries` has a unique query_id and an embedding, `vectors` a unique key, an embedding
-    and the metadata columns. A query without a usable vector (missing, wrong size, of no
+    and the metadata columns, vectors of `dim` components. A query without a usable vector (missing, wrong size, of no
     direction under cosine) has no hits; so has every query when `enabled` is False.
     `max_distance` drops hits farther away.
     """
@@ -66,9 +67,6 @@ def knn(
     metadata = [c for c in metadata or [] if c != "key"]
     # A stored index is partitioned by `bucket`; carrying it lets the join back prune.
     locator = ["key"] + (["bucket"] if "bucket" in vectors.columns else [])
-    if dim is None:
-        first = vectors.filter("embedding is not null").select(F.size("embedding")).first()
-        dim = first[0] if first else 1
     # Unusable vectors are left out inside the tasks: a filter here would make Spark compute
     # an embedding column twice, once for the filter.
     asked = queries.filter(F.lit(enabled)).select("query_id", as_floats("embedding"))

@@ -5,15 +5,18 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_text, ingest_report, with_chunk_metadata
 from corpusflow.operators.embedding import Embedder, embed
-from corpusflow.session import fan_out
-from corpusflow.sources.index import read_index, upsert, write_snapshot
+from corpusflow.functions.vectors import validate_vectors
+from corpusflow.session import materialize
+from corpusflow.sources.index import put
 from corpusflow.sources.markdown import read_markdown
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks with key and metadata of documents(filename, content): row-wise, no shuffle
-    (unless there are fewer files than cores)."""
-    return with_chunk_metadata(chunk_text(fan_out(docs), "content", size, overlap))
+    """Chunks with key and metadata of documents(filename, content): row-wise, no shuffle.
+
+    Tasks are as many as the scan has splits; set `spark.sql.files.maxPartitionBytes` or
+    repartition the documents where these are too few."""
+    return with_chunk_metadata(chunk_text(docs, "content", size, overlap))
 
 
 def embed_documents(
@@ -33,10 +36,25 @@ def ingest(
     version: int,
     embedder: Embedder | None = None,
     replace_document: bool = False,
+    dim: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Put a folder of markdown files into an index, all or nothing; (report, rejects)."""
-    docs, rejects = read_markdown(spark, source)
-    vectors = embed_documents(docs, embedder).withColumn("version", F.lit(version).cast("long"))
-    current = read_index(spark, index).drop("bucket")
-    write_snapshot(upsert(current, vectors, replace_document), index)
-    return ingest_report(docs, chunk_documents(docs)), rejects
+    """Put a folder of markdown files into an index, all or nothing; (report, rejects).
+
+    The files are read once: their chunks and the names of documents and rejects are written to
+    the shared folder, and the index, the report and the rejects come from there. With `dim`,
+    chunks whose vector has another size or a component that is not finite are rejected too;
+    chunks without a vector (no words) stay, they have no hits.
+    """
+    docs, bad_files = read_markdown(spark, source)
+    outcome = docs.withColumn("reason", F.lit(None).cast("string")).unionByName(bad_files, allowMissingColumns=True)
+    read = materialize(outcome, "ingest-files")
+    docs = read.filter("reason is null").select("filename", "content")
+    rejects = read.filter("reason is not null").select("filename", "reason")
+    vectors = materialize(embed_documents(docs, embedder).withColumn("version", F.lit(version).cast("long")), "ingest-vectors")
+    if dim is not None:
+        good, bad = validate_vectors(vectors, dim)
+        empty = bad.filter("reason = 'missing vector'").drop("reason")
+        rejects = rejects.unionByName(bad.filter("reason <> 'missing vector'").select("filename", "reason"))
+        vectors = good.unionByName(empty)
+    put(spark, index, vectors, replace_document)
+    return ingest_report(docs.select("filename"), vectors), rejects

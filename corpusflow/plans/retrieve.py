@@ -1,7 +1,6 @@
 """Retrieve: a table of queries to ranked source rows."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusflow.operators.embedding import Embedder, embed
 from corpusflow.operators.knn import knn
@@ -38,11 +37,3 @@ def retrieve(
 def retrieve_texts(queries: DataFrame, vectors: DataFrame, embedder: Embedder | None = None, **options) -> DataFrame:
     """As `retrieve`, for queries(query_id, query) that have no vector yet."""
     return retrieve(embed(queries, "query", embedder), vectors, **options)
-
-
-def with_empty(queries: DataFrame, sources: DataFrame) -> DataFrame:
-    """Source counts of all queries, those without sources too."""
-    counts = sources.groupBy("query_id").agg(F.count("*").alias("n_sources"))
-    return queries.select("query_id").join(counts, "query_id", "left").withColumn(
-        "n_sources", F.coalesce("n_sources", F.lit(0))
-    )

@@ -2,10 +2,6 @@
 
 from pyspark.sql import types as T
 
-DOCUMENTS = T.StructType(
-    [T.StructField("filename", T.StringType()), T.StructField("content", T.StringType())]
-)
-
 CHUNKS = T.StructType(
     [
         T.StructField("key", T.StringType()),
@@ -29,10 +25,6 @@ VECTORS = T.StructType(
 # Metadata that a hit carries next to its key and distance.
 METADATA = ["title", "source_path", "doc_type", "chunk_index", "chunk_text"]
 
-SOURCE_FIELDS = [
-    "id", "title", "source_path", "snippet", "doc_type", "chunk_index", "distance",
-]
-
 # Binary files as Spark's own reader presents them.
 BINARY_FILES = T.StructType(
     [

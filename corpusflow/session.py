@@ -50,18 +50,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-# An input up to this size per core may be spread by `fan_out`.
-FAN_OUT_BYTES = 64 << 20
-
-
-def fan_out(df: DataFrame) -> DataFrame:
-    """Spread a small input of fewer files than cores over all cores, ahead of work that costs
-    far more than moving it. Larger inputs have tasks enough and are not shuffled."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df._jdf.inputFiles())
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if 0 < files < cores and size <= cores * FAN_OUT_BYTES else df

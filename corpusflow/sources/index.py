@@ -1,12 +1,17 @@
 """The vector index: upsert by key, snapshots on plain Parquet, an append log for streams.
 
 Layout below the index path: `snapshots/<folder>` (partitioned by a hash bucket of the key),
-`commits` (one row per finished snapshot, naming its folder) and `log` (vectors appended since).
-Nothing is ever overwritten; a snapshot counts once its commit row is there.
+`commits/<number>.json` (a finished snapshot: its folder, bucket count and how far the log is
+folded in), `log/stream=<s>/batch=<n>` (vectors appended since) and `batches` (the finished
+ones of these). Nothing is ever overwritten; a snapshot counts once its commit file is there.
 """
 
+import json
 import uuid
+from collections.abc import Callable
+from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +20,21 @@ from pyspark.sql import types as T
 from corpusflow.schemas import VECTORS
 
 BUCKETS = 64
-_COMMITS = "snapshot bigint, folder string"
+_COMMITS = "snapshot bigint, folder string, buckets int, folded map<string, bigint>"
+_BATCHES = "stream string, batch bigint"
+
+
+class Commit(NamedTuple):
+    """`folded`: per stream, the last batch of the log that the snapshot holds."""
+
+    snapshot: int
+    folder: str
+    buckets: int
+    folded: dict[str, int]
+
+
+class CommitConflict(Exception):
+    """Another writer has committed the snapshot of that number."""
 
 
 def latest(vectors: DataFrame) -> DataFrame:
@@ -34,23 +53,38 @@ def latest(vectors: DataFrame) -> DataFrame:
 def upsert(current: DataFrame, incoming: DataFrame, replace_document: bool = False) -> DataFrame:
     """The index after putting `incoming` by key.
 
-    Keys not put again stay, also the tail of a document that became shorter, unless
-    `replace_document` first removes everything of the incoming documents.
+    The higher version of a key wins, of equal ones the incoming. Keys not put again stay, also
+    the tail of a document that became shorter. With `replace_document` the versions of whole
+    documents are compared, and only chunks of a document's winning version stay.
     """
     match = "filename" if replace_document else "key"
-    kept = current.join(incoming.select(match).distinct(), match, "left_anti")
-    return kept.select(*current.columns).unionByName(latest(incoming).select(*current.columns))
 
+    def versions(of: DataFrame, name: str) -> DataFrame:
+        return of.groupBy(F.col(match).alias("_m")).agg(F.max("version").alias(name))
+
+    put = versions(incoming, "_put")
+    if replace_document:
+        incoming = incoming.join(put, (F.col(match) == F.col("_m")) & (F.col("version") == F.col("_put")), "left_semi")
+    kept = current.join(put, (F.col(match) == F.col("_m")) & (F.col("_put") >= F.col("version")), "left_anti")
+    there = versions(current, "_there")
+    won = latest(incoming).join(there, (F.col(match) == F.col("_m")) & (F.col("_there") > F.col("version")), "left_anti")
+    return kept.select(*current.columns).unionByName(won.select(*current.columns))
 
-def write_snapshot(vectors: DataFrame, path: str, buckets: int = BUCKETS) -> int:
-    """Write a new snapshot and commit it; returns its number.
+
+def write_snapshot(
+    vectors: DataFrame,
+    path: str,
+    buckets: int = BUCKETS,
+    after: Commit | None = None,
+    folded: dict[str, int] | None = None,
+) -> int:
+    """Write the snapshot that follows `after` and commit it; returns its number.
 
     Rebalanced by bucket: adaptive execution splits large buckets and merges small ones into
-    files of the advisory partition size.
+    files of the advisory partition size. Raises CommitConflict if another snapshot has followed
+    `after` meanwhile: what it put is not in `vectors`.
     """
-    spark = vectors.sparkSession
-    latest_commit = current_snapshot(spark, path)
-    number = latest_commit[0] + 1 if latest_commit else 1
+    number = after.snapshot + 1 if after else 1
     folder = f"{number}-{uuid.uuid4().hex}"
     (
         vectors.drop("bucket")
@@ -58,44 +92,113 @@ def write_snapshot(vectors: DataFrame, path: str, buckets: int = BUCKETS) -> int
         .hint("rebalance", "bucket")
         .write.partitionBy("bucket").parquet(f"{path}/snapshots/{folder}")
     )
-    commit = spark.createDataFrame([(number, folder)], _COMMITS)
-    commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    row = {"snapshot": number, "folder": folder, "buckets": buckets,
+           "folded": (after.folded if after else {}) if folded is None else folded}
+    _create(vectors.sparkSession, f"{path}/commits/{number:012d}.json", json.dumps(row) + "\n")
     return number
 
 
-def _read_if_there(spark: SparkSession, path: str, schema) -> DataFrame | None:
+def _create(spark: SparkSession, name: str, text: str) -> None:
+    """A new file through Hadoop's file system, which refuses a name that is taken."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(name)
+    system = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = system.create(file, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
+            raise CommitConflict(name) from error
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _read_if_there(reader: Callable[[str], DataFrame], path: str) -> DataFrame | None:
     try:
-        return spark.read.schema(schema).parquet(path)
+        return reader(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def current_snapshot(spark: SparkSession, path: str) -> tuple[int, str] | None:
-    """(number, folder) of the last committed snapshot."""
-    commits = _read_if_there(spark, f"{path}/commits", _COMMITS)
-    if commits is None:
-        return None
-    last = commits.agg(F.max(F.struct("snapshot", "folder")).alias("c")).first().c
-    return tuple(last) if last else None
+def current_snapshot(spark: SparkSession, path: str) -> Commit | None:
+    """The last committed snapshot."""
+    commits = _read_if_there(spark.read.schema(_COMMITS).json, f"{path}/commits")
+    last = commits and commits.filter("snapshot is not null").orderBy(F.desc("snapshot")).first()
+    return Commit(last.snapshot, last.folder, last.buckets, last.folded or {}) if last else None
 
 
-def read_index(spark: SparkSession, path: str, schema: T.StructType = VECTORS) -> DataFrame:
-    """The current snapshot with all metadata, and its `bucket` for pruning."""
-    last = current_snapshot(spark, path)
+def read_snapshot(spark: SparkSession, path: str, commit: Commit | None, schema: T.StructType = VECTORS) -> DataFrame:
+    """A snapshot with all metadata, and its `bucket` for pruning."""
     stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-    if last is None:
+    if commit is None:
         return spark.createDataFrame([], stored)
-    return spark.read.schema(stored).parquet(f"{path}/snapshots/{last[1]}")
+    return spark.read.schema(stored).parquet(f"{path}/snapshots/{commit.folder}")
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType = VECTORS) -> DataFrame:
-    log = _read_if_there(spark, f"{path}/log", schema)
-    return spark.createDataFrame([], schema) if log is None else log
-
-
-def compact(spark: SparkSession, path: str, replace_document: bool = False, buckets: int = BUCKETS) -> int:
-    """Fold the log into a new snapshot. Folding the same log again changes nothing."""
-    merged = upsert(read_index(spark, path).drop("bucket"), read_log(spark, path), replace_document)
-    return write_snapshot(merged, path, buckets)
+def read_index(spark: SparkSession, path: str, schema: T.StructType = VECTORS) -> DataFrame:
+    """The current snapshot."""
+    return read_snapshot(spark, path, current_snapshot(spark, path), schema)
+
+
+def put(
+    spark: SparkSession, path: str, incoming: DataFrame, replace_document: bool = False, buckets: int | None = None
+) -> int:
+    """Put vectors into the index; returns the new snapshot's number.
+
+    If another writer commits first, the put is done again on top of that snapshot."""
+    while True:
+        last = current_snapshot(spark, path)
+        merged = upsert(read_snapshot(spark, path, last).drop("bucket"), incoming, replace_document)
+        try:
+            return write_snapshot(merged, path, buckets or (last.buckets if last else BUCKETS), last)
+        except CommitConflict:
+            continue
+
+
+def append_log(batch: DataFrame, path: str, stream: str, number: int) -> None:
+    """Add one batch of a stream to the log; a batch that runs again replaces itself."""
+    batch.write.mode("overwrite").parquet(f"{path}/log/stream={stream}/batch={number}")
+    done = batch.sparkSession.createDataFrame([(stream, number)], _BATCHES)
+    done.coalesce(1).write.mode("append").parquet(f"{path}/batches")
+
+
+def log_end(spark: SparkSession, path: str) -> dict[str, int]:
+    """The last finished batch of each stream."""
+    batches = _read_if_there(spark.read.schema(_BATCHES).parquet, f"{path}/batches")
+    if batches is None:
+        return {}
+    return {r.stream: r.last for r in batches.groupBy("stream").agg(F.max("batch").alias("last")).collect()}
+
+
+def read_log(
+    spark: SparkSession, path: str, after: dict[str, int], upto: dict[str, int], schema: T.StructType = VECTORS
+) -> DataFrame:
+    """The log's batches after one position up to another, by partition filters."""
+    stored = T.StructType([*schema.fields, *T._parse_datatype_string(_BATCHES).fields])
+    log = _read_if_there(spark.read.schema(stored).parquet, f"{path}/log") if upto else None
+    if log is None:
+        return spark.createDataFrame([], schema)
+    wanted = F.lit(False)
+    for stream, last in upto.items():
+        wanted |= (F.col("stream") == stream) & (F.col("batch") > after.get(stream, -1)) & (F.col("batch") <= last)
+    return log.filter(wanted).select(*schema.names)
+
+
+def compact(spark: SparkSession, path: str, replace_document: bool = False, buckets: int | None = None) -> int:
+    """Fold what the log has gained since the last snapshot into a new one.
+
+    The commit records how far the log is folded, so no batch is folded twice and an older
+    version in the log never comes back. With nothing to fold, no snapshot is written.
+    """
+    while True:
+        last = current_snapshot(spark, path)
+        folded, upto = last.folded if last else {}, log_end(spark, path)
+        if last and all(folded.get(s, -1) >= n for s, n in upto.items()):
+            return last.snapshot
+        gained = read_log(spark, path, folded, upto)
+        merged = upsert(read_snapshot(spark, path, last).drop("bucket"), gained, replace_document)
+        try:
+            return write_snapshot(merged, path, buckets or (last.buckets if last else BUCKETS), last, {**folded, **upto})
+        except CommitConflict:
+            continue

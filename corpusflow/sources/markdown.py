@@ -11,17 +11,28 @@ from corpusflow.schemas import BINARY_FILES
 SUFFIX = ".md"
 
 
-def split_markdown(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A folder's name as it begins the paths of its files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
+
+
+def split_markdown(files: DataFrame, root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects) of a table of binary files with `path` and `content`.
 
-    A document's name ends in `.md`, in that case, and its content is valid UTF-8; the text
+    A file is named by its path below `root`, so equal names in two folders stay apart; without
+    a root, or outside it, by its last part. A document's name ends in `.md`, in that case, and its content is valid UTF-8; the text
     is taken as it is, byte order mark and line ends included. Other columns are kept.
     """
     text = F.col("content").cast("string")
     reason = F.when(~F.col("filename").endswith(SUFFIX), F.lit("not a .md file")).when(
         ~F.is_valid_utf8(text), F.lit("not valid UTF-8")
     )
-    named = files.withColumn("filename", F.regexp_extract("path", r"[^/]*\z", 0)).withColumn("reason", reason)
+    name = F.regexp_extract("path", r"[^/]*\z", 0)
+    if root is not None:
+        below = F.substring("path", len(root) + 1, 1 << 30)
+        name = F.when(F.startswith("path", F.lit(root)), below).otherwise(name)
+    named = files.withColumn("filename", name).withColumn("reason", reason)
     others = [c for c in files.columns if c not in ("path", "length", "content")]
     docs = named.filter("reason is null").select("filename", text.alias("content"), *others)
     return docs, named.filter("reason is not null").select("filename", "reason")
@@ -41,16 +52,21 @@ def read_markdown(spark: SparkSession, path: str, empty_files: bool = True) -> t
         listed = spark.createDataFrame(names, "path string")
         empty = listed.join(files.select("path"), "path", "left_anti")
         files = files.unionByName(empty.withColumn("content", F.lit(b"")))
-    return split_markdown(files)
+    return split_markdown(files, _qualified(spark, path))
+
 
+def stream_markdown(
+    spark: SparkSession, path: str, max_files_per_trigger: int = 1000
+) -> tuple[DataFrame, DataFrame]:
+    """(documents with their modification time, rejects) of the files arriving below a folder.
 
-def stream_markdown(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """Documents of the `.md` files that arrive in a folder, with their modification time."""
+    Two streams, each started by itself, with the names and the outcomes of `read_markdown`; only
+    files without content never arrive, Spark's file stream passes them over."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILES)
-        .option("pathGlobFilter", f"*{SUFFIX}")
+        .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .load(path)
     )
-    return split_markdown(files)[0]
+    return split_markdown(files, _qualified(spark, path))

@@ -1,5 +1,6 @@
 """Structured Streaming forms of ingest, history and retrieval."""
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from corpusflow.operators.conversation import BLOCK, HISTORY_MESSAGES
 from corpusflow.operators.embedding import Embedder
 from corpusflow.plans.ingest import embed_documents
 from corpusflow.plans.retrieve import retrieve
+from corpusflow.sources.index import append_log
 
 
 def stream_ingest(
@@ -21,17 +23,22 @@ def stream_ingest(
     """Append the chunk vectors of arriving documents(filename, content, modificationTime) to
     the index log.
 
-    Row-wise work into Spark's exactly-once file sink. `compact` folds the log into the next
-    snapshot when it suits, so a small batch does not rewrite the index.
+    Row-wise work into a folder per batch, named after the stream's checkpoint. `compact` folds
+    the log into the next snapshot when it suits, so a small batch does not rewrite the index.
     """
     versioned = docs.withColumn("version", F.unix_micros("modificationTime")).drop("modificationTime")
     vectors = embed_documents(versioned, embedder).select(
         "key", "filename", "source_path", "title", "doc_type", "chunk_index", "chunk_text",
         "embedding", "version",
     )
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def add(batch: DataFrame, number: int) -> None:
+        append_log(batch, index, stream, number)
+
     return (
-        vectors.writeStream.format("parquet").option("path", f"{index}/log")
-        .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        vectors.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
 
 

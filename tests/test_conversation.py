@@ -49,8 +49,20 @@ def test_windows_for_any_block_size(spark, n, block):
 
 def test_history_is_not_partitioned_by_session_alone(long_and_short):
     plan = conv.with_history(long_and_short)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "hashpartitioning(session_id" in plan and "_block" in plan.split("hashpartitioning(")[1].split(")")[0]
+    exchanges = [part.split(")")[0] for part in plan.split("Exchange hashpartitioning(")[1:]]
+    # Only the counts per block, one row each, are brought together by session.
+    by_session = [keys for keys in exchanges if "_block" not in keys]
+    assert len(by_session) == 1 and len(exchanges) > 1 and "hashpartitioning(session_id" in plan
+
+
+def test_windows_over_gaps(spark):
+    """Positions far apart, and sessions that do not start at 0."""
+    df = spark.createDataFrame([("a", s, "user", f"a{s}", None) for s in (0, 1, 5000, 90_000)] +
+                               [("b", 1, "user", "b1", None), ("b", 2, "user", "b2", None)], M)
+    got = {(r.session_id, r.seq): texts(r.history) for r in conv.with_history(df).collect()}
+    assert got["a", 5000] == ["a0", "a1"] and got["a", 90_000] == ["a0", "a1", "a5000"] and got["b", 1] == []
+    asked = {(r.session_id, r.seq): r.request for r in conv.rewrite_request(conv.rewrite_context(df)).collect()}
+    assert asked["b", 1] is None and asked["b", 2] is not None and asked["a", 5000] is not None
 
 
 def test_positions_with_gaps(spark):
@@ -75,7 +87,8 @@ def test_rewriting(spark):
 
 def test_merging_rewrites(spark):
     rows = [("a", 0, "first", "ignored"), ("a", 2, "m", None), ("a", 4, "m", "  x \n"), ("a", 6, "m", "  "), ("a", 8, "m", "-")]
-    turns = spark.createDataFrame([r[:3] for r in rows], "session_id string, seq int, content string")
+    turns = spark.createDataFrame([(s, q, m, "user: x\n" if q else "") for s, q, m, _ in rows],
+                                  "session_id string, seq int, content string, context string")
     rewrites = spark.createDataFrame([(s, q, w) for s, q, _, w in rows[:-1]], "session_id string, seq int, rewritten string")
     got = conv.merge_rewrites(turns, rewrites, ["session_id", "seq"]).orderBy("seq").collect()
     assert [r.search_text for r in got] == ["first", "m", "x", "", "m"]
@@ -87,21 +100,22 @@ def test_assigned_sessions_are_stable(spark):
     assert one == two and one[2] == ("r3", "s") and len({s for _, s in one}) == 3 and all(s for _, s in one)
 
 
+# Two sessions with two turns each: the first turns find no source, the second two and one.
 TURNS = [
-    ("a1", "session-a", 0, "Hallo, wer bist du?", 0, []),
-    ("a2", "session-a", 1, "Ich suche eine 3-Zimmer-Wohnung in Berlin mit Balkon.", 2, [
-        ("listing-1", "Berlin Listing", "kb/listings/berlin.txt", "3 Zimmer, Balkon, Berlin", "listing", 0, 0.11),
-        ("listing-2", "Neighborhood Guide", "kb/guides/berlin.txt", "Mitte and Prenzlauer Berg", "guide", 1, 0.13)]),
-    ("b1", "session-b", 0, "What can you help me with?", 0, []),
-    ("b2", "session-b", 1, "Do you also support commercial real estate?", 2, [
-        ("commercial-1", "Commercial FAQ", "kb/commercial/faq.txt", "Support for office and retail requests", "faq", 0, 0.09)]),
+    ("t1", "boats", 0, "Good morning", 0, []),
+    ("t2", "boats", 1, "Which knot holds a sail?", 2, [
+        ("k-7", "Knots", "kb/knots.md", "A bowline does not slip", ".md", 3, 0.21),
+        ("k-9", "Sails", "kb/sails.md", "Reef early", ".md", 0, 0.34)]),
+    ("t3", "bread", 0, "Is anybody there?", 0, []),
+    ("t4", "bread", 1, "How long does rye rise?", 2, [("r-1", "Rye", "kb/rye.md", "Overnight", ".md", 1, 0.4)]),
 ]
 
 
 def test_chat_turns(spark):
     """Four turns in two sessions, answered one round after the other."""
     at = datetime(2024, 1, 1)
-    log = spark.createDataFrame([], M)
+    logged = M + ", turn_id string"
+    log = spark.createDataFrame([], logged)
     for round_no in (0, 1):
         now = [t for t in TURNS if t[2] == round_no]
         turns = spark.createDataFrame(
@@ -109,9 +123,9 @@ def test_chat_turns(spark):
             "turn_id string, session_id string, turn_order int, message string, asked_at timestamp_ntz")
         asked = turns.join(log.groupBy("session_id").agg((F.max("seq") + 1).alias("n")), "session_id", "left").select(
             "turn_id", "session_id", F.coalesce("n", F.lit(0)).alias("seq"), F.lit("user").alias("role"),
-            F.col("message").alias("content"), F.col("asked_at").alias("timestamp"))
-        both = log.select(F.lit(None).cast("string").alias("turn_id"), *log.columns).unionByName(asked)
-        past = {r.turn_id: len(r.history) for r in conv.with_history(both).filter("turn_id is not null").collect()}
+            F.col("message").alias("content"), F.col("asked_at").alias("timestamp"), F.lit(True).alias("new"))
+        both = log.unionByName(asked, allowMissingColumns=True)
+        past = {r.turn_id: len(r.history) for r in conv.with_history(both).filter("new").collect()}
         rows = [(t, i, *x) for t, *_, s in now for i, x in enumerate(s, 1)]
         sources = spark.createDataFrame(rows, SOURCES)
         answers = spark.createDataFrame(
@@ -122,8 +136,9 @@ def test_chat_turns(spark):
             assert r.response == f"{history} before, {len(expected)} sources: {message}"
             assert r.session_id == name and r.retrieval_used == bool(expected)
             assert [tuple(s) for s in r.sources] == expected
-        log = spark.createDataFrame(conv.commit_turns(log, turns, answers).collect(), M)
-    a = log.filter("session_id = 'session-a'").orderBy("seq").collect()
+        log = spark.createDataFrame(conv.commit_turns(log, turns, answers).collect(), logged)
+        assert conv.commit_turns(log, turns, answers).count() == log.count(), "a rerun adds nothing"
+    a = log.filter("session_id = 'boats'").orderBy("seq").collect()
     assert [m.role for m in a] == ["user", "assistant", "user", "assistant"] and [m.seq for m in a] == [0, 1, 2, 3]
     assert (a[0].content, a[2].content) == (TURNS[0][3], TURNS[1][3]) and a[0].timestamp == at
 
@@ -171,7 +186,7 @@ def test_replay_uses_rewrites_for_search_only(spark):
     log = spark.createDataFrame([("s", 0, "user", "tax", None), ("s", 1, "assistant", "yes", None), ("s", 2, "user", "and they?", None)], M)
     rewrites = spark.createDataFrame([("s", 2, " cats purr ")], "session_id string, seq int, rewritten string")
     e = hashing_embedder(128)
-    requests, sources = replay(log, embed_documents(docs, e), F.lit("B"), rewrites, e, return_n=1)
+    requests, sources = replay(log, embed_documents(docs, e), F.lit("B"), rewrites, e, return_n=1, dim=128)
     assert {r.query_id: r.title for r in sources.collect()} == {"s#0": "tax", "s#2": "cats"}
     second = {r.query_id: r for r in requests.collect()}["s#2"]
     assert second.messages[-1].content[0].text == "and they?" and "[S1] cats" in second.system[0].text

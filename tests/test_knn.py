@@ -50,7 +50,7 @@ def test_same_as_brute_force(spark, monkeypatch, metric, way, shift):
     queries = [(i, v.tolist()) for i, v in enumerate(np.vstack([clusters(30, seed=5) + shift, data[:10]]))]
     bound = 50_000 if way == "broadcast" else 0
     got = knn(
-        spark.createDataFrame(queries, Q), spark.createDataFrame(vectors, V).repartition(5), 9, metric,
+        spark.createDataFrame(queries, Q), spark.createDataFrame(vectors, V).repartition(5), 9, metric, dim=data.shape[1],
         max_broadcast_queries=bound, n_cells=8,
     )
     assert as_dict(got) == brute(queries, vectors, 9, metric)
@@ -60,7 +60,7 @@ def test_same_as_brute_force(spark, monkeypatch, metric, way, shift):
 def test_fewer_vectors_than_asked_for(spark, bound):
     q = spark.createDataFrame([(1, [1.0, 0.0])], Q)
     v = spark.createDataFrame([("a", [0.0, 1.0], "x"), ("b", [1.0, 0.0], "y")], V)
-    assert as_dict(knn(q, v, 5, max_broadcast_queries=bound)) == {(1, 1): ("b", 0.0), (1, 2): ("a", 1.0)}
+    assert as_dict(knn(q, v, 5, dim=2, max_broadcast_queries=bound)) == {(1, 1): ("b", 0.0), (1, 2): ("a", 1.0)}
 
 
 @pytest.mark.parametrize("bound", [50_000, 0])
@@ -71,19 +71,19 @@ def test_unusable_vectors_have_no_hits(spark, bound):
     v = spark.createDataFrame(
         [("a", [0.0, 1.0], "x"), ("b", [0.0, 0.0], "y"), ("c", None, "z"), ("d", [1.0, 1.0, 1.0], "z")], V
     )
-    assert as_dict(knn(q, v, 5, max_broadcast_queries=bound)) == {(1, 1): ("a", 1.0)}
+    assert as_dict(knn(q, v, 5, dim=2, max_broadcast_queries=bound)) == {(1, 1): ("a", 1.0)}
 
 
 def test_gate_cutoff_and_metadata(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], Q)
     v = spark.createDataFrame([("a", [0.0, 1.0], "x"), ("b", [1.0, 0.1], "y")], V)
-    assert knn(q, v, enabled=False, metadata=["title"]).collect() == []
-    rows = knn(q, v, max_distance=0.5, metadata=["title"]).collect()
+    assert knn(q, v, dim=2, enabled=False, metadata=["title"]).collect() == []
+    rows = knn(q, v, dim=2, max_distance=0.5, metadata=["title"]).collect()
     assert [(r.key, r.title) for r in rows] == [("b", "y")]
     empty = v.filter("key = 'none'")
-    assert knn(q, empty).count() == 0 and knn(q.filter("query_id > 1"), v).count() == 0
+    assert knn(q, empty, dim=2).count() == 0 and knn(q.filter("query_id > 1"), v, dim=2).count() == 0
     with pytest.raises(ValueError):
-        knn(q, v, metric="manhattan")
+        knn(q, v, dim=2, metric="manhattan")
 
 
 def plan_of(df):
@@ -95,7 +95,7 @@ def test_plan(spark, tmp_path):
     path = str(tmp_path / "v")
     spark.createDataFrame(vectors, V).withColumn("chunk_text", F.lit("x")).write.parquet(path)
     q = spark.createDataFrame([(1, vectors[0][1])], Q)
-    plan = plan_of(knn(q, spark.read.parquet(path), 3, metadata=["title"]))
+    plan = plan_of(knn(q, spark.read.parquet(path), 3, dim=len(vectors[0][1]), metadata=["title"]))
     assert "WindowGroupLimit" in plan and "Partial" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     scans = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema" in line]

@@ -1,21 +1,6 @@
 from corpusflow import session
 
 
-def exchanges(df):
-    return df._jdf.queryExecution().executedPlan().toString().count("RoundRobinPartitioning")
-
-
-def test_only_small_inputs_of_few_files_are_spread(spark, tmp_path, monkeypatch):
-    few, many = str(tmp_path / "few"), str(tmp_path / "many")
-    spark.range(100).coalesce(1).write.parquet(few)
-    spark.range(100, numPartitions=20).write.parquet(many)
-    assert exchanges(session.fan_out(spark.read.parquet(few))) == 1
-    assert exchanges(session.fan_out(spark.read.parquet(many))) == 0
-    assert exchanges(session.fan_out(spark.range(5))) == 0
-    monkeypatch.setattr(session, "FAN_OUT_BYTES", 1)
-    assert exchanges(session.fan_out(spark.read.parquet(few))) == 0
-
-
 def test_shared_folder_is_the_one_of_the_session(spark, tmp_path):
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = session.materialize(spark.range(3), "t")

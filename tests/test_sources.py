@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators.embedding import hashing_embedder
 from corpusflow.operators.knn import knn
 from corpusflow.plans.ingest import embed_documents, ingest
+from corpusflow.schemas import VECTORS
 from corpusflow.sources import index, transcripts
 from corpusflow.sources.markdown import read_markdown
 
@@ -17,13 +18,14 @@ def test_markdown_files(spark, tmp_path):
     (tmp_path / "a.md").write_bytes(text.encode())
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "empty ü%20+.md").write_bytes(b"")
+    (tmp_path / "sub" / "a.md").write_text("other")
     (tmp_path / "a b+%20.md").write_text("b")
     (tmp_path / "latin.md").write_bytes("ä".encode("latin-1"))
     (tmp_path / "B.MD").write_text("x")
     (tmp_path / "c.txt").write_text("x")
     docs, rejects = read_markdown(spark, str(tmp_path))
     assert {r.filename: r.content for r in docs.collect()} == {
-        "a.md": text, "empty ü%20+.md": "", "a b+%20.md": "b",
+        "a.md": text, "sub/empty ü%20+.md": "", "a b+%20.md": "b", "sub/a.md": "other",
     }
     assert {r.filename: r.reason for r in rejects.collect()} == {
         "latin.md": "not valid UTF-8", "B.MD": "not a .md file", "c.txt": "not a .md file",
@@ -62,13 +64,83 @@ def test_ingest_twice(spark, tmp_path):
     assert {r.version for r in before.collect()} == {1}, "a reader keeps the snapshot it opened"
 
 
+def put_rows(spark, *rows):
+    """(key, version) rows as vectors; the file is the part before the underscore."""
+    return spark.createDataFrame([(k, k.split("_")[0], v) for k, v in rows], "key string, filename string, version bigint").select(
+        *[F.col(f.name) if f.name in ("key", "filename", "version") else F.lit(None).cast(f.dataType).alias(f.name)
+          for f in VECTORS.fields])
+
+
+def state(spark, path):
+    return {r.key: r.version for r in index.read_index(spark, path).collect()}
+
+
+def test_folding_never_brings_old_rows_back(spark, tmp_path):
+    path = str(tmp_path / "i")
+    index.append_log(put_rows(spark, ("a_0", 1), ("a_1", 1), ("a_2", 1)), path, "s", 0)
+    assert index.compact(spark, path, True, buckets=2) == 1
+    index.put(spark, path, put_rows(spark, ("a_0", 9), ("a_1", 9)), replace_document=True)
+    assert state(spark, path) == {"a_0": 9, "a_1": 9}
+    assert index.compact(spark, path, True) == 2, "nothing to fold"
+    index.append_log(put_rows(spark, ("a_0", 3), ("b_0", 1), ("b_1", 1)), path, "s", 1)
+    index.append_log(put_rows(spark, ("b_0", 2)), path, "other", 0)
+    assert index.compact(spark, path, True) == 3
+    assert state(spark, path) == {"a_0": 9, "a_1": 9, "b_0": 2}
+    last = index.current_snapshot(spark, path)
+    assert last.folded == {"s": 1, "other": 0} and last.buckets == 2
+
+
+def test_an_unfinished_batch_is_not_folded(spark, tmp_path):
+    path = str(tmp_path / "i")
+    index.append_log(put_rows(spark, ("a_0", 1)), path, "s", 0)
+    put_rows(spark, ("b_0", 1)).write.parquet(f"{path}/log/stream=s/batch=1")
+    index.compact(spark, path, buckets=2)
+    assert state(spark, path) == {"a_0": 1}
+    index.append_log(put_rows(spark, ("b_0", 1)), path, "s", 1)
+    index.compact(spark, path)
+    assert state(spark, path) == {"a_0": 1, "b_0": 1}
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    """Both start from the same snapshot: the second's commit is refused, it puts again."""
+    path = str(tmp_path / "i")
+    index.put(spark, path, put_rows(spark, ("a_0", 1)), buckets=2)
+    seen = index.current_snapshot(spark, path)
+    index.put(spark, path, put_rows(spark, ("b_0", 1)))
+    with pytest.raises(index.CommitConflict):
+        index.write_snapshot(put_rows(spark, ("c_0", 1)), path, 2, seen)
+    real, stale = index.current_snapshot, [seen]
+    monkeypatch.setattr(index, "current_snapshot", lambda *a: stale.pop() if stale else real(*a))
+    assert index.put(spark, path, put_rows(spark, ("c_0", 1))) == 3
+    assert state(spark, path) == {"a_0": 1, "b_0": 1, "c_0": 1}
+
+
+def test_a_later_export_replaces_its_sessions_only(spark, tmp_path):
+    schema = "session_id string, seq int, role string, content string, timestamp timestamp_ntz"
+    path = str(tmp_path / "out")
+    def rows(name, n, text):
+        return [(name, i, "user", text, None) for i in range(n)]
+    transcripts.write_transcripts(spark.createDataFrame(rows("s", 5, "old") + rows("t", 2, "t"), schema), path, 2)
+    transcripts.write_transcripts(spark.createDataFrame(rows("s", 3, "new"), schema), path)
+    got = transcripts.read_written_transcripts(spark, path).select("session_id", "seq", "content").collect()
+    assert sorted(map(tuple, got)) == [("s", i, "new") for i in range(3)] + [("t", i, "t") for i in range(2)]
+
+
+def test_ingest_rejects_vectors_of_another_size(spark, tmp_path):
+    (tmp_path / "kb").mkdir()
+    (tmp_path / "kb" / "a.md").write_text("word")
+    report, rejects = ingest(spark, str(tmp_path / "kb"), str(tmp_path / "i"), 1, E, dim=8)
+    assert [(r.filename, r.reason) for r in rejects.collect()] == [("a.md", "dimension 16")]
+    assert [(r.filename, r.chunks_indexed) for r in report.collect()] == [("a.md", 0)]
+
+
 def test_search_in_a_stored_index_carries_the_bucket(spark, tmp_path):
     docs = spark.createDataFrame([(f"{i}.md", f"text {i} of many") for i in range(40)], "filename string, content string")
     path = str(tmp_path / "i")
     index.write_snapshot(embed_documents(docs, E).withColumn("version", F.lit(1).cast("long")), path, 8)
     stored = index.read_index(spark, path)
     q = stored.filter("key = '7.md_0'").select(F.col("key").alias("query_id"), "embedding")
-    hits = knn(q, stored, 3, metadata=["title"])
+    hits = knn(q, stored, 3, dim=16, metadata=["title"])
     assert hits.filter("raw_rank = 1").first().distance == 0.0
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower()
@@ -84,7 +156,7 @@ def test_transcript_files(spark, tmp_path):
         ("s 1+ü%20", i, r["role"], r["content"], r["timestamp"]) for i, r in enumerate(rows)
     ]
     parts = transcripts.transcript_json(transcripts.read_transcripts(spark, str(tmp_path)))
-    assert [(p.session_id, p.part) for p in parts.collect()] == [("s 1+ü%20", 0)]
+    assert [(p.session_id, p.first_seq) for p in parts.collect()] == [("s 1+ü%20", 0)]
     assert [m["content"] for m in json.loads(parts.first().value)] == [r["content"] for r in rows]
     again = transcripts.parse_transcript_json(parts).orderBy("seq").collect()
     assert again == got
@@ -101,8 +173,8 @@ def test_long_session_is_exported_in_parts(spark):
         F.lit("s").alias("session_id"), F.col("id").cast("int").alias("seq"), F.lit("user").alias("role"),
         F.col("id").cast("string").alias("content"), F.lit(None).cast("timestamp_ntz").alias("timestamp"))
     parts = transcripts.transcript_json(m, 10)
-    assert sorted((p.part, len(json.loads(p.value))) for p in parts.collect()) == [(0, 10), (1, 10), (2, 5)]
-    assert [r.content for r in transcripts.parse_transcript_json(parts, 10).orderBy("seq").collect()] == [str(i) for i in range(25)]
+    assert sorted((p.first_seq, len(json.loads(p.value))) for p in parts.collect()) == [(0, 10), (10, 10), (20, 5)]
+    assert [r.content for r in transcripts.parse_transcript_json(parts).orderBy("seq").collect()] == [str(i) for i in range(25)]
 
 
 def test_message_log_reads_one_bucket_per_session(spark, tmp_path):
@@ -111,7 +183,7 @@ def test_message_log_reads_one_bucket_per_session(spark, tmp_path):
         F.lit("user").alias("role"), F.lit("x").alias("content"), F.lit(None).cast("timestamp_ntz").alias("timestamp"))
     path = str(tmp_path / "log")
     transcripts.append_messages(m.filter("seq < 5"), path)
-    transcripts.append_messages(m.filter("seq >= 5"), path)
+    transcripts.append_messages(m.filter("seq >= 5"), path, 8)
     one = transcripts.session_messages(transcripts.read_messages(spark, path), "s3")
     assert sorted(r.seq for r in one.collect()) == list(range(10))
     scan = [x for x in one._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in x][0]

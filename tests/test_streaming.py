@@ -15,20 +15,27 @@ E = hashing_embedder(32)
 
 def test_ingest_stream_ends_like_the_batch_run(spark, tmp_path):
     source, path = tmp_path / "kb", str(tmp_path / "index")
-    source.mkdir()
-    run = lambda: jobs.stream_ingest(stream_markdown(spark, str(source)), path, str(tmp_path / "progress"), E).awaitTermination()
+    (source / "sub").mkdir(parents=True)
+    run = lambda: jobs.stream_ingest(stream_markdown(spark, str(source))[0], path, str(tmp_path / "progress"), E).awaitTermination()
     (source / "a.md").write_text("alpha beta " * 400)
     (source / "x.txt").write_text("no")
     run()
     index.compact(spark, path, buckets=4)
     (source / "b.md").write_text("gamma")
+    (source / "sub" / "b.md").write_text("delta")
+    (source / "latin.md").write_bytes("ä".encode("latin-1"))
     run()
     run()
     index.compact(spark, path, buckets=4)
     batch = embed_documents(read_markdown(spark, str(source))[0], E)
     columns = ["key", "filename", "source_path", "title", "doc_type", "chunk_index", "chunk_text", "embedding"]
     got = sorted(map(tuple, index.read_index(spark, path).select(columns).collect()))
-    assert got == sorted(map(tuple, batch.select(columns).collect())) and len(got) == 5
+    assert got == sorted(map(tuple, batch.select(columns).collect())) and len(got) == 6
+    rejects = stream_markdown(spark, str(source))[1]
+    rejects.writeStream.format("parquet").option("path", str(tmp_path / "rejects")).option(
+        "checkpointLocation", str(tmp_path / "rejected")).trigger(availableNow=True).start().awaitTermination()
+    same = read_markdown(spark, str(source))[1].collect()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "rejects")).collect())) == sorted(map(tuple, same))
 
 
 def test_history_stream_equals_batch(spark, tmp_path):
@@ -59,6 +66,6 @@ def test_retrieve_stream_equals_batch(spark, tmp_path):
         asked.filter(F.col("query_id").cast("int") % 2 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     arriving = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     for _ in range(2):
-        jobs.stream_retrieve(embed(arriving, "query", E), vectors, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+        jobs.stream_retrieve(embed(arriving, "query", E), vectors, str(tmp_path / "out"), str(tmp_path / "progress"), dim=32).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
-    assert sorted(map(str, got.collect())) == sorted(map(str, retrieve(embed(asked, "query", E), vectors).collect()))
+    assert sorted(map(str, got.collect())) == sorted(map(str, retrieve(embed(asked, "query", E), vectors, dim=32).collect()))
