@@ -35,6 +35,8 @@ CHUNKS = chunk_ctes(DOCS)
 LANGUAGE_CHUNKS = chunk_ctes(DOCS, extra=", lang").replace("'api_upload/' || filename AS source_path", "lang AS source_path")
 
 QUESTIONS = "SELECT item_id AS query_id, text AS query FROM benchmark"
+LAST_TURNS = """SELECT conv_id || '#' || max(turn) AS query_id, arg_max(text, turn) AS query
+FROM conversations WHERE role = 'user' GROUP BY conv_id"""
 USER_TURNS = "SELECT conv_id || '#' || turn AS query_id, text AS query FROM conversations WHERE role = 'user'"
 
 
@@ -147,6 +149,8 @@ SELECT d.filename, count(c.key) AS chunks_indexed, 'success' AS status
 FROM ({DOCS}) d LEFT JOIN chunks c USING (filename) GROUP BY d.filename""",
     "vector_upsert": upserted("key"),
     "vector_upsert_replace": upserted("filename"),
+    "vector_upsert_log": upserted("key"),
+    "vector_upsert_log_replace": upserted("filename"),
     "vector_scan": f"""WITH {CHUNKS}
 SELECT key, filename, source_path, title, doc_type, chunk_index, 1::BIGINT AS version,
        CAST(length(chunk_text) AS INTEGER) AS n_chars,
@@ -237,6 +241,18 @@ past AS ({history(20)})
 SELECT q.query_id, 'You answer from sources.' || chr(10) || 'Now: 2024-01-02 03:04:05' || coalesce(chr(10) || chr(10) || block, '') AS system_text,
        CASE WHEN n > 0 THEN history || '|' ELSE '' END || 'user=' || query AS messages, '2000/0.7/0.9' AS settings
 FROM q JOIN past ON q.query_id = past.session_id || '#' || past.seq LEFT JOIN blocks USING (query_id)""",
+    "chat_turn": f"""WITH {ranked_ctes(LAST_TURNS, CHUNKS)},
+blocks AS (SELECT query_id, {BLOCK} AS block, count(*) AS n_sources FROM sources GROUP BY query_id),
+past AS ({history(20)}),
+open AS (SELECT conv_id, max(turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id),
+answered AS (SELECT o.*, (SELECT count(*) FROM conversations c WHERE c.conv_id = o.conv_id AND c.turn < t) AS before, a.text AS response
+             FROM open o LEFT JOIN conversations a ON a.conv_id = o.conv_id AND a.turn = t + 1 AND a.role = 'assistant')
+SELECT q.query_id, 'You answer from sources.' || chr(10) || 'Now: 2024-01-02 03:04:05' || coalesce(chr(10) || chr(10) || block, '') AS system_text,
+       CASE WHEN n > 0 THEN history || '|' ELSE '' END || 'user=' || query AS messages,
+       CAST(before + CASE WHEN response IS NULL THEN 0 ELSE 2 END AS BIGINT) AS n_log, response,
+       CASE WHEN response IS NOT NULL THEN CAST(coalesce(n_sources, 0) AS BIGINT) END AS n_sources
+FROM q JOIN past ON q.query_id = past.session_id || '#' || past.seq
+JOIN answered ON q.query_id = conv_id || '#' || t LEFT JOIN blocks USING (query_id)""",
     "stream_ingest": f"""WITH {CHUNKS}
 SELECT key, source_path, title, chunk_index, md5(chunk_text) AS text_md5 FROM chunks""",
     "stream_history": history(20),

@@ -11,10 +11,11 @@ from corpusflow.operators import prompts, rerank
 from corpusflow.operators.chunking import ingest_report
 from corpusflow.operators.embedding import embed, hashing_embedder
 from corpusflow.operators.knn import knn
+from corpusflow.plans import chat
 from corpusflow.plans.ingest import chunk_documents, embed_documents
 from corpusflow.plans.replay import replay, search_texts, turn_id
 from corpusflow.plans.retrieve import retrieve, search
-from corpusflow.session import new_path
+from corpusflow.session import materialize, new_path
 from corpusflow.sources import index, transcripts
 from corpusflow.sources.markdown import split_markdown
 from corpusflow.streaming import jobs
@@ -166,6 +167,30 @@ def vector_upsert_replace(spark, sf):
     return _upserted(spark, sf, True)
 
 
+def _through_log(spark, sf, replace_document):
+    """As _upserted, through a stored index: the first rows come by the log, are folded, the second
+    are put, then the first come by the log again and are folded again, which changes nothing."""
+    path = new_path(spark, "log-index")
+    none = F.lit(None).cast("array<float>")
+    current, incoming = (rows.withColumn("embedding", none) for rows in _revised(spark, sf))
+    index.append_log(current, path, "kb", 0)
+    index.compact(spark, path, replace_document, buckets=8)
+    index.put(spark, path, incoming, replace_document)
+    index.append_log(current, path, "kb", 1)
+    index.compact(spark, path, replace_document)
+    return index.read_index(spark, path).select(
+        "key", "chunk_index", "version", F.md5(F.col("chunk_text").cast("binary")).alias("text_md5")
+    )
+
+
+def vector_upsert_log(spark, sf):
+    return _through_log(spark, sf, False)
+
+
+def vector_upsert_log_replace(spark, sf):
+    return _through_log(spark, sf, True)
+
+
 def vector_scan(spark, sf):
     path = new_path(spark, "index")
     index.write_snapshot(vectors(spark, sf).withColumn("version", F.lit(1).cast("long")), path, buckets=8)
@@ -455,6 +480,45 @@ def model_request(spark, sf):
     )
 
 
+def chat_turn(spark, sf):
+    """The last user message of every conversation arrives as a request, the log holding the
+    messages before it; answered as in the data, committed twice."""
+    m = messages(spark, sf)
+    last = m.filter("role = 'user'").groupBy("session_id").agg(F.max("seq").alias("turn_order"))
+    marked = m.join(last, "session_id", "left")
+    log = marked.filter("turn_order is null or seq < turn_order").select(
+        *m.columns, F.lit(None).cast("string").alias("turn_id")
+    )
+    turns = chat.open_turns(
+        marked.filter("seq = turn_order").select(
+            turn_id().alias("request_id"), F.col("session_id").cast("string").alias("session_id"), "turn_order",
+            F.col("content").alias("message"), F.col("timestamp").alias("asked_at"),
+        )
+    ).withColumn("session_id", F.col("session_id").cast("long"))
+    answers = marked.filter("role = 'assistant' and seq = turn_order + 1").select(
+        F.concat_ws("#", "session_id", "turn_order").alias("turn_id"), F.col("content").alias("answer"),
+        F.col("timestamp").alias("answered_at"),
+    )
+    as_of = F.lit("2024-01-02 03:04:05").cast("timestamp_ntz")
+    base = prompts.base_prompt("You answer from sources.\nNow: {as_of}", as_of)
+    requests, sources = chat.chat_requests(
+        log, turns, vectors(spark, sf), base, embedder=EMBEDDER, header_lines=HEADERS, dim=DIM
+    )
+    once, _ = chat.close_turns(log, turns, sources, answers)
+    twice, responses = chat.close_turns(materialize(once, "chat-log"), turns, sources, answers)
+    sizes = twice.groupBy("session_id").agg(F.count("*").alias("n_log"))
+    asked = turns.select(F.col("turn_id").alias("query_id"), "session_id")
+    answered = responses.select(F.col("turn_id").alias("query_id"), "response", F.size("sources").alias("n_sources"))
+    return (
+        requests.join(asked, "query_id").join(sizes, "session_id", "left").join(answered, "query_id", "left")
+        .select(
+            "query_id", F.col("system")[0]["text"].alias("system_text"), _rendered(F.col("messages")).alias("messages"),
+            F.coalesce("n_log", F.lit(0)).cast("long").alias("n_log"), "response",
+            F.col("n_sources").cast("long").alias("n_sources"),
+        )
+    )
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -509,6 +573,8 @@ QUERIES = {
     "ingest_report": ingest_report_query,
     "vector_upsert": vector_upsert,
     "vector_upsert_replace": vector_upsert_replace,
+    "vector_upsert_log": vector_upsert_log,
+    "vector_upsert_log_replace": vector_upsert_log_replace,
     "vector_scan": vector_scan,
     "transcript_scan": transcript_scan,
     "transcript_sink": transcript_sink,
@@ -542,6 +608,7 @@ QUERIES = {
     "session_assign": session_assign,
     "turn_commit": turn_commit,
     "chat_response": chat_response,
+    "chat_turn": chat_turn,
     "source_heading": source_heading,
     "retrieval_block": retrieval_block,
     "system_text": system_text,

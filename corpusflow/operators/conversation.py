@@ -68,10 +68,13 @@ def with_history(messages: DataFrame, n: int = HISTORY_MESSAGES) -> DataFrame:
     return past.filter(F.col("role") == "user")
 
 
+def context_line() -> Column:
+    return F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("content", F.lit("")), F.lit("\n"))
+
+
 def rewrite_context(messages: DataFrame, n: int = REWRITE_MESSAGES) -> DataFrame:
     """Each user turn with `context`: a `role: content` line for each of the last n messages."""
-    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("content", F.lit("")), F.lit("\n"))
-    past = with_previous(messages, n, line, "_lines")
+    past = with_previous(messages, n, context_line(), "_lines")
     return past.filter(F.col("role") == "user").withColumn("context", F.array_join("_lines", "")).drop("_lines")
 
 
