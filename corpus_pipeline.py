@@ -20,9 +20,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies: fingerprints over five words
-    at most 12 of 64 bits apart, and 17 % of 256 bits, which a similarity of 0.8 stays below."""
-    return simhash.keep_first(docs, words=5, max_bits=12, wide=3, max_share=0.17)
+    """The document of the smallest doc_id of each group of near copies: either of two
+    fingerprints over five words at most 12 of 64 bits apart, and 17 % of 512 bits, which a similarity of 0.8
+    stays below."""
+    return simhash.keep_first(docs, words=5, max_bits=12, wide=7, max_share=0.17, searches=2)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

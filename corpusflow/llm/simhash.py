@@ -7,8 +7,10 @@ Correlated bits share a part, so that parts differ in selectivity; the number of
 thresholds (-1 leaves a part out) are the cheapest by dynamic programming over estimated candidate
 counts. A fingerprint is filed in one bucket per part and probes the buckets within its threshold.
 
-Optionally `wide` adds further words of 64 bits from remixed hashes. They are not searched; they
-verify found pairs, whose share of different bits over all words must not exceed `max_share`.
+Optionally `wide` adds further words of 64 bits from remixed hashes. They verify found pairs, whose
+share of different bits over all words must not exceed `max_share`. With `searches` above 1 the
+first of these words are searched like the fingerprint: a pair is found if any searched word is
+within `max_bits`, which a pair at the edge of similarity misses much more rarely.
 
 Fingerprints, not documents, are compared: copies of a text are one class. Buckets of any size are
 compared in cells of bounded size, and a task emits a spanning forest of its links, not all pairs.
@@ -52,12 +54,13 @@ def fingerprint(text: bytes, words: int, wide: int = 0) -> list[int]:
     joined, starts, ends = shingles(text, words)
     digest = xxhash.xxh64_intdigest
     votes = np.zeros((1 + wide, BITS), np.int64)
+    further = np.arange(1, 1 + wide, dtype=np.uint64)[:, None]
     for at in range(0, len(starts), HASHES_AT_ONCE):
         to = at + HASHES_AT_ONCE
         hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at:to], ends[at:to], strict=True)], np.uint64)
-        for k in range(1 + wide):
-            word = mix(hashes + np.uint64(k)) if k else hashes
-            votes[k] += np.unpackbits(word.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        mixed = [hashes] + ([mix(hashes + further).reshape(-1)] if wide else [])
+        bits = np.unpackbits(np.concatenate(mixed).view(np.uint8), bitorder="little")
+        votes += bits.reshape(1 + wide, -1, BITS).sum(1, dtype=np.int64)
     return np.packbits(2 * votes > len(starts), axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
 
 
@@ -276,7 +279,19 @@ def near_links(classes: DataFrame, max_bits: int, max_share: float = 1.0) -> Dat
     return filed.mapInArrow(run, "u long, v long").where("u != v")
 
 
-def simhash_groups(docs: DataFrame, words: int, max_bits: int, wide: int = 0, max_share: float = 1.0) -> DataFrame:
+def searched_links(classes: DataFrame, max_bits: int, max_share: float, searches: int) -> DataFrame:
+    """Links found by the fingerprint and by the first `searches` - 1 further words, each with a plan of its own."""
+    links = near_links(classes, max_bits, max_share)
+    for k in range(1, searches):
+        others = F.filter(F.concat(F.array("fp"), "w"), lambda _, i: i != k)
+        turned = classes.select("node", F.element_at("w", k).alias("fp"), others.alias("w"))
+        links = links.unionByName(near_links(turned, max_bits, max_share))
+    return links
+
+
+def simhash_groups(
+    docs: DataFrame, words: int, max_bits: int, wide: int = 0, max_share: float = 1.0, searches: int = 1
+) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs` (doc_id, text).
 
     component_id is the smallest doc_id reachable over links. One row per input row: repeated rows
@@ -287,19 +302,21 @@ def simhash_groups(docs: DataFrame, words: int, max_bits: int, wide: int = 0, ma
     rows = materialize(fingerprints(docs, words, wide), "fingerprints")
     rows = rows.withColumn("node", F.xxhash64("fp", "w") if wide else F.col("fp"))
     classes = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("w").alias("w"), F.min("doc_id").alias("first_id")), "classes")
-    roots = components(near_links(classes, max_bits, max_share))
+    roots = components(searched_links(classes, max_bits, max_share, searches))
     rooted = classes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted, "roots")
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
     return rows.join(named, "node").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, words: int, max_bits: int, wide: int, max_share: float) -> DataFrame:
+def keep_first(
+    docs: DataFrame, words: int, max_bits: int, wide: int, max_share: float, searches: int = 1
+) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of their group, with all their columns.
 
     Rows that repeat a doc_id are one document, of which one row stays. Rows without a doc_id
     stay only if no document of their group has one, one row per text.
     """
-    groups = simhash_groups(docs, words, max_bits, wide, max_share)
+    groups = simhash_groups(docs, words, max_bits, wide, max_share, searches)
     chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("chosen_id")).distinct()
     return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"]), "left_semi").dropDuplicates(["doc_id"])
