@@ -280,12 +280,14 @@ def near_links(classes: DataFrame, max_bits: int, max_share: float = 1.0) -> Dat
 
 
 def searched_links(classes: DataFrame, max_bits: int, max_share: float, searches: int) -> DataFrame:
-    """Links found by the fingerprint and by the first `searches` - 1 further words, each with a plan of its own."""
+    """Links found by the fingerprint and by the first `searches` - 1 further words, each with a plan of
+    its own. Several searches are written one after the other, so that their shuffles need not coexist."""
     links = near_links(classes, max_bits, max_share)
+    links = materialize(links, "links-found") if searches > 1 else links
     for k in range(1, searches):
         others = F.filter(F.concat(F.array("fp"), "w"), lambda _, i: i != k)
         turned = classes.select("node", F.element_at("w", k).alias("fp"), others.alias("w"))
-        links = links.unionByName(near_links(turned, max_bits, max_share))
+        links = links.unionByName(materialize(near_links(turned, max_bits, max_share), "links-found"))
     return links
 
 
