@@ -1,6 +1,7 @@
 """Text to vector. An embedder is a function from a text Column to an array<float> Column."""
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -11,20 +12,33 @@ from pyspark.sql import types as T
 Embedder = Callable[[Column], Column]
 Model = Callable[[list[str]], list]
 
+# Texts whose words the hashing embedder counts at a time.
+ROWS_AT_ONCE = 1024
 
-def batch_embedder(load: Callable[[], Model]) -> Embedder:
+
+def batch_embedder(load: Callable[[], Model], on_error: str = "fail") -> Embedder:
     """Embedder around a model: `load()` runs once per task, its result once per Arrow batch.
 
     The model maps a list of texts to a list of vectors, None where there is no vector.
     Declared non-deterministic so that Spark runs the model once per row: it would otherwise
     copy the call into every filter on the vector.
+
+    With `on_error="null"` a batch whose call raises gets no vectors instead of ending the job: meant
+    for queries, which then have no hits. A model that cannot be loaded is an error all the same.
     """
+    if on_error not in ("fail", "null"):
+        raise ValueError("on_error is fail or null")
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:
-            vectors = model([t or "" for t in texts])
+            try:
+                vectors = model([t or "" for t in texts])
+            except Exception:
+                if on_error == "fail":
+                    raise
+                vectors = [None] * len(texts)
             yield pd.Series([None if v is None else np.asarray(v, "float32") for v in vectors])
 
     return run.asNondeterministic()
@@ -34,32 +48,27 @@ def hashing_embedder(dim: int = 384) -> Embedder:
     """Deterministic bag-of-words feature hashing, L2-normalised; no words gives null.
 
     A stand-in for a served model. A word's bucket is the first 32 bits of its md5 modulo
-    `dim`. Words repeat, so each task remembers the buckets of those it has met; measured at
-    384 dimensions this is six times as fast as the same vector built by array functions,
-    and unlike counting (text, bucket) pairs it needs no shuffle.
+    `dim`. The words of many texts are counted together, each distinct one hashed once; unlike
+    counting (text, bucket) pairs in Spark this needs no shuffle.
     """
 
     def load() -> Model:
         from hashlib import md5
 
-        known: dict[str, int] = {}
-
-        def bucket(word: str) -> int:
-            found = known.get(word)
-            if found is None:
-                found = int(md5(word.encode()).hexdigest()[:8], 16) % dim
-                if len(known) < 200_000:
-                    known[word] = found
+        def vectors(texts: list[str]) -> list:
+            found: list = []
+            for at in range(0, len(texts), ROWS_AT_ONCE):
+                words = [t.lower().split() for t in texts[at : at + ROWS_AT_ONCE]]
+                lengths = np.fromiter(map(len, words), "int64", len(words))
+                code, distinct = pd.factorize(np.array(list(chain.from_iterable(words)), dtype=object))
+                bucket = np.array([int(md5(w.encode()).hexdigest()[:8], 16) % dim for w in distinct], "int64")
+                cell = np.repeat(np.arange(len(words)), lengths) * dim + bucket[code]
+                counts = np.bincount(cell, minlength=len(words) * dim).reshape(-1, dim).astype("float64")
+                size = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+                found += [row / length if length else None for row, length in zip(counts, size)]
             return found
 
-        def vector(text: str):
-            buckets = [bucket(w) for w in text.lower().split()]
-            if not buckets:
-                return None
-            counts = np.bincount(buckets, minlength=dim).astype("float64")
-            return counts / np.sqrt(np.dot(counts, counts))
-
-        return lambda texts: [vector(t) for t in texts]
+        return vectors
 
     return batch_embedder(load)
 

@@ -75,10 +75,12 @@ def knn(
     bound = min(max_broadcast_queries, MAX_BROADCAST_HITS // k, MAX_BROADCAST_BYTES // (8 * max(dim, 1)))
     sample = asked.limit(bound + 1).toArrow()
     small = sample.num_rows <= bound
+    # Nothing farther is looked for, whichever way.
+    farthest = np.inf if max_distance is None else max(float(max_distance), 0.0)
     if small:
-        candidates = _broadcast_search(sample, stored, asked.schema["query_id"], k, metric, dim)
+        candidates = _broadcast_search(sample, stored, asked.schema["query_id"], k, metric, dim, farthest)
     else:
-        candidates = _cell_search(asked, stored, k, metric, dim, n_cells)
+        candidates = _cell_search(asked, stored, k, metric, dim, n_cells, farthest)
 
     nearest = Window.partitionBy("query_id").orderBy("distance", "key")
     hits = candidates.withColumn("raw_rank", F.row_number().over(nearest)).filter(F.col("raw_rank") <= k)
@@ -221,7 +223,9 @@ def _by_key(table: pa.Table) -> pa.Table:
 # ---------------------------------------------------------------- queries broadcast
 
 
-def _broadcast_search(sample: pa.Table, stored: DataFrame, asked_id: T.StructField, k: int, metric: str, dim: int):
+def _broadcast_search(
+    sample: pa.Table, stored: DataFrame, asked_id: T.StructField, k: int, metric: str, dim: int, farthest: float
+):
     keep, q = _scaled(sample["embedding"], metric, dim)
     ids = sample["query_id"].combine_chunks().take(pa.array(keep))
     shared = stored.sparkSession.sparkContext.broadcast((ids, q))
@@ -233,7 +237,7 @@ def _broadcast_search(sample: pa.Table, stored: DataFrame, asked_id: T.StructFie
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        limit = np.full(len(q), np.inf)
+        limit = np.full(len(q), farthest)
         kept, waiting = None, 0
         for batch in batches:
             if not len(q) or not batch.num_rows:
@@ -269,7 +273,9 @@ def _broadcast_search(sample: pa.Table, stored: DataFrame, asked_id: T.StructFie
 # ---------------------------------------------------------------- both sides large
 
 
-def _cell_search(asked: DataFrame, stored: DataFrame, k: int, metric: str, dim: int, n_cells: int | None):
+def _cell_search(
+    asked: DataFrame, stored: DataFrame, k: int, metric: str, dim: int, n_cells: int | None, farthest: float
+):
     """Search each query's home cell first; the k-th distance found there bounds the rest."""
     if n_cells is None:
         n_cells = min(MAX_CELLS, 1 + stored.count() // CELL_VECTORS)
@@ -321,7 +327,7 @@ def _cell_search(asked: DataFrame, stored: DataFrame, k: int, metric: str, dim:
     def go_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, q = _scaled(batch["embedding"], metric, dim)
-            yield from routed(batch, rows, home_of(to_pivots(q)), np.full(len(q), np.inf))
+            yield from routed(batch, rows, home_of(to_pivots(q)), np.full(len(q), farthest))
 
     between = to_pivots(pivots)
     # Allowance for rounded distances and for the arithmetic.
@@ -357,7 +363,7 @@ def _cell_search(asked: DataFrame, stored: DataFrame, k: int, metric: str, dim:
         .select("query_id", F.col("distance").alias("limit"))
     )
     bounded = materialize(
-        asked.join(reached, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")))),
+        asked.join(reached, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float(farthest)))),
         "knn-limits",
     )
     second = _visit(bounded.mapInArrow(go_on, routed_schema), placed, size, k, metric, dim)

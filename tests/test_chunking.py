@@ -84,6 +84,21 @@ def test_user_model_loads_once_per_task(spark):
     assert got[0] == 3.0 and got[1] == 25_000
 
 
+def test_failing_model_gives_no_vectors_on_request(spark):
+    def load():
+        def model(texts):
+            raise OSError("no service")
+
+        return model
+
+    df = spark.createDataFrame([("a",), (None,)], "t string")
+    assert [r.embedding for r in embed(df, "t", batch_embedder(load, on_error="null")).collect()] == [None, None]
+    with pytest.raises(Exception, match="no service"):
+        embed(df, "t", batch_embedder(load)).collect()
+    with pytest.raises(ValueError):
+        batch_embedder(load, on_error="skip")
+
+
 def test_model_runs_once_per_row_under_a_filter(spark):
     df = embed(spark.createDataFrame([("a",)], "t string"), "t", hashing_embedder(4)).filter("size(embedding) = 4")
     plan = df._jdf.queryExecution().executedPlan().toString()

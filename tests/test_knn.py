@@ -56,6 +56,20 @@ def test_same_as_brute_force(spark, monkeypatch, metric, way, shift):
     assert as_dict(got) == brute(queries, vectors, 9, metric)
 
 
+@pytest.mark.parametrize("metric,cut", [("cosine", 0.02), ("euclidean", 0.8), ("euclidean", 0.0), ("cosine", -1.0)])
+@pytest.mark.parametrize("bound", [50_000, 0])
+def test_cutoff_limits_the_search_and_changes_no_hit(spark, metric, cut, bound):
+    data = clusters(240)
+    vectors = [(f"k{i}", v.tolist(), "t") for i, v in enumerate(data)]
+    queries = [(i, v.tolist()) for i, v in enumerate(np.vstack([clusters(30, seed=5), data[:10]]))]
+    got = knn(
+        spark.createDataFrame(queries, Q), spark.createDataFrame(vectors, V).repartition(5), 9, metric, dim=data.shape[1],
+        max_broadcast_queries=bound, n_cells=8, max_distance=cut,
+    )
+    expected = {at: hit for at, hit in brute(queries, vectors, 9, metric).items() if hit[1] <= cut}
+    assert as_dict(got) == expected and bool(expected) == (cut >= 0)
+
+
 @pytest.mark.parametrize("bound", [50_000, 0])
 def test_fewer_vectors_than_asked_for(spark, bound):
     q = spark.createDataFrame([(1, [1.0, 0.0])], Q)
