@@ -1,9 +1,9 @@
 """Quality rules: counted rules plus a log-likelihood ratio of hashed n-grams.
 
 The ratio compares two multinomials over hashed byte n-grams: that of a trusted target and that of
-the raw corpus. The raw corpus is counted over all documents, the target over a bounded number of
-trusted ones, whose ids every task can hold. A document's score is the mean ratio of
-its n-grams, so it does not grow with the length; a document scoring below a fixed threshold fails.
+the raw corpus. The raw corpus is counted over all documents, the target over all trusted ones. A
+document's score is the mean ratio of its n-grams, so it does not grow with the length; a document
+scoring below a fixed threshold fails.
 """
 
 from collections.abc import Iterator
@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import SpanHash, documents, mix, row_sums, rows_of, word_spans
+from corpusflow.session import materialize
 
 GRAM = 3
 BUCKETS = 1 << 16
 THRESHOLD = -0.5
-# Trusted documents that the target is counted over, at most: those of the smallest hashes.
-MAX_TRUSTED = 20_000
+# Trusted ids that every task can hold. Of more, the documents are shuffled to their ids.
+BROADCAST_IDS = 1 << 21
 SYMBOLS = "#*$%&|<>"
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -132,11 +133,13 @@ def _judge(weights, threshold: float, whole_rows: bool):
     return run
 
 
-def fit(docs: DataFrame, trusted: DataFrame, most: int = MAX_TRUSTED) -> np.ndarray:
-    """Log ratios of the n-gram buckets. `trusted` has the doc_id of trusted documents, of which at
-    most `most` are used."""
-    ids = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    target = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+def fit(docs: DataFrame, trusted: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> np.ndarray:
+    """Log ratios of the n-gram buckets. `trusted` has the doc_id of trusted documents, all of which are
+    used. Up to `broadcast_ids` ids are broadcast and no text is moved; of more, the texts are shuffled
+    once and not sorted. That doesn't change the result."""
+    ids = materialize(trusted.select("doc_id").where("doc_id is not null").distinct(), "trusted")
+    ids = ids.hint("broadcast" if ids.count() <= broadcast_ids else "shuffle_hash")
+    target = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     return log_ratio(multinomial(target), multinomial(docs))
 
 

@@ -294,6 +294,21 @@ def test_quality_rules(docs, none, rows, labels, spark):
     assert quality_rules.keep_good(docs, weights).columns == docs.columns
 
 
+def test_quality_target_has_all_trusted_documents(spark):
+    """More of them than any sample of 20,000; by broadcast and by shuffle, with repeated rows and ids."""
+    ids = spark.range(0, 24_000, 1, 4)
+    text = F.concat(F.lit("text "), F.sha1(F.col("id").cast("string")))
+    docs = ids.select(F.when(F.col("id") % 8 > 0, F.col("id")).alias("doc_id"), text.alias("text"))
+    docs = docs.unionByName(docs.where("doc_id < 9"))
+    trusted = ids.where("id > 99").select(F.col("id").alias("doc_id"))
+    trusted = trusted.unionByName(trusted.limit(50)).unionByName(spark.createDataFrame([(None,)], "doc_id long"))
+    raw = quality_rules.multinomial(docs)
+    expected = quality_rules.log_ratio(quality_rules.multinomial(docs.where("doc_id > 99")), raw)
+    assert len(expected) == quality_rules.BUCKETS and raw.sum() > 0
+    assert np.array_equal(quality_rules.fit(docs, trusted), expected)
+    assert np.array_equal(quality_rules.fit(docs, trusted, broadcast_ids=0), expected)
+
+
 def edit_distance_inside(pattern: bytes, text: bytes) -> int:
     row = np.zeros(len(text) + 1, int)
     for i, c in enumerate(pattern, 1):
