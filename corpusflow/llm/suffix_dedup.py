@@ -52,7 +52,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 # A context's place in its text: start of its first string, whether its anchor is in it twice (then
 # its own strings may repeat), number of its strings. Above these, twelve bits each of hashes of the
 # anchor with the SIDE bytes before it, and with those after it; zero where the text has none. Equal
-# strings around an anchor agree on one side or the other.
+# strings around an anchor agree on one side or the other, if their contexts have the anchor once.
 SIDE = (LENGTH - GRAM) // 2
 _SIDE_BITS, _START_BITS, _RUN_BITS = 12, 31, 7
 
@@ -239,9 +239,11 @@ def resolve(rows: pa.Table, hot: int) -> pa.RecordBatch:
     whole = np.bincount(group, 1 + twice) == total[new_anchor]
     settled = whole & (np.bincount(group, new) == 1) & (np.bincount(group, twice) == 0)
     covered = ~new & ~again
-    # Of an anchor whose rows are all here, contexts that agree with no other on a side end here.
+    # Of an anchor whose rows are all here, contexts that agree with no other on a side end here. Sides are
+    # those of a context's first anchor, so if any context has the anchor twice, all go on.
     on = np.flatnonzero(new & ~settled[group])
-    alone = whole[group[on]] & (total[on] <= hot) & (twice[on] == 0) & ~shared_side(group[on], place[on])
+    single = np.bincount(group, twice) == 0
+    alone = (whole & single)[group[on]] & (total[on] <= hot) & ~shared_side(group[on], place[on])
     on = on[~alone]
     parts = -(-total[on] // hot)
     salt = (mix((k[on] ^ h[on] ^ place[on]).view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)

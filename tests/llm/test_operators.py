@@ -410,6 +410,19 @@ def test_suffix_dedup(spark, docs, none, rows, hot, at_once):
     assert suffix_dedup.drop_repeats(none, hot, at_once).count() == 0
 
 
+def test_suffix_dedup_of_lines_found_twice(spark):
+    """One text has a short line twice and then a passage, another has the line once and the passage."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for i in range(300):
+        line, tail = letters(50) + "\n", letters(120)
+        rows += [(2 * i, letters(150) + line + line + tail), (2 * i + 1, letters(150) + line + tail)]
+    expected = brute_repeats(rows)
+    found = suffix_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("kept").toPandas()
+    same_bag(found, [(i, *expected[i, t]) for i, t in rows])
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
     for trial in range(60):
