@@ -1,9 +1,12 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-from corpusflow.llm.queries import LISTED_SITES, RULES
+from corpusflow.llm.queries import LISTED_SITES, PROBE, RULES
 
 _RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in RULES)
 _SITES = ", ".join(f"('{host}')" for host in LISTED_SITES)
+_PROBE = ", ".join(f"({conv}, {turn}, '{role}', '{text}')" for conv, turn, role, text in PROBE)
+# The length of a text with a backslash put into each `<`, any backslashes, `|`.
+_ESCAPED = r"length(regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g'))"
 
 ORACLE = {
     "op1_url_filter": f"""
@@ -28,4 +31,19 @@ ORACLE = {
                coalesce(best.says, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict
         FROM parts JOIN verdicts USING (host, path)
     """,
+    "op11_chat_format": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES {_PROBE})
+        ),
+        whole AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+                   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS learned,
+                   CAST(sum({_ESCAPED.format("role")} + {_ESCAPED.format("text")} + 32) AS BIGINT) AS formatted_chars
+            FROM turns GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars
+        FROM whole
+    """,
 }
