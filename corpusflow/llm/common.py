@@ -103,12 +103,16 @@ BLANKS[[9, 10, 11, 12, 13, 32]] = True
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs without ASCII blanks); no word crosses a row."""
-    ink = ~BLANKS[data]
+    return runs(~BLANKS[data], offsets)
+
+
+def runs(ink: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true bytes; no run crosses a row."""
     starts, ends = ink.copy(), ink.copy()
     starts[1:] &= ~ink[:-1]
     ends[:-1] &= ~ink[1:]
     edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < len(data))]
+    edges = edges[(edges > 0) & (edges < len(ink))]
     starts[edges] = ink[edges]
     ends[edges - 1] = ink[edges - 1]
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1

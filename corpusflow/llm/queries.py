@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import chat_format, decontam, packing, quality_model, quality_rules, secrets, sharding, simhash, suffix_dedup, toxicity, url_filter
+from corpusflow.llm import chat_format, decontam, importance, packing, quality_model, quality_rules, secrets, sharding, simhash, suffix_dedup, toxicity, url_filter
 from corpusflow.llm.common import table
 
 # Rules of op1: host, path, verdict.
@@ -86,6 +86,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(rows.unionByName(probe))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,5 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_pack,
         op10_suffix_dedup,
         op11_chat_format,
+        op12_resample,
     )
 }
