@@ -46,4 +46,42 @@ ORACLE = {
         SELECT conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars
         FROM whole
     """,
+    "op13_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ),
+        words AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+        sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        sources AS (SELECT DISTINCT lang, source FROM docs),
+        found AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+        dense AS (
+            SELECT lang, source, term, coalesce(c, 0) AS c
+            FROM sources JOIN kept USING (lang) LEFT JOIN found USING (lang, source, term)
+        ),
+        shares AS (
+            SELECT lang, source, term, c, v,
+                   1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER (PARTITION BY lang, source) + 5 * v) AS p,
+                   1 + (1000000000::HUGEINT * (sum(c) OVER (PARTITION BY lang, term) + 5)) // (sum(c) OVER (PARTITION BY lang) + 5 * v) AS q
+            FROM dense JOIN sizes USING (lang)
+        ),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+            FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (
+                SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+                FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+            ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        ),
+        parts AS (
+            SELECT lang, source, 'pair' AS part, item, value FROM pairs
+            UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE c > 0 AND p > q
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM parts
+        QUALIFY part = 'pair' OR rank <= 50
+    """,
 }

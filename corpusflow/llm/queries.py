@@ -5,7 +5,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import chat_format, decontam, importance, packing, quality_model, quality_rules, secrets, sharding, simhash, suffix_dedup, toxicity, url_filter
+from corpusflow.llm import (
+    chat_format,
+    decontam,
+    divergence,
+    importance,
+    packing,
+    quality_model,
+    quality_rules,
+    secrets,
+    sharding,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 from corpusflow.llm.common import table
 
 # Rules of op1: host, path, verdict.
@@ -90,6 +104,10 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,5 +123,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_suffix_dedup,
         op11_chat_format,
         op12_resample,
+        op13_divergence,
     )
 }
