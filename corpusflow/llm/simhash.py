@@ -7,11 +7,6 @@ Correlated bits share a part, so that parts differ in selectivity; the number of
 thresholds (-1 leaves a part out) are the cheapest by dynamic programming over estimated candidate
 counts. A fingerprint is filed in one bucket per part and probes the buckets within its threshold.
 
-Optionally `wide` adds further words of 64 bits from remixed hashes. They verify found pairs, whose
-share of different bits over all words must not exceed `max_share`. With `searches` above 1 the
-first of these words are searched like the fingerprint: a pair is found if any searched word is
-within `max_bits`, which a pair at the edge of similarity misses much more rarely.
-
 Fingerprints, not documents, are compared: copies of a text are one class. Buckets of any size are
 compared in cells of bounded size, and a task emits a spanning forest of its links, not all pairs.
 """
@@ -49,40 +44,31 @@ def shingles(text: bytes, words: int) -> tuple[bytes, list[int], list[int]]:
     return b" ".join(found), [0][: len(found)], [int(ends[-1])] if found else []
 
 
-def fingerprint(text: bytes, words: int, wide: int = 0) -> list[int]:
-    """Fingerprint words of one text: a bit is set where over half the shingles' hashes have it."""
+def fingerprint(text: bytes, words: int) -> int:
+    """Fingerprint of one text: a bit is set where over half the shingles' hashes have it."""
     joined, starts, ends = shingles(text, words)
     digest = xxhash.xxh64_intdigest
-    votes = np.zeros((1 + wide, BITS), np.int64)
-    further = np.arange(1, 1 + wide, dtype=np.uint64)[:, None]
+    votes = np.zeros(BITS, np.int64)
     for at in range(0, len(starts), HASHES_AT_ONCE):
         to = at + HASHES_AT_ONCE
         hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at:to], ends[at:to], strict=True)], np.uint64)
-        mixed = [hashes] + ([mix(hashes + further).reshape(-1)] if wide else [])
-        bits = np.unpackbits(np.concatenate(mixed).view(np.uint8), bitorder="little")
-        votes += bits.reshape(1 + wide, -1, BITS).sum(1, dtype=np.int64)
-    return np.packbits(2 * votes > len(starts), axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
+        votes += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(starts), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int, wide: int = 0) -> DataFrame:
-    """(doc_id, fp, w array) for every row; a null or wordless text has zeros."""
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp) for every row; a null or wordless text has zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in documents(batch):
                 whole = data.tobytes()
-                found = [fingerprint(whole[a:b], words, wide) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(first, last - first),
-                        pa.array([x[0] for x in found], pa.int64()),
-                        pa.array([x[1:] for x in found], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "fp", "w"],
-                )
+                found = [fingerprint(whole[a:b], words) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                ids = batch.column("doc_id").slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, w array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def bit_counts(classes: DataFrame) -> tuple[int, np.ndarray]:
@@ -170,7 +156,7 @@ def plan(n: int, counts: np.ndarray, max_bits: int) -> list[tuple[list[int], int
 
 
 def file_and_probe(classes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, bucket, role, node, fp, w): role 0 is the fingerprint's own bucket, 1 one that it probes."""
+    """(part, bucket, role, node, fp): role 0 is the fingerprint's own bucket, 1 one that it probes."""
     own = [sum(1 << b for b in bits) for bits, _ in parts]
     flips = [[sum(1 << b for b in some) for k in range(t + 1) for some in combinations(bits, k)] for bits, t in parts]
 
@@ -186,12 +172,11 @@ def file_and_probe(classes: DataFrame, parts: list[tuple[list[int], int]]) -> Da
                             pa.array(np.full(len(fp), k > 0, np.int32)),
                             batch.column("node"),
                             batch.column("fp"),
-                            batch.column("w"),
                         ],
-                        names=["part", "bucket", "role", "node", "fp", "w"],
+                        names=["part", "bucket", "role", "node", "fp"],
                     )
 
-    return classes.select("node", "fp", "w").mapInArrow(run, "part int, bucket long, role int, node long, fp long, w array<long>")
+    return classes.select("node", "fp").mapInArrow(run, "part int, bucket long, role int, node long, fp long")
 
 
 def cells(filed: DataFrame) -> DataFrame:
@@ -208,19 +193,14 @@ def cells(filed: DataFrame) -> DataFrame:
     return cut.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), k - 1), cell))).drop("k")
 
 
-def links_of(end: np.ndarray, role: np.ndarray, fp: np.ndarray, wide: np.ndarray, max_bits: int, max_share: float) -> tuple[np.ndarray, np.ndarray]:
+def links_of(end: np.ndarray, role: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within runs of rows; end: where each row's run ends."""
-    most = int(max_share * BITS * (1 + wide.shape[1]))
     index = np.arange(len(fp))
     active = index[(role == 0) & (index + 1 < end)]
     a, b, found, ahead = [], [], 0, 1
     while len(active):
         other = active + ahead
-        bits = np.bitwise_count(fp[active] ^ fp[other])
-        near = np.flatnonzero(bits <= max_bits)
-        if wide.shape[1]:
-            whole = bits[near] + np.bitwise_count(wide[active[near]] ^ wide[other[near]]).sum(1)
-            near = near[whole <= most]
+        near = np.flatnonzero(np.bitwise_count(fp[active] ^ fp[other]) <= max_bits)
         if len(near):
             a.append(active[near])
             b.append(other[near])
@@ -237,8 +217,8 @@ def links_of(end: np.ndarray, role: np.ndarray, fp: np.ndarray, wide: np.ndarray
     return index[label != index], label[label != index]
 
 
-def near_links(classes: DataFrame, max_bits: int, max_share: float = 1.0) -> DataFrame:
-    """(u, v): links of `classes` (node, fp, w) that connect all fingerprints within `max_bits`."""
+def near_links(classes: DataFrame, max_bits: int) -> DataFrame:
+    """(u, v): links of `classes` (node, fp) that connect all fingerprints within `max_bits`."""
     n, counts = bit_counts(classes)
     parts = plan(n, counts, max_bits)
     order = ["part", "bucket", "cell"]
@@ -247,14 +227,12 @@ def near_links(classes: DataFrame, max_bits: int, max_share: float = 1.0) -> Dat
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         columns = {c: rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("part", "bucket", "cell", "role", "node", "fp")}
-        w = rows.column("w").combine_chunks()
-        wide = w.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(rows), -1) if len(w.flatten()) else np.zeros((len(rows), 0), np.uint64)
         new = np.zeros(len(rows), bool)
         for c in order:
             new[1:] |= columns[c][1:] != columns[c][:-1]
         bounds = np.append(np.flatnonzero(new), len(rows))
         end = bounds[np.searchsorted(bounds, np.arange(len(rows)), "right")]
-        a, b = links_of(end, columns["role"], columns["fp"].view(np.uint64), wide, max_bits, max_share)
+        a, b = links_of(end, columns["role"], columns["fp"].view(np.uint64), max_bits)
         return pa.RecordBatch.from_arrays([pa.array(columns["node"][a]), pa.array(columns["node"][b])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,21 +257,7 @@ def near_links(classes: DataFrame, max_bits: int, max_share: float = 1.0) -> Dat
     return filed.mapInArrow(run, "u long, v long").where("u != v")
 
 
-def searched_links(classes: DataFrame, max_bits: int, max_share: float, searches: int) -> DataFrame:
-    """Links found by the fingerprint and by the first `searches` - 1 further words, each with a plan of
-    its own. Several searches are written one after the other, so that their shuffles need not coexist."""
-    links = near_links(classes, max_bits, max_share)
-    links = materialize(links, "links-found") if searches > 1 else links
-    for k in range(1, searches):
-        others = F.filter(F.concat(F.array("fp"), "w"), lambda _, i: i != k)
-        turned = classes.select("node", F.element_at("w", k).alias("fp"), others.alias("w"))
-        links = links.unionByName(materialize(near_links(turned, max_bits, max_share), "links-found"))
-    return links
-
-
-def simhash_groups(
-    docs: DataFrame, words: int, max_bits: int, wide: int = 0, max_share: float = 1.0, searches: int = 1
-) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int, max_bits: int) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs` (doc_id, text).
 
     component_id is the smallest doc_id reachable over links. One row per input row: repeated rows
@@ -301,24 +265,10 @@ def simhash_groups(
     doc_id), other columns are ignored. A null, empty or blank text has the fingerprint zero and
     links like any other; a text of fewer than `words` words is one shingle.
     """
-    rows = materialize(fingerprints(docs, words, wide), "fingerprints")
-    rows = rows.withColumn("node", F.xxhash64("fp", "w") if wide else F.col("fp"))
-    classes = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("w").alias("w"), F.min("doc_id").alias("first_id")), "classes")
-    roots = components(searched_links(classes, max_bits, max_share, searches))
-    rooted = classes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = materialize(fingerprints(docs, words), "fingerprints")
+    classes = materialize(rows.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("first_id")), "classes")
+    roots = components(near_links(classes.withColumn("fp", F.col("node")), max_bits))
+    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted, "roots")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
-    return rows.join(named, "node").select("doc_id", "fp", "component_id")
-
-
-def keep_first(
-    docs: DataFrame, words: int, max_bits: int, wide: int, max_share: float, searches: int = 1
-) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of their group, with all their columns.
-
-    Rows that repeat a doc_id are one document, of which one row stays. Rows without a doc_id
-    stay only if no document of their group has one, one row per text.
-    """
-    groups = simhash_groups(docs, words, max_bits, wide, max_share, searches)
-    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("chosen_id")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"]), "left_semi").dropDuplicates(["doc_id"])
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
+    return rows.join(named.select(F.col("node").alias("fp"), "component_id"), "fp").select("doc_id", "fp", "component_id")
