@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import decontam, packing, quality_rules, secrets, simhash
+from corpusflow.llm import decontam, near_dedup, packing, quality_rules, secrets
 from corpusflow.llm.common import table
 from corpusflow.llm.queries import trusted_documents
 from corpusflow.session import materialize
@@ -20,10 +20,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies: either of two
-    fingerprints over five words at most 12 of 64 bits apart, and 17 % of 512 bits, which a similarity of 0.8
-    stays below."""
-    return simhash.keep_first(docs, words=5, max_bits=12, wide=7, max_share=0.17, searches=2)
+    """The first document of each group of near copies: five-word shingles, a similarity of 0.8 or more,
+    searched by SimHash and checked exactly."""
+    return near_dedup.keep_first(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
