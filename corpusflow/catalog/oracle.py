@@ -87,6 +87,10 @@ sources AS (
 
 RANKED = "WITH " + ranked_ctes(QUESTIONS, LANGUAGE_CHUNKS)
 RETRIEVED = "WITH " + ranked_ctes(QUESTIONS, CHUNKS)
+FIRST_CHUNKS = f"""{chunk_ctes(DOCS, "every")},
+chunks AS (SELECT * FROM every WHERE source_path BETWEEN 'api_upload/doc_1' AND 'api_upload/doc_5' AND chunk_index = 0
+           AND NOT title < 'doc_2')"""
+FILTERED = "WITH " + ranked_ctes(QUESTIONS, FIRST_CHUNKS)
 SOURCE_COLUMNS = "query_id, rank, id, title, source_path, snippet, doc_type, chunk_index, distance"
 
 HEADING = "'[S' || rank || '] ' || coalesce(nullif(title, ''), nullif(source_path, ''), id)"
@@ -202,6 +206,7 @@ SELECT query_id, rank,
        CASE WHEN source_path = 'fr' THEN sha256(query_id || chr(31) || rank || chr(31) || source_path || chr(31) || chunk_text)
             ELSE id END AS id,
        title, source_path, snippet, doc_type, chunk_index, distance FROM sources""",
+    "retrieve_filtered": f"{FILTERED} SELECT {SOURCE_COLUMNS} FROM sources",
     "retrieve": f"{RETRIEVED} SELECT {SOURCE_COLUMNS} FROM sources",
     "history_window": history(20),
     "history_window_short": history(2, ""),

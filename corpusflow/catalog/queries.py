@@ -200,6 +200,17 @@ def vector_scan(spark, sf):
     )
 
 
+def retrieve_filtered(spark, sf):
+    """Sources from first chunks of some documents only, in a stored index whose first documents were put again."""
+    path = new_path(spark, "filtered-index")
+    known = vectors(spark, sf)
+    index.write_snapshot(known.withColumn("version", F.lit(1).cast("long")), path, buckets=8)
+    again = known.filter("title < 'doc_2'").withColumn("version", F.lit(2).cast("long"))
+    index.put(spark, path, again.withColumn("source_path", F.lit("put/again")))
+    where = F.col("source_path").between("api_upload/doc_1", "api_upload/doc_5") & (F.col("chunk_index") == 0)
+    return _source_columns(retrieve(questions(spark, sf), index.read_index(spark, path, where=where), dim=DIM))
+
+
 def transcript_scan(spark, sf):
     """Histories of as many session ids as there are documents, most of them unknown."""
     asked = table(spark, sf, "documents").select(F.col("doc_id").alias("session_id"))
@@ -576,6 +587,7 @@ QUERIES = {
     "vector_upsert_log": vector_upsert_log,
     "vector_upsert_log_replace": vector_upsert_log_replace,
     "vector_scan": vector_scan,
+    "retrieve_filtered": retrieve_filtered,
     "transcript_scan": transcript_scan,
     "transcript_sink": transcript_sink,
     "transcript_log": transcript_log,

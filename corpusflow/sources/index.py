@@ -1,40 +1,61 @@
-"""The vector index: upsert by key, snapshots on plain Parquet, an append log for streams.
+"""The vector index: upsert by key into a log-structured store of plain Parquet, an append log for streams.
 
-Layout below the index path: `snapshots/<folder>` (partitioned by a hash bucket of the key),
-`commits/<number>.json` (a finished snapshot: its folder, bucket count and how far the log is
-folded in), `log/stream=<s>/batch=<n>` (vectors appended since) and `batches` (the finished
-ones of these). Nothing is ever overwritten; a snapshot counts once its commit file is there.
+Layout below the index path:
+
+* `base/run=<r>/bucket=<b>`: rows by a hash bucket of the key, sorted by key, one row for each key;
+* `deltas/<r>`: what one put has brought, and `deltas/<r>-documents`: the documents that it replaces;
+* `commits/<number>.json`: a snapshot: which run holds each bucket, the deltas on top in their order, how
+  far the streams' log is folded in;
+* `log/stream=<s>/batch=<n>` (vectors appended by streams) and `batches/<s>/<n>` (the finished ones).
+
+Nothing is ever overwritten; a snapshot counts once its commit file is there. A put writes its own rows
+and nothing else; readers merge the deltas in. Folding rewrites the buckets that deltas touch, and is done
+once the deltas are many or large, so each row is rewritten a bounded number of times as the index grows.
 """
 
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.schemas import VECTORS
+from corpusflow.sources.commits import CommitConflict, create_file, file_names, file_system, read_file
+
+# Rows aimed at for each bucket; buckets are doubled until they hold less than twice as many.
+BUCKET_ROWS = 1_000_000
+# Deltas are folded when they are this many, or hold this share of the base's rows.
+MAX_DELTAS = 16
+FOLD_SHARE = 0.5
+
 
-BUCKETS = 64
-_COMMITS = "snapshot bigint, folder string, buckets int, folded map<string, bigint>"
-_BATCHES = "stream string, batch bigint"
+class Delta(NamedTuple):
+    """One put: its folder, the snapshot that brought it (its order), rows, and whether it replaces documents."""
+
+    folder: str
+    run: int
+    rows: int
+    replaces: bool
 
 
 class Commit(NamedTuple):
-    """`folded`: per stream, the last batch of the log that the snapshot holds."""
+    """base: bucket to the run that holds it. rows: of the base. folded: per stream, the last batch
+    of the log that the snapshot holds."""
 
     snapshot: int
-    folder: str
     buckets: int
+    base: dict[int, str]
+    rows: int
+    deltas: tuple[Delta, ...]
     folded: dict[str, int]
 
 
-class CommitConflict(Exception):
-    """Another writer has committed the snapshot of that number."""
+EMPTY = Commit(0, 0, {}, 0, (), {})
 
 
 def latest(vectors: DataFrame) -> DataFrame:
@@ -71,111 +92,272 @@ def upsert(current: DataFrame, incoming: DataFrame, replace_document: bool = Fal
     return kept.select(*current.columns).unionByName(won.select(*current.columns))
 
 
-def write_snapshot(
-    vectors: DataFrame,
-    path: str,
-    buckets: int = BUCKETS,
-    after: Commit | None = None,
-    folded: dict[str, int] | None = None,
-) -> int:
-    """Write the snapshot that follows `after` and commit it; returns its number.
-
-    Rebalanced by bucket: adaptive execution splits large buckets and merges small ones into
-    files of the advisory partition size. Raises CommitConflict if another snapshot has followed
-    `after` meanwhile: what it put is not in `vectors`.
-    """
-    number = after.snapshot + 1 if after else 1
-    folder = f"{number}-{uuid.uuid4().hex}"
-    (
-        vectors.drop("bucket")
-        .withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-        .hint("rebalance", "bucket")
-        .write.partitionBy("bucket").parquet(f"{path}/snapshots/{folder}")
-    )
-    row = {"snapshot": number, "folder": folder, "buckets": buckets,
-           "folded": (after.folded if after else {}) if folded is None else folded}
-    _create(vectors.sparkSession, f"{path}/commits/{number:012d}.json", json.dumps(row) + "\n")
-    return number
+# ---------------------------------------------------------------- commits
 
 
-def _create(spark: SparkSession, name: str, text: str) -> None:
-    """A new file through Hadoop's file system, which refuses a name that is taken."""
-    file = spark._jvm.org.apache.hadoop.fs.Path(name)
-    system = file.getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        out = system.create(file, False)
-    except Py4JJavaError as error:
-        if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
-            raise CommitConflict(name) from error
-        raise
-    out.write(bytearray(text.encode()))
-    out.close()
+def commit(spark: SparkSession, path: str, snapshot: Commit) -> int:
+    """Write a snapshot's commit file, at its number. An unreadable file of that number is passed
+    over (no reader sees it): the next number is taken."""
+    text = json.dumps(snapshot._asdict())
+    number = snapshot.snapshot
+    while True:
+        try:
+            create_file(spark, f"{path}/commits/{number:012d}.json", text)
+            return number
+        except CommitConflict:
+            if _load(spark, path, number) is not None:
+                raise
+            number += 1
 
 
-def _read_if_there(reader: Callable[[str], DataFrame], path: str) -> DataFrame | None:
+def _load(spark: SparkSession, path: str, number: int) -> Commit | None:
     try:
-        return reader(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+        row = json.loads(read_file(spark, f"{path}/commits/{number:012d}.json"))
+        deltas = tuple(Delta(*d) for d in row["deltas"])
+        return Commit(number, row["buckets"], {int(b): r for b, r in row["base"].items()}, row["rows"], deltas, row["folded"])
+    except (ValueError, KeyError, TypeError):
+        return None
 
 
 def current_snapshot(spark: SparkSession, path: str) -> Commit | None:
-    """The last committed snapshot."""
-    commits = _read_if_there(spark.read.schema(_COMMITS).json, f"{path}/commits")
-    last = commits and commits.filter("snapshot is not null").orderBy(F.desc("snapshot")).first()
-    return Commit(last.snapshot, last.folder, last.buckets, last.folded or {}) if last else None
+    """The last committed snapshot: names are listed, one file is read."""
+    numbers = sorted((int(n[:-5]) for n in file_names(spark, f"{path}/commits") if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
+    return next((c for c in (_load(spark, path, n) for n in numbers) if c is not None), None)
+
+
+# ---------------------------------------------------------------- reading
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(max(buckets, 1))).cast("int")
+
+
+def _base(spark: SparkSession, path: str, snapshot: Commit, schema: T.StructType, only: set[int] | None = None) -> DataFrame:
+    stored = T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("bucket", T.IntegerType())])
+    folders = [f"{path}/base/run={r}/bucket={b}" for b, r in sorted(snapshot.base.items()) if only is None or b in only]
+    if not folders:
+        return spark.createDataFrame([], stored).drop("run")
+    return spark.read.schema(stored).option("basePath", f"{path}/base").parquet(*folders).drop("run")
 
 
-def read_snapshot(spark: SparkSession, path: str, commit: Commit | None, schema: T.StructType = VECTORS) -> DataFrame:
-    """A snapshot with all metadata, and its `bucket` for pruning."""
-    stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-    if commit is None:
-        return spark.createDataFrame([], stored)
-    return spark.read.schema(stored).parquet(f"{path}/snapshots/{commit.folder}")
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
-def read_index(spark: SparkSession, path: str, schema: T.StructType = VECTORS) -> DataFrame:
-    """The current snapshot."""
-    return read_snapshot(spark, path, current_snapshot(spark, path), schema)
+def _deltas(spark: SparkSession, path: str, snapshot: Commit, schema: T.StructType) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of all deltas with `_run`, replaced documents as (_file, _put, _by) or None)."""
+    rows = [spark.read.schema(schema).parquet(f"{path}/deltas/{d.folder}").withColumn("_run", F.lit(d.run)) for d in snapshot.deltas]
+    replaced = [
+        spark.read.schema("_file string, _put bigint").parquet(f"{path}/deltas/{d.folder}-documents").withColumn("_by", F.lit(d.run))
+        for d in snapshot.deltas
+        if d.replaces
+    ]
+    return _union(rows), _union(replaced) if replaced else None
+
+
+def read_snapshot(
+    spark: SparkSession, path: str, snapshot: Commit | None, schema: T.StructType = VECTORS, only: set[int] | None = None
+) -> DataFrame:
+    """A snapshot with all metadata, and its `bucket` for pruning; `only`: some buckets of it.
+
+    Of a key's rows the highest version stays, of equal ones the later put's. The base is joined to the
+    deltas' keys and never grouped, so it is not shuffled while the deltas are small.
+    """
+    if snapshot is None:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]))
+    base = _base(spark, path, snapshot, schema, only)
+    if not snapshot.deltas:
+        return base
+    rows, replaced = _deltas(spark, path, snapshot, schema)
+    rows = rows.withColumn("bucket", _bucket(snapshot.buckets))
+    if only is not None:
+        rows = rows.filter(F.col("bucket").isin(*only) if only else F.lit(False))
+    if replaced is not None:
+        gone = (F.col("filename") == F.col("_file")) & (F.col("_put") >= F.col("version"))
+        rows = rows.join(replaced, gone & (F.col("_by") > F.col("_run")), "left_anti")
+        base = base.join(replaced, gone, "left_anti")
+    others = [c for c in rows.columns if c not in ("key", "version", "_run")]
+    newest = rows.groupBy("key").agg(F.max(F.struct("version", "_run", *others)).alias("r"))
+    newest = newest.select(*["key" if c == "key" else f"r.{c}" for c in base.columns])
+
+    def beaten(rows: DataFrame, by: DataFrame, higher: Column) -> DataFrame:
+        by = by.select(F.col("key").alias("_key"), F.col("version").alias("_by_version"))
+        return rows.join(by, (F.col("key") == F.col("_key")) & higher, "left_anti")
+
+    kept = beaten(base, newest, F.col("_by_version") >= F.col("version"))
+    won = beaten(newest, kept, F.col("_by_version") > F.col("version"))
+    return kept.unionByName(won)
+
+
+def read_index(spark: SparkSession, path: str, schema: T.StructType = VECTORS, where: Column | None = None) -> DataFrame:
+    """The current snapshot; `where`: rows of some metadata only, a condition that reaches the scan of the
+    base, whose files are sorted by key and have the extent of each column in their footers."""
+    rows = read_snapshot(spark, path, current_snapshot(spark, path), schema)
+    return rows if where is None else rows.filter(where)
+
+
+# ---------------------------------------------------------------- writing
+
+
+def _write_base(vectors: DataFrame, path: str, buckets: int) -> tuple[str, set[int]]:
+    """A run of whole buckets: (its name, the buckets that it has). Rebalanced by bucket: adaptive execution
+    splits large buckets and merges small ones into files of the advisory partition size."""
+    run = uuid.uuid4().hex
+    (
+        vectors.drop("bucket").withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "key")
+        .write.partitionBy("bucket").parquet(f"{path}/base/run={run}")
+    )
+    names = file_names(vectors.sparkSession, f"{path}/base/run={run}")
+    return run, {int(n[7:]) for n in names if n.startswith("bucket=")}
+
+
+def _rows(spark: SparkSession, path: str, run: str) -> int:
+    folder = f"{path}/base/run={run}"
+    return spark.read.schema("key string").parquet(folder).count() if any(n.startswith("bucket=") for n in file_names(spark, folder)) else 0
+
+
+def write_snapshot(
+    vectors: DataFrame, path: str, buckets: int = 1, after: Commit | None = None, folded: dict[str, int] | None = None
+) -> int:
+    """Write a snapshot of unique keys as a whole, to follow `after`; returns its number.
+
+    Raises CommitConflict if another snapshot has followed `after` meanwhile: what it put is not in
+    `vectors`."""
+    spark, last = vectors.sparkSession, after or EMPTY
+    run, held = _write_base(vectors, path, buckets)
+    rows = _rows(spark, path, run)
+    new = Commit(last.snapshot + 1, buckets, dict.fromkeys(held, run), rows, (), last.folded if folded is None else folded)
+    return commit(spark, path, new)
 
 
 def put(
-    spark: SparkSession, path: str, incoming: DataFrame, replace_document: bool = False, buckets: int | None = None
+    spark: SparkSession,
+    path: str,
+    incoming: DataFrame,
+    replace_document: bool = False,
+    buckets: int | None = None,
+    schema: T.StructType = VECTORS,
+    folded: tuple[dict[str, int], dict[str, int]] | None = None,
 ) -> int:
     """Put vectors into the index; returns the new snapshot's number.
 
-    If another writer commits first, the put is done again on top of that snapshot."""
+    Writes one delta, whose size is that of `incoming`. The higher version of a key wins, of equal ones the
+    later put. With `replace_document` the versions of whole documents are compared, for which the
+    versions of the documents put, and nothing else, are read. If another writer commits first, the
+    delta follows that snapshot. `buckets` is for the first fold, else their number comes from the data.
+    folded: the log's positions between which `incoming` lies; CommitConflict if others have folded them.
+    """
+    incoming = incoming.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
+    written = None
     while True:
-        last = current_snapshot(spark, path)
-        merged = upsert(read_snapshot(spark, path, last).drop("bucket"), incoming, replace_document)
+        last = current_snapshot(spark, path) or EMPTY
+        if folded and last.folded != folded[0]:
+            raise CommitConflict(path)
+        if written is None or replace_document:
+            written = _write_delta(spark, path, incoming, last if replace_document else None, schema)
+        delta = Delta(written[0], last.snapshot + 1, written[1], replace_document)
+        if buckets and not last.base and not last.deltas:
+            last = last._replace(buckets=buckets)
+        new = last._replace(snapshot=delta.run, deltas=(*last.deltas, delta), folded={**last.folded, **(folded[1] if folded else {})})
         try:
-            return write_snapshot(merged, path, buckets or (last.buckets if last else BUCKETS), last)
+            number = commit(spark, path, new)
+            break
         except CommitConflict:
             continue
+    if len(new.deltas) >= MAX_DELTAS or sum(d.rows for d in new.deltas) > FOLD_SHARE * new.rows:
+        fold(spark, path, schema)
+    return number
+
+
+def _write_delta(spark: SparkSession, path: str, incoming: DataFrame, last: Commit | None, schema: T.StructType) -> tuple[str, int]:
+    """(folder, rows). last: the snapshot whose documents are to be replaced, if any are."""
+    folder = uuid.uuid4().hex
+    target = f"{path}/deltas/{folder}"
+    if last is None:
+        incoming.write.parquet(target)
+    else:
+        # Written as it came, so that it is computed once; then the rows that count.
+        incoming.write.parquet(f"{target}-incoming")
+        incoming = spark.read.schema(schema).parquet(f"{target}-incoming")
+        documents = incoming.groupBy(F.col("filename").alias("_file")).agg(F.max("version").alias("_put"))
+        documents.write.parquet(f"{target}-documents")
+        documents = spark.read.schema("_file string, _put bigint").parquet(f"{target}-documents")
+        there = read_snapshot(spark, path, last, schema).select("filename", "version")
+        later = there.join(documents, (F.col("filename") == F.col("_file")) & (F.col("version") > F.col("_put")), "left_semi")
+        later = later.select(F.col("filename").alias("_later")).distinct()
+        counts = documents.join(later, F.col("_file") == F.col("_later"), "left_anti")
+        match = (F.col("filename") == F.col("_file")) & (F.col("version") == F.col("_put"))
+        incoming.join(counts, match, "left_semi").write.parquet(target)
+    return folder, spark.read.schema(schema).parquet(target).count()
+
+
+def fold(spark: SparkSession, path: str, schema: T.StructType = VECTORS) -> int:
+    """Merge the deltas into the base: only the buckets that they touch are written again, all of them
+    where the index has outgrown their number. Deltas that others put meanwhile stay on top."""
+    while True:
+        last = current_snapshot(spark, path)
+        if last is None or not last.deltas:
+            return last.snapshot if last else 0
+        rows, replaced = _deltas(spark, path, last, schema)
+        buckets, most = max(last.buckets, 1), last.rows + sum(d.rows for d in last.deltas)
+        while most >= 2 * BUCKET_ROWS * buckets:
+            buckets *= 2
+        if buckets == last.buckets:
+            found = rows.select(_bucket(buckets).alias("b"))
+            if replaced is not None:
+                old = _base(spark, path, last, schema).select("bucket", "filename", "version")
+                gone = (F.col("filename") == F.col("_file")) & (F.col("_put") >= F.col("version"))
+                found = found.union(old.join(replaced, gone, "left_semi").select("bucket"))
+            touched = {r.b for r in found.distinct().collect()}
+        else:
+            touched = None
+        merged = read_snapshot(spark, path, last, schema, touched)
+        run, held = _write_base(merged, path, buckets)
+        kept = {} if touched is None else {b: r for b, r in last.base.items() if b not in touched}
+        base = kept | dict.fromkeys(held, run)
+        total = _base(spark, path, last._replace(base=base), schema).select("key").count()
+        while True:
+            now = current_snapshot(spark, path)
+            if now.base != last.base or now.deltas[: len(last.deltas)] != last.deltas:
+                break  # somebody else has folded
+            new = now._replace(snapshot=now.snapshot + 1, buckets=buckets, base=base, rows=total, deltas=now.deltas[len(last.deltas) :])
+            try:
+                return commit(spark, path, new)
+            except CommitConflict:
+                continue
+
+
+# ---------------------------------------------------------------- the streams' log
+
+
+def _read_if_there(reader: Callable[[str], DataFrame], path: str) -> DataFrame | None:
+    try:
+        return reader(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def append_log(batch: DataFrame, path: str, stream: str, number: int) -> None:
     """Add one batch of a stream to the log; a batch that runs again replaces itself."""
     batch.write.mode("overwrite").parquet(f"{path}/log/stream={stream}/batch={number}")
-    done = batch.sparkSession.createDataFrame([(stream, number)], _BATCHES)
-    done.coalesce(1).write.mode("append").parquet(f"{path}/batches")
+    system, done = file_system(batch.sparkSession, f"{path}/batches/{stream}/{number}")
+    system.create(done, True).close()
 
 
 def log_end(spark: SparkSession, path: str) -> dict[str, int]:
-    """The last finished batch of each stream."""
-    batches = _read_if_there(spark.read.schema(_BATCHES).parquet, f"{path}/batches")
-    if batches is None:
-        return {}
-    return {r.stream: r.last for r in batches.groupBy("stream").agg(F.max("batch").alias("last")).collect()}
+    """The last finished batch of each stream: names of empty files, no data is read."""
+    ends = {s: [int(n) for n in file_names(spark, f"{path}/batches/{s}") if n.isdigit()] for s in file_names(spark, f"{path}/batches")}
+    return {s: max(done) for s, done in ends.items() if done}
 
 
 def read_log(
     spark: SparkSession, path: str, after: dict[str, int], upto: dict[str, int], schema: T.StructType = VECTORS
 ) -> DataFrame:
     """The log's batches after one position up to another, by partition filters."""
-    stored = T.StructType([*schema.fields, *T._parse_datatype_string(_BATCHES).fields])
+    stored = T.StructType([*schema.fields, T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())])
     log = _read_if_there(spark.read.schema(stored).parquet, f"{path}/log") if upto else None
     if log is None:
         return spark.createDataFrame([], schema)
@@ -186,19 +368,18 @@ def read_log(
 
 
 def compact(spark: SparkSession, path: str, replace_document: bool = False, buckets: int | None = None) -> int:
-    """Fold what the log has gained since the last snapshot into a new one.
+    """Put what the log has gained since the last snapshot, as one delta.
 
     The commit records how far the log is folded, so no batch is folded twice and an older
     version in the log never comes back. With nothing to fold, no snapshot is written.
     """
     while True:
-        last = current_snapshot(spark, path)
-        folded, upto = last.folded if last else {}, log_end(spark, path)
-        if last and all(folded.get(s, -1) >= n for s, n in upto.items()):
+        last = current_snapshot(spark, path) or EMPTY
+        upto = log_end(spark, path)
+        if last.snapshot and all(last.folded.get(s, -1) >= n for s, n in upto.items()):
             return last.snapshot
-        gained = read_log(spark, path, folded, upto)
-        merged = upsert(read_snapshot(spark, path, last).drop("bucket"), gained, replace_document)
+        gained = read_log(spark, path, last.folded, upto)
         try:
-            return write_snapshot(merged, path, buckets or (last.buckets if last else BUCKETS), last, {**folded, **upto})
+            return put(spark, path, gained, replace_document, buckets, folded=(last.folded, upto))
         except CommitConflict:
             continue

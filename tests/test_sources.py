@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,10 +82,11 @@ def test_folding_never_brings_old_rows_back(spark, tmp_path):
     assert index.compact(spark, path, True, buckets=2) == 1
     index.put(spark, path, put_rows(spark, ("a_0", 9), ("a_1", 9)), replace_document=True)
     assert state(spark, path) == {"a_0": 9, "a_1": 9}
-    assert index.compact(spark, path, True) == 2, "nothing to fold"
+    before = index.current_snapshot(spark, path)
+    assert index.compact(spark, path, True) == before.snapshot, "nothing to fold"
     index.append_log(put_rows(spark, ("a_0", 3), ("b_0", 1), ("b_1", 1)), path, "s", 1)
     index.append_log(put_rows(spark, ("b_0", 2)), path, "other", 0)
-    assert index.compact(spark, path, True) == 3
+    assert index.compact(spark, path, True) == before.snapshot + 1
     assert state(spark, path) == {"a_0": 9, "a_1": 9, "b_0": 2}
     last = index.current_snapshot(spark, path)
     assert last.folded == {"s": 1, "other": 0} and last.buckets == 2
@@ -110,11 +112,115 @@ def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
     with pytest.raises(index.CommitConflict):
         index.write_snapshot(put_rows(spark, ("c_0", 1)), path, 2, seen)
     real, stale = index.current_snapshot, [seen]
+    number = real(spark, path).snapshot
     monkeypatch.setattr(index, "current_snapshot", lambda *a: stale.pop() if stale else real(*a))
-    assert index.put(spark, path, put_rows(spark, ("c_0", 1))) == 3
+    assert index.put(spark, path, put_rows(spark, ("c_0", 1))) == number + 1
     assert state(spark, path) == {"a_0": 1, "b_0": 1, "c_0": 1}
 
 
+def test_any_puts_and_folds_give_what_upsert_gives(spark, tmp_path):
+    """Random puts with and without replacing documents, folded now and then, against the plain rules."""
+    rng, path, model = random.Random(2), str(tmp_path / "i"), {}
+    for turn in range(12):
+        replace = rng.random() < 0.5
+        rows = list({(f"{rng.choice('abcd')}_{rng.randrange(4)}", rng.randrange(1, 5)) for _ in range(rng.randint(1, 6))})
+        rows = [max(r for r in rows if r[0] == k) for k in {k for k, _ in rows}]
+        of = (lambda k: k[0]) if replace else (lambda k: k)
+        put = {g: max(v for k, v in rows if of(k) == g) for g in {of(k) for k, _ in rows}}
+        there = {g: max(v for k, v in model.items() if of(k) == g) for g in {of(k) for k in model}}
+        new = [(k, v) for k, v in rows if (not replace or v == put[of(k)]) and there.get(of(k), 0) <= v]
+        model = {k: v for k, v in model.items() if v > put.get(of(k), 0)} | dict(new)
+        index.put(spark, path, put_rows(spark, *rows), replace, buckets=3)
+        assert state(spark, path) == model
+        if turn % 5 == 4:
+            index.fold(spark, path)
+            assert state(spark, path) == model and not index.current_snapshot(spark, path).deltas
+
+
+def sizes(folder):
+    return {str(f.relative_to(folder)): f.stat().st_size for f in folder.rglob("*.parquet")}
+
+
+def test_a_put_writes_one_delta_of_its_own_size(spark, tmp_path):
+    one, written = put_rows(spark, ("x_0", 2)), []
+    for n in (100, 20_000):
+        path = tmp_path / f"i{n}"
+        index.put(spark, str(path), put_rows(spark, *((f"d{i}_0", 1) for i in range(n))), buckets=4)
+        before = sizes(path)
+        index.put(spark, str(path), one)
+        new = {f: s for f, s in sizes(path).items() if f not in before}
+        assert all(f.startswith("deltas/") for f in new) and sizes(path).keys() >= before.keys()
+        written.append(sum(new.values()))
+        assert len(index.current_snapshot(spark, str(path)).deltas) == 1
+    assert written[0] == written[1]
+
+
+def test_a_fold_writes_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "i")
+    index.put(spark, path, put_rows(spark, *((f"d{i}_0", 1) for i in range(2000))), buckets=16)
+    before = index.current_snapshot(spark, path)
+    index.put(spark, path, put_rows(spark, ("d7_0", 2)))
+    index.fold(spark, path)
+    after = index.current_snapshot(spark, path)
+    assert len(before.base) == 16 and sum(before.base[b] != after.base[b] for b in before.base) == 1
+    assert after.rows == 2000 and state(spark, path)["d7_0"] == 2
+
+
+def test_buckets_grow_with_the_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "BUCKET_ROWS", 50)
+    path = str(tmp_path / "i")
+    for n in (10, 200, 900):
+        index.put(spark, path, put_rows(spark, *((f"d{i}_0", 1) for i in range(n))))
+        last = index.current_snapshot(spark, path)
+        assert last.rows == n and n / last.buckets < 100 and not last.deltas
+    assert last.buckets == 16 and len(state(spark, path)) == 900
+
+
+def test_puts_during_a_fold_stay(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "i")
+    more = {f"{c}_0": 1 for c in "cdefghi"}
+    index.put(spark, path, put_rows(spark, ("a_0", 1), ("b_0", 1), *more.items()), buckets=2)
+    index.put(spark, path, put_rows(spark, ("a_0", 2)))
+    real = index._write_base
+
+    def slow(*args):
+        monkeypatch.setattr(index, "_write_base", real)
+        index.put(spark, path, put_rows(spark, ("b_0", 2)))
+        return real(*args)
+
+    monkeypatch.setattr(index, "_write_base", slow)
+    index.fold(spark, path)
+    assert state(spark, path) == {"a_0": 2, "b_0": 2} | more
+    assert [d.rows for d in index.current_snapshot(spark, path).deltas] == [1]
+
+
+def test_a_writer_lost_within_its_commit_blocks_nobody(spark, tmp_path):
+    path = tmp_path / "i"
+    index.put(spark, str(path), put_rows(spark, ("a_0", 1)), buckets=2)
+    number = index.current_snapshot(spark, str(path)).snapshot
+    for name in (f"{number + 1:012d}.json", f"_{number + 2:012d}.json-lost"):
+        (path / "commits" / name).write_text("")
+    assert index.put(spark, str(path), put_rows(spark, ("b_0", 1))) == number + 2
+    assert state(spark, str(path)) == {"a_0": 1, "b_0": 1}
+    assert index.put(spark, str(path), put_rows(spark, ("c_0", 1))) > number + 2 and len(state(spark, str(path))) == 3
+
+
+def test_metadata_conditions_reach_the_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(f"{i:05d}.md", f"text {i}") for i in range(4000)], "filename string, content string")
+    path, block = str(tmp_path / "i"), "parquet.block.size"
+    spark.conf.set(block, "20000")  # row groups of this small table
+    index.put(spark, path, embed_documents(docs, E).withColumn("version", F.lit(1).cast("long")), buckets=1)
+    spark.conf.unset(block)
+    where = (F.col("source_path") >= "api_upload/00100.md") & (F.col("source_path") < "api_upload/00110.md")
+    found = index.read_index(spark, path, where=where)
+    plan = found._jdf.queryExecution().executedPlan()
+    assert "GreaterThanOrEqual(source_path" in plan.toString() and sorted(r.title for r in found.collect()) == [f"{i:05d}" for i in range(100, 110)]
+    assert plan.collectLeaves().head().metrics().apply("numOutputRows").value() < 1000, "other row groups are passed over"
+    index.put(spark, path, index.read_index(spark, path).drop("bucket").filter("title = '00105'").withColumn("source_path", F.lit("moved")).withColumn("version", F.lit(2).cast("long")))
+    titles = sorted(r.title for r in index.read_index(spark, path, where=where).collect())
+    assert titles == [f"{i:05d}" for i in range(100, 110) if i != 105], "a newer row that does not meet the condition hides the older"
+
+
 def test_a_later_export_replaces_its_sessions_only(spark, tmp_path):
     schema = "session_id string, seq int, role string, content string, timestamp timestamp_ntz"
     path = str(tmp_path / "out")
