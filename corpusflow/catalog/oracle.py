@@ -162,6 +162,7 @@ SELECT key, filename, source_path, title, doc_type, chunk_index, 1::BIGINT AS ve
     "transcript_scan": f"""
 SELECT d.doc_id AS session_id, m.seq, m.role, m.content FROM documents d LEFT JOIN ({MESSAGES}) m ON m.session_id = d.doc_id""",
     "transcript_sink": MESSAGES,
+    "transcript_files": MESSAGES,
     "transcript_log": MESSAGES,
     "chunk_text": f"WITH {CHUNKS} SELECT filename, chunk_index, chunk_text FROM chunks",
     "embed": f"""WITH {CHUNKS}, {hashed("cv", "key", "chunk_text", "chunks")}
@@ -227,6 +228,12 @@ ends AS (SELECT conv_id AS session_id, max(turn) + 1 AS e FROM conversations GRO
 placed AS (SELECT t.*, e + 2 * (row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1) AS s FROM turns t JOIN ends USING (session_id))
 {MESSAGES}
 UNION ALL SELECT session_id, CAST(s AS INTEGER), 'user', message FROM placed
+UNION ALL SELECT session_id, CAST(s + 1 AS INTEGER), 'assistant', answer FROM placed""",
+    "turn_commit_log": f"""WITH {TURNS},
+ends AS (SELECT conv_id AS session_id, max(turn) + 1 AS e FROM conversations GROUP BY 1),
+placed AS (SELECT t.*, e + 2 * (row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1) AS s FROM turns t JOIN ends USING (session_id))
+{MESSAGES}
+UNION ALL SELECT session_id, CAST(s AS INTEGER), 'user', message FROM placed
 UNION ALL SELECT session_id, CAST(s + 1 AS INTEGER), 'assistant', answer FROM placed""",
     "chat_response": f"""WITH {ranked_ctes(USER_TURNS, CHUNKS, 0.3)}, {TURNS},
 listed AS (SELECT query_id, string_agg(id, ',' ORDER BY rank) AS ids FROM sources GROUP BY query_id)
@@ -261,5 +268,6 @@ JOIN answered ON q.query_id = conv_id || '#' || t LEFT JOIN blocks USING (query_
     "stream_ingest": f"""WITH {CHUNKS}
 SELECT key, source_path, title, chunk_index, md5(chunk_text) AS text_md5 FROM chunks""",
     "stream_history": history(20),
+    "stream_history_late": f"SELECT session_id, CAST(seq * seq * 3 AS INTEGER) AS seq, n, history FROM ({history(20)})",
     "stream_retrieve": f"{RETRIEVED} SELECT {SOURCE_COLUMNS} FROM sources",
 }

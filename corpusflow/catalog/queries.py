@@ -16,7 +16,7 @@ from corpusflow.plans.ingest import chunk_documents, embed_documents
 from corpusflow.plans.replay import replay, search_texts, turn_id
 from corpusflow.plans.retrieve import retrieve, search
 from corpusflow.session import materialize, new_path
-from corpusflow.sources import index, transcripts
+from corpusflow.sources import index, message_log, transcript_files, transcripts
 from corpusflow.sources.markdown import split_markdown
 from corpusflow.streaming import jobs
 
@@ -225,6 +225,14 @@ def transcript_sink(spark, sf):
     return back.select("session_id", "seq", "role", "content")
 
 
+def transcript_files_query(spark, sf):
+    """Sessions written as files of their own, and read from them."""
+    path = new_path(spark, "transcript-files")
+    transcript_files.write_transcript_files(messages(spark, sf), path)
+    back = transcript_files.read_transcript_files(spark, path)
+    return back.select(F.col("session_id").cast("long").alias("session_id"), "seq", "role", "content")
+
+
 def transcript_log(spark, sf):
     """Messages appended to the log and read back."""
     path = new_path(spark, "messages")
@@ -440,6 +448,19 @@ def turn_commit(spark, sf):
     return conv.commit_turns(messages(spark, sf), turns, answers).select("session_id", "seq", "role", "content")
 
 
+def turn_commit_log(spark, sf):
+    """The turns of `turn_commit` in two commits to a stored log, the first of them done twice."""
+    path = new_path(spark, "turn-log")
+    rows = messages(spark, sf)
+    schema = message_log.logged(rows.schema)
+    message_log.append_messages(spark, path, rows, schema, buckets=8)
+    turns, answers = turns_and_answers(spark, sf)
+    early = F.col("turn_order") < 3
+    for part in (turns.filter(early), turns.filter(early), turns.filter(~early)):
+        message_log.commit_turns(spark, path, part, answers, schema)
+    return message_log.read_log(spark, path, schema=schema).select("session_id", "seq", "role", "content")
+
+
 def chat_response(spark, sf):
     """With a cutoff that leaves some turns without sources."""
     turns, answers = turns_and_answers(spark, sf)
@@ -557,12 +578,26 @@ def stream_history(spark, sf):
     arriving = _stream(spark, sf, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn").cast("int").alias("seq"), "role", F.col("text").alias("content")
     )
-    out = jobs.stream_history(arriving)
-    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").trigger(
-        availableNow=True
-    ).start().awaitTermination()
+    jobs.stream_history(arriving, path, f"{path}/progress").awaitTermination()
+    lines = F.zip_with("roles", "contents", lambda r, c: F.concat(r, F.lit("="), c))
+    return jobs.read_histories(spark, path, T.LongType()).select(
+        "session_id", "seq", F.size("roles").alias("n"), F.array_join(lines, "|").alias("history")
+    )
+
+
+def stream_history_late(spark, sf):
+    """Every third message arrives in a later batch than the rest, and positions have gaps."""
+    path = new_path(spark, "stream-history-late")
+    rows = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("session_id"), (F.col("turn") * F.col("turn") * 3).cast("int").alias("seq"), "role",
+        F.col("text").alias("content"), (F.col("turn") % 3 == 1).alias("late"),
+    )
+    for late in (False, True):
+        rows.filter(F.col("late") == late).drop("late").write.mode("append").parquet(f"{path}/in")
+        arriving = spark.readStream.schema(rows.drop("late").schema).parquet(f"{path}/in")
+        jobs.stream_history(arriving, path, f"{path}/progress").awaitTermination()
     lines = F.zip_with("roles", "contents", lambda r, c: F.concat(r, F.lit("="), c))
-    return spark.read.schema(out.schema).parquet(f"{path}/out").select(
+    return jobs.read_histories(spark, path, T.LongType()).select(
         "session_id", "seq", F.size("roles").alias("n"), F.array_join(lines, "|").alias("history")
     )
 
@@ -590,6 +625,7 @@ QUERIES = {
     "retrieve_filtered": retrieve_filtered,
     "transcript_scan": transcript_scan,
     "transcript_sink": transcript_sink,
+    "transcript_files": transcript_files_query,
     "transcript_log": transcript_log,
     "chunk_text": chunk_text,
     "embed": embed_query,
@@ -619,6 +655,7 @@ QUERIES = {
     "rewrite_merge": rewrite_merge,
     "session_assign": session_assign,
     "turn_commit": turn_commit,
+    "turn_commit_log": turn_commit_log,
     "chat_response": chat_response,
     "chat_turn": chat_turn,
     "source_heading": source_heading,
@@ -627,5 +664,6 @@ QUERIES = {
     "model_request": model_request,
     "stream_ingest": stream_ingest,
     "stream_history": stream_history,
+    "stream_history_late": stream_history_late,
     "stream_retrieve": stream_retrieve,
 }

@@ -7,8 +7,10 @@ the few messages before it and is then independent of the rest.
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.functions.text import present, strip
+from corpusflow.session import materialize
 
 HISTORY_MESSAGES = 20
 REWRITE_MESSAGES = 5
@@ -16,11 +18,15 @@ BLOCK = 1024
 
 
 def positions(df: DataFrame, key: str, order: str, out_col: str, block: int = BLOCK) -> DataFrame:
-    """0-based, gap-free position of each row within its key, by an integer `order`.
+    """0-based, gap-free position of each row within its key, by `order`.
 
-    Rows are counted per block of order values (combined before the shuffle), the running
-    counts give each block its start, and rows are numbered inside blocks only.
+    An integer order counts rows per block of order values (combined before the shuffle), the running
+    counts give each block its start, and rows are numbered inside blocks only. Blocks of an order
+    with wide gaps hold a row each: number by `sparse_positions` there. Other orders, such
+    as times, are always numbered so.
     """
+    if not isinstance(df.schema[order].dataType, T.IntegralType):
+        return sparse_positions(df, key, order, out_col)
     blocked = df.withColumn("_block", F.floor(F.col(order) / block))
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -36,6 +42,25 @@ def positions(df: DataFrame, key: str, order: str, out_col: str, block: int = BL
     )
 
 
+def sparse_positions(df: DataFrame, key: str, order: str, out_col: str) -> DataFrame:
+    """As `positions`, by any order: rows are sorted in ranges of (key, order) and numbered as they come.
+
+    Each range counts its rows per key; running sums of these counts, one row for each key and range,
+    give a key its start in the range. So a key of any share of the rows is numbered by many
+    tasks. The sorted rows are written once, so that counts and numbers are of the same ranges.
+    Rows of equal order are numbered in any way.
+    """
+    ranged = df.repartitionByRange(key, order).sortWithinPartitions(key, order)
+    ranged = materialize(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    ranged = ranged.withColumn("_range", F.shiftright("_id", 33)).withColumn("_row", F.col("_id").bitwiseAND((1 << 33) - 1))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    starts = starts.select(F.col(key).alias("_key"), F.col("_range").alias("_of"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = ranged[key].eqNullSafe(starts["_key"]) & (ranged["_range"] == starts["_of"])
+    numbered = ranged.join(starts, same).withColumn(out_col, (F.col("_row") + F.col("_shift")).cast("int"))
+    return numbered.select(*df.columns, out_col)
+
+
 def with_previous(messages: DataFrame, n: int, value: Column, out_col: str, block: int = BLOCK) -> DataFrame:
     """Add the `value` of the last `n` earlier messages of the session, oldest first.
 
@@ -58,6 +83,25 @@ def with_previous(messages: DataFrame, n: int, value: Column, out_col: str, bloc
     )
 
 
+def touched_histories(messages: DataFrame, new: DataFrame, n: int = HISTORY_MESSAGES) -> DataFrame:
+    """(session_id, seq, roles, contents): the last n earlier messages of the user turns whose history the
+    messages `new` (session_id, seq), which are among `messages`, have changed or begun: their own and the n after each.
+
+    Only keys of the touched sessions are numbered; contents are read of the messages around new ones.
+    """
+    new = new.select("session_id", "seq").distinct()
+    keys = messages.select("session_id", "seq").join(new.select("session_id").distinct(), "session_id", "left_semi")
+    at = materialize(positions(keys, "session_id", "seq", "_at"), "positions")
+    hit = at.join(new, ["session_id", "seq"]).select("session_id", F.col("_at").alias("_new"))
+    around = hit.select("session_id", "_new", F.explode(F.sequence(F.col("_new") - n, F.col("_new") + n)).alias("_at"))
+    around = around.groupBy("session_id", "_at").agg(F.bool_or(F.col("_at") >= F.col("_new")).alias("_touched"))
+    needed = at.join(around, ["session_id", "_at"]).select("session_id", "seq", "_touched")
+    rows = messages.select("session_id", "seq", "role", "content").join(needed, ["session_id", "seq"])
+    past = with_previous(rows, n, F.struct("role", "content"), "_past").filter((F.col("role") == "user") & F.col("_touched"))
+    part = lambda name: F.transform("_past", lambda m: m[name]).alias(f"{name}s")
+    return past.select("session_id", "seq", part("role"), part("content"))
+
+
 def model_message(role: Column, text: Column) -> Column:
     return F.struct(role.alias("role"), F.array(F.struct(text.alias("text"))).alias("content"))
 

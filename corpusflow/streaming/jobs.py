@@ -1,19 +1,17 @@
 """Structured Streaming forms of ingest, history and retrieval."""
 
 import hashlib
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusflow.operators.conversation import BLOCK, HISTORY_MESSAGES
+from corpusflow.operators.conversation import HISTORY_MESSAGES, touched_histories
 from corpusflow.operators.embedding import Embedder
 from corpusflow.plans.ingest import embed_documents
 from corpusflow.plans.retrieve import retrieve
+from corpusflow.sources import message_log
 from corpusflow.sources.index import append_log
 
 
@@ -31,7 +29,7 @@ def stream_ingest(
         "key", "filename", "source_path", "title", "doc_type", "chunk_index", "chunk_text",
         "embedding", "version",
     )
-    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    stream = stream_name(checkpoint)
 
     def add(batch: DataFrame, number: int) -> None:
         append_log(batch, index, stream, number)
@@ -42,51 +40,39 @@ def stream_ingest(
     )
 
 
-def stream_history(messages: DataFrame, n: int = HISTORY_MESSAGES, block: int = BLOCK) -> DataFrame:
-    """(session_id, seq, roles, contents) of the last n earlier messages, for each arriving
-    user turn.
+def stream_name(checkpoint: str) -> str:
+    """What a stream is called in logs: by its checkpoint, which it keeps when it is started again."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-    As in the batch form a session is cut into blocks of positions, each with copies of the n
-    messages before it. State is keyed by session and block: a busy session spreads over
-    tasks, a group never holds more than block + n messages, its state at most n, and none
-    once the block is full. Messages of one session arrive in order from batch to batch;
-    inside a batch any order will do.
+
+def stream_history(messages: DataFrame, path: str, checkpoint: str, n: int = HISTORY_MESSAGES) -> StreamingQuery:
+    """Keep the histories of all user turns up to date with arriving messages(session_id, seq, role, content).
+
+    Each batch is appended to the message log below `path`, and the histories that it touches are made
+    again from the log: a message that comes late, or into a gap, also changes those of the turns after
+    it. `read_histories` gives the last form of each. There is no state but the log; a batch that runs again is
+    appended once and replaces its own histories.
     """
-    block = max(block, n)
-    own = F.floor(F.col("seq") / block)
-    copies = F.when(F.col("seq") % block >= block - n, F.array(own, own + 1)).otherwise(F.array(own))
-    kind = messages.schema["session_id"].dataType
-    out = T.StructType(
-        [
-            T.StructField("session_id", kind),
-            T.StructField("seq", T.IntegerType()),
-            T.StructField("roles", T.ArrayType(T.StringType())),
-            T.StructField("contents", T.ArrayType(T.StringType())),
-        ]
-    )
-    state_schema = T.StructType(out.fields[2:])
-
-    def turn(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session, number = key
-        roles, contents = ([], []) if not state.exists else map(list, state.get)
-        batch = pd.concat(list(frames)).sort_values("seq")
-        rows = []
-        for seq, role, content in zip(batch["seq"], batch["role"], batch["content"]):
-            if role == "user" and seq // block == number:
-                rows.append((session, seq, list(roles), list(contents)))
-            roles, contents = (roles + [role])[-n:], (contents + [content])[-n:]
-        if batch["seq"].iloc[-1] == (number + 1) * block - 1:
-            state.remove()
-        else:
-            state.update((roles, contents))
-        yield pd.DataFrame(rows, columns=["session_id", "seq", "roles", "contents"])
+    schema = message_log.logged(messages.select("session_id", F.col("seq").cast("int").alias("seq"), "role", "content").schema)
 
-    return (
-        messages.select("session_id", F.col("seq").cast("int").alias("seq"), "role", "content",
-                        F.explode(copies).alias("block"))
-        .groupBy("session_id", "block")
-        .applyInPandasWithState(turn, out, state_schema, "append", GroupStateTimeout.NoTimeout)
-    )
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.withColumn("seq", F.col("seq").cast("int"))
+        message_log.append_messages(spark, f"{path}/messages", batch, schema, stream_name(checkpoint), number)
+        stored = message_log.read_log(spark, f"{path}/messages", schema=schema)
+        touched = touched_histories(stored, batch, n)
+        touched.write.mode("overwrite").parquet(f"{path}/histories/batch={number}")
+
+    return messages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_histories(spark: SparkSession, path: str, session_type: T.DataType = T.StringType()) -> DataFrame:
+    """(session_id, seq, roles, contents) of all user turns, as the last batch that touched them left them."""
+    texts = T.ArrayType(T.StringType())
+    fields = [("session_id", session_type), ("seq", T.IntegerType()), ("roles", texts), ("contents", texts), ("batch", T.LongType())]
+    rows = spark.read.schema(T.StructType([T.StructField(*f) for f in fields])).parquet(f"{path}/histories")
+    last = rows.groupBy("session_id", "seq").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["session_id", "seq", "batch"], "left_semi").drop("batch")
 
 
 def stream_retrieve(

@@ -1,5 +1,5 @@
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +76,21 @@ def test_positions_with_gaps(spark):
     assert len(got) == len(rows)
 
 
+def test_positions_by_times(spark):
+    """A session with most rows is numbered by many tasks; null sessions and repeated times have positions too."""
+    start = datetime(2024, 1, 1)
+    rows = [("hot", start + timedelta(seconds=i * i)) for i in range(4000)] + [("a", start), ("b", start), ("b", start), (None, start)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, o timestamp_ntz").repartition(5)
+    got = conv.positions(df, "k", "o", "at").withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len(rows)
+    for key in ("hot", "a", "b", None):
+        order = sorted((r.o, r["at"]) for r in got if r.k == key)
+        assert sorted(at for _, at in order) == list(range(len(order))) and [o for o, _ in sorted(order, key=lambda x: x[1])] == [o for o, _ in order]
+    counts = df.repartitionByRange("k", "o").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert max(r["count"] for r in counts) < 3 * sorted(r["count"] for r in counts)[len(counts) // 2]
+
+
 def test_rewriting(spark):
     df = spark.createDataFrame([("a", 0, "user", "hi", None), ("a", 1, "assistant", "yes", None), ("a", 2, "user", "and?", None)], M)
     turns = conv.rewrite_request(conv.rewrite_context(df)).orderBy("seq").collect()

@@ -6,7 +6,7 @@ from corpusflow.operators.conversation import with_history
 from corpusflow.operators.embedding import embed, hashing_embedder
 from corpusflow.plans.ingest import embed_documents
 from corpusflow.plans.retrieve import retrieve
-from corpusflow.sources import index
+from corpusflow.sources import index, message_log
 from corpusflow.sources.markdown import read_markdown, stream_markdown
 from corpusflow.streaming import jobs
 
@@ -39,24 +39,39 @@ def test_ingest_stream_ends_like_the_batch_run(spark, tmp_path):
 
 
 def test_history_stream_equals_batch(spark, tmp_path):
-    """Sessions arrive over several batches, shuffled inside each; blocks smaller than a session."""
+    """Sessions arrive over several batches, shuffled inside each; some messages come late, positions have gaps."""
     schema = "session_id string, seq int, role string, content string"
-    rows = [(s, i, "user" if i % 2 == 0 else "assistant", f"{s}{i}") for s, n in [("hot", 300), ("b", 26), ("c", 1)] for i in range(n)]
-    source = tmp_path / "in"
     rng = random.Random(4)
-    for at in range(6):
-        part = [r for r in rows if r[1] // 50 == at]
+    rows = [(s, i * (1 if s == "hot" else 2000), "user" if i % 2 == 0 else "assistant", f"{s}{i}")
+            for s, n in [("hot", 300), ("b", 26), ("c", 1), ("d", 60)] for i in range(n)]
+    source = tmp_path / "in"
+    at = {r[:2]: min(5, r[1] // (50 if r[0] == "hot" else 100_000)) if rng.random() < 0.8 else rng.randrange(6) for r in rows}
+    for number in range(6):
+        part = [r for r in rows if at[r[:2]] == number]
         rng.shuffle(part)
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
-    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    out = jobs.stream_history(arriving, 20, 32)
-    (out.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-     .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination())
-    got = {(r.session_id, r.seq): r.contents for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()}
+    path, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    for _ in range(2):
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(source))
+        jobs.stream_history(arriving, path, progress).awaitTermination()
+    got = {(r.session_id, r.seq): r.contents for r in jobs.read_histories(spark, path).collect()}
     batch = with_history(spark.createDataFrame(rows, schema)).collect()
     assert got == {(r.session_id, r.seq): [m.content[0].text for m in r.history] for r in batch}
 
 
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    schema = "session_id string, seq int, role string, content string"
+    spark.createDataFrame([("a", i, "user", f"{i}") for i in range(6)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    path, progress = str(tmp_path / "out"), tmp_path / "progress"
+    for _ in range(2):
+        arriving = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.stream_history(arriving, path, str(progress)).awaitTermination()
+        assert {(r.seq, len(r.contents)) for r in jobs.read_histories(spark, path).collect()} == {(i, i) for i in range(6)}
+        for done in [*(progress / "commits").glob("0"), *(progress / "commits").glob(".0.crc")]:
+            done.unlink()  # as if the driver had been lost before the batch was marked
+    assert message_log.read_log(spark, f"{path}/messages").count() == 6
+
+
 def test_retrieve_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(f"{i}.md", f"note {i} about {w}") for i, w in enumerate("cats dogs tax rain".split())],
                                  "filename string, content string")
