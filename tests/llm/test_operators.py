@@ -300,7 +300,7 @@ def edit_distance_inside(pattern: bytes, text: bytes) -> int:
 def test_decontamination_finds_regions_within_the_budget_only():
     rng = random.Random(5)
     items = [(i, prose(700 + i, 14 + 6 * i)) for i in range(6)]
-    probes = decontam.Probes(items)
+    probes = decontam.Probes.of(items)
     for trial in range(60):
         item = bytearray(rng.choice(items)[1].encode())
         for _ in range(rng.randint(0, len(item) // 8)):
@@ -314,6 +314,52 @@ def test_decontamination_finds_regions_within_the_budget_only():
         assert found == set(np.flatnonzero(within).tolist())
 
 
+def test_decontamination_by_short_items():
+    """Items of 10 to 40 bytes with their whole budget of edits, spread out and at their ends."""
+    rng, letters = random.Random(6), "abcdefghij klmnop"
+    for n in range(decontam.MIN_BYTES, 41):
+        item = "".join(rng.choice(letters) for _ in range(n))
+        probes = decontam.Probes.of([(1, item)])
+        assert (probes.least >= 1).all()
+        for trial in range(12):
+            k = int(decontam.edit_budget(n))
+            edited = list(item)
+            for j in range(k):
+                at = (j + 1) * n // (k + 1) if trial % 2 else rng.randrange(n)
+                edited[at] = rng.choice(["", "Z", "YX"]) if trial % 3 else "#"
+            text = ("q" * rng.randint(0, 30) + "".join(edited) + "w" * rng.randint(0, 9)).encode()
+            data = np.frombuffer(text, np.uint8)
+            near = edit_distance_inside(probes.bytes[0, :n].tobytes(), decontam.FOLD[data].tobytes()) <= k
+            assert bool(decontam.regions(data, np.array([0, len(data)]), probes)) == near
+
+
+def test_decontamination_of_repetitive_texts_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    probes = decontam.Probes.of([(1, "la " * 200), (2, "lo " * 60), (3, prose(77, 40)), (4, "ha " * 60)])
+    text = ("la " * 30_000 + prose(77, 40) + " " + "lo " * 400).encode()
+    data = np.frombuffer(text, np.uint8)
+    tracemalloc.start()
+    found = decontam.regions(data, np.array([0, len(data)]), probes)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    assert {probes.item[p] for _, p, *_ in found} == {1, 2, 3}
+    # The same regions whatever is held at once.
+    short = data[80_000:]
+    whole = decontam.regions(short, np.array([0, 3000, len(short)]), probes)
+    monkeypatch.setattr(decontam, "HITS_AT_ONCE", 500)
+    assert sorted(decontam.regions(short, np.array([0, 3000, len(short)]), probes)) == sorted(whole) and whole
+
+
+def test_decontamination_in_blocks(docs, spark, monkeypatch):
+    benchmark = spark.createDataFrame([(i, prose(300 + i, 30)) for i in range(60)] + [(99, PASSAGE), (99, PASSAGE)], BENCH)
+    whole = decontam.contaminated(docs, benchmark).toPandas()
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 3000)
+    parts = decontam.contaminated(docs, benchmark).toPandas()
+    assert len(list(decontam.blocks(benchmark))) > 1 and set(whole["doc_id"]) == {8, 9}
+    assert set(zip(parts["doc_id"], parts["item_id"], strict=True)) == set(zip(whole["doc_id"], whole["item_id"], strict=True))
+
+
 def test_decontamination_of_a_table(docs, none, spark):
     benchmark = spark.createDataFrame([(1, PASSAGE), (2, "short"), (3, None), (None, prose(901, 50)), (4, prose(3, 5))], BENCH)
     found = decontam.contaminated(docs, benchmark).toPandas()
