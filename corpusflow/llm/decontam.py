@@ -115,6 +115,20 @@ class Probes:
         cuts = [(item_id, part) for item_id, text in items for part in cut(text)]
         return cls([i for i, _ in cuts], [t for _, t in cuts])
 
+    def to_bytes(self) -> bytes:
+        return pickle.dumps(vars(self) | {"parts": [vars(g) for g in self.parts]})
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> "Probes":
+        new = cls.__new__(cls)
+        vars(new).update(pickle.loads(data))
+        parts, new.parts = new.parts, []
+        for values in parts:
+            part = Grams.__new__(Grams)
+            vars(part).update(values)
+            new.parts.append(part)
+        return new
+
 
 def align(patterns: np.ndarray, texts: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least edits between each whole pattern and a part of its text inside a band, and the band
@@ -217,7 +231,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _indexed(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by([("item_id", "ascending"), ("probe", "ascending")])
     index = Probes(rows.column("item_id").to_pylist(), [np.frombuffer(p, np.uint8) for p in rows.column("probe").to_pylist()])
-    return pa.table({"block": rows.column("block")[:1].cast(pa.int32()), "index": pa.array([pickle.dumps(index)], pa.binary())})
+    return pa.table({"block": rows.column("block")[:1].cast(pa.int32()), "index": pa.array([index.to_bytes()], pa.binary())})
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Probes]:
@@ -232,7 +246,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Probes]:
     indexed = materialize(dealt.groupBy("block").applyInArrow(_indexed, "block int, index binary"), "probe-blocks")
     for block in range(n):
         for row in indexed.where(F.col("block") == block).collect():
-            yield pickle.loads(row["index"])
+            yield Probes.from_bytes(row["index"])
     if not n:
         yield Probes([], [])
 
