@@ -1,14 +1,17 @@
 """Sharding by balanced label propagation.
 
 Documents are linked through hubs (here: equal texts). Each hub's documents start where their own
-hashes put them. In every round all documents of a hub in one shard ask to move to the shard with
-most of the hub's documents; a target takes requests from the largest gain down until its quota is
-used, so sizes stay even while links stop being cut. All of this works on one row per hub and home
+hashes put them. In every round the documents of a hub in one shard ask to move to the shard that
+holds most of the hub, among those that hold more of it and could take the requests of the round before. All
+requests of a round are weighed together, by prices of the shards: what a shard takes must fit its quota
+with what leaves it. So links stop being cut while sizes stay even, and a hub
+above the quota gathers in a few shards. All of this works on one row per hub and home
 shard with a count, never on a row per link. Documents without links fill the shards up. At the end
-documents are put in the order of their shards and cut into shards of equal counts, so that a hub is
-cut only where the hubs of a shard exceed it, and at most one at each border.
+documents are put in the order of the shards in which they ended and cut into shards of equal counts, which
+moves some documents over the border of their shard.
 """
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,38 +20,69 @@ from corpusflow.session import materialize
 SHARDS = 40
 OVERHEAD = 16
 ROUNDS = 10
+# Steps of the prices in a round, and how sharply a request is decided by its gain.
+_PRICE_TURNS, _SHARPNESS = 400, 4
 
 
 def _home(shards: int):
     return F.pmod(F.xxhash64("doc_id", "hub"), F.lit(shards)).cast("int")
 
 
-def propagate(linked: DataFrame, shards: int, quota: float) -> DataFrame:
+def admitted(load: np.ndarray, wanted: list[tuple[int, int, int, int]], quota: float) -> np.ndarray:
+    """The share of each request that is admitted, so that gains are large and no shard's load ends above its quota.
+
+    wanted: (shard, target, gain, documents), added up: a row for each pair of shards and gain. Each shard has a price,
+    which rises while more would be there than its quota and falls while less would; a request pays that of its target
+    and gets back that of the shard it leaves, so documents of two full shards may change places. A request
+    is admitted as far as its gain exceeds what it pays."""
+    source, target, gain, n = (np.array(c) for c in zip(*wanted, strict=True))
+    price = np.zeros(len(load))
+    for turn in range(_PRICE_TURNS):
+        share = 1 / (1 + np.exp(np.clip(_SHARPNESS * (price[target] - price[source] - gain), -50, 50)))
+        moved = n * share
+        over = load + np.bincount(target, moved, len(load)) - np.bincount(source, moved, len(load)) - quota
+        price = np.maximum(0, price + 2 * over / max(quota, 1) / (1 + turn / 20))
+    return share
+
+
+def propagate(linked: DataFrame, shards: int, quota: float, rounds: int = ROUNDS) -> DataFrame:
     """(hub, home, shard): where the documents of a hub that start at `home` end.
 
     linked: (hub, home, n). quota: documents that a shard may hold. Ends when nothing moves, or
-    after ROUNDS rounds. The driver sees totals by shard and gain only.
+    after `rounds` rounds. The driver sees totals by pairs of shards and gain only.
     """
+    spark = linked.sparkSession
     state = materialize(linked.withColumn("shard", F.col("home")), "shards")
-    for _ in range(ROUNDS):
+    full: list[int] = []
+    for _ in range(rounds):
         held = state.groupBy("hub", "shard").agg(F.sum("n").alias("m"))
-        most = held.groupBy("hub").agg(F.max(F.struct("m", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("top"))
-        asked = held.join(most.select("hub", F.col("top.shard").alias("target"), F.col("top.m").alias("at_target")), "hub")
-        asked = asked.where("shard != target").withColumn("gain", F.floor(F.log2(F.col("m") + F.col("at_target"))).cast("int"))
+        weight = F.struct("m", F.xxhash64("hub", "shard").alias("tie"), "shard")
+        free = ~F.col("shard").isin(*full) if full else F.lit(True)  # a few numbers of shards
+        best = held.where(free).groupBy("hub").agg(F.max(weight).alias("top"))
+        asked = held.withColumn("own", weight).join(best, "hub").where("own < top")
+        gain = F.floor(F.log2(F.col("m") + F.col("top.m"))).cast("int")
+        asked = asked.select("hub", "shard", "m", F.col("top.shard").alias("target"), gain.alias("gain"))
         asked = asked.withColumn("draw", F.pmod(F.xxhash64("hub", "shard", "target"), F.lit(1 << 20)).cast("int"))
         asked = materialize(asked, "moves")
-        load = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("m").alias("n")).collect()}
-        wanted = asked.groupBy("target", "gain").agg(F.sum("m").alias("n")).collect()
-        admitted = []
-        for target in range(shards):
-            room = quota - load.get(target, 0)
-            for r in sorted((r for r in wanted if r["target"] == target), key=lambda r: -r["gain"]):
-                share = min(1.0, max(0.0, room / r["n"]))
-                admitted.append((target, r["gain"], int(share * (1 << 20))))
-                room -= share * r["n"]
-        if not any(a[2] for a in admitted):
+        wanted = [tuple(r) for r in asked.groupBy("shard", "target", "gain").agg(F.sum("m").alias("n")).collect()]
+        if not wanted and not full:
             break
-        taken = asked.join(F.broadcast(state.sparkSession.createDataFrame(admitted, "target int, gain int, below int")), ["target", "gain"])
+        if not wanted:
+            full = []  # only shards that were full the round before are left to ask for
+            continue
+        load = np.zeros(shards)
+        for r in held.groupBy("shard").agg(F.sum("m").alias("n")).collect():
+            load[r["shard"]] = r["n"]
+        share = admitted(load, wanted, quota)
+        asked_for, let_in = np.zeros(shards), np.zeros(shards)
+        below = []
+        for (source, target, gain, n), part in zip(wanted, share.tolist(), strict=True):
+            asked_for[target] += n
+            let_in[target] += n * part
+            below.append((source, target, gain, int(part * (1 << 20))))
+        full = np.flatnonzero(let_in < asked_for / 2).tolist()
+        limits = spark.createDataFrame(below, "shard int, target int, gain int, below int")  # shards^2 rows for each gain at most
+        taken = asked.join(F.broadcast(limits), ["shard", "target", "gain"])
         taken = taken.where("draw < below").select("hub", "shard", "target")
         state = state.join(taken, ["hub", "shard"], "left").withColumn("shard", F.coalesce("target", "shard")).drop("target")
         state = materialize(state.select("hub", "home", "n", "shard"), "shards")
@@ -56,10 +90,11 @@ def propagate(linked: DataFrame, shards: int, quota: float) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """`rows` with `place`, their number from 0 in the given order. Ranges are sorted apart; the driver
-    adds up one count per range."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    ranged = materialize(ranged, "ranges")
+    """`rows` (of a written table) with `place`, their number from 0 in the given order. Ranges are sorted apart; the driver
+    adds up one count per range. Equal rows are divided among ranges by their place in the table."""
+    order = [*order, "_row"]
+    ranged = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.drop("_row").withColumn("_id", F.monotonically_increasing_id()), "ranges")
     part = F.shiftright("_id", 33).cast("int").alias("part")
     counts = sorted(ranged.groupBy(part).count().collect())
     before, total = [], 0
@@ -71,7 +106,7 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return ranged.withColumn("place", F.col("first") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "part", "first")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of `docs` (doc_id, text).
 
     The law is `rows`: shard sizes in documents differ by one at most, and slots run from 0 in each
@@ -86,12 +121,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     linked = slim.groupBy("hub", "home").agg(F.count("*").alias("n"))
     hubs = linked.groupBy("hub").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("hub")
     total = slim.count()
-    ends = propagate(linked.join(hubs, "hub"), shards, total / shards)
-    # A hub stays together in the order: at the shard that holds most of it.
-    counted = ends.join(linked, ["hub", "home"]).groupBy("hub", "shard").agg(F.sum("n").alias("m"))
-    led = counted.groupBy("hub").agg(F.max_by("shard", F.struct("m", F.xxhash64("hub", "shard"))).alias("lead"))
+    ends = propagate(linked.join(hubs, "hub"), shards, total / shards, rounds).withColumnRenamed("shard", "lead")
     columns = ["doc_id", "size", "text_crc32", "hub", "lead"]
-    led = materialize(slim.join(led, "hub", "left").select(*columns), "leads")
+    led = materialize(slim.join(ends, ["hub", "home"], "left").select(*columns), "leads")
     # Documents without links fill what the linked ones leave of each shard.
     load = {r["lead"]: r["count"] for r in led.where("lead is not null").groupBy("lead").count().collect()}
     begin = [-(-s * total // shards) for s in range(shards + 1)]

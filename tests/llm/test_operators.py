@@ -182,6 +182,46 @@ def test_sharding(docs, none, rows):
     assert sharding.shard_documents(none, shards=7).count() == 0
 
 
+def cut_edges(found):
+    """Pairs of equal texts in different shards."""
+    pairs = lambda counts: int((counts * (counts - 1) // 2).sum())
+    return pairs(found.groupby("text_crc32").size()) - pairs(found.groupby(["text_crc32", "shard"]).size())
+
+
+def test_propagation_cuts_fewer_edges(spark):
+    """Groups of copies, some above a shard's size: rounds gather them, sizes stay even."""
+    rng = random.Random(12)
+    sizes = [rng.randint(30, 220) for _ in range(30)]
+    rows = [(i, prose(g, 5)) for i, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cuts = []
+    for rounds in (0, 1, 10):
+        found = sharding.shard_documents(docs, 40, rounds).toPandas()
+        counts = found.groupby("shard").size()
+        assert counts.max() - counts.min() <= 1 and len(counts) == 40
+        cuts.append(cut_edges(found))
+    quota = len(rows) / 40
+    least = sum(n * (n - 1) // 2 - (n // quota) * quota * (quota - 1) / 2 - (n % quota) * (n % quota - 1) / 2 for n in sizes)
+    assert cuts[0] > cuts[1] > cuts[2] and cuts[2] < 0.7 * cuts[0] and cuts[2] >= 0.9 * least, (cuts, least)
+
+
+def test_admission_keeps_quotas():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        load = rng.integers(0, 100, 6).astype(float)
+        wanted = [(s, t, int(g), int(rng.integers(1, 40))) for s in range(6) for t in range(6) if s != t for g in rng.choice(6, 2, replace=False)]
+        after = load.copy()
+        quota = max(60.0, load.mean())
+        for (s, t, _, n), share in zip(wanted, sharding.admitted(load, wanted, quota), strict=True):
+            after[s] -= n * share
+            after[t] += n * share
+            assert 0 <= share <= 1
+        assert (after <= np.maximum(quota, load) * 1.15).all()
+    # Two full shards change places, a third cannot get in.
+    share = sharding.admitted(np.array([50.0, 50, 50]), [(0, 1, 5, 20), (1, 0, 5, 20), (2, 1, 1, 30)], 50)
+    assert share[0] > 0.9 and share[1] > 0.9 and share[2] < 0.1
+
+
 def brute_secrets(text):
     text = text_of(text)
     spans = [("assign", *m.span()) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 12]
