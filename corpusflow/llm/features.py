@@ -91,8 +91,11 @@ def first_rows(ids: DataFrame, most: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def vectors(docs: DataFrame, sample: DataFrame, view: View) -> DataFrame:
-    """(h, y, bucket array, value array) of the rows of `docs` in a bounded `sample` (doc_id, y)."""
+def vectors(docs: DataFrame, sample: DataFrame, view: View, most: int) -> DataFrame:
+    """(h, y, bucket array, value array) of the documents of a bounded `sample` (doc_id, y), `most` at most.
+
+    Rows of one doc_id and text are one document; of more documents than `most`, as ids with many texts
+    give, those with the smallest hashes of id and text are taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,8 +107,10 @@ def vectors(docs: DataFrame, sample: DataFrame, view: View) -> DataFrame:
                 columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (bucket.astype(np.int32), value)]
                 yield pa.RecordBatch.from_arrays(columns, names=["h", "y", "bucket", "value"])
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id").alias("h"), "y", "text")
-    return chosen.mapInArrow(run, "h long, y int, bucket array<int>, value array<float>")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("key", F.xxhash64("text"))
+    once = chosen.groupBy("doc_id", "y", "key").agg(F.first("text").alias("text"))
+    bounded = once.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "key").limit(most)
+    return bounded.select("h", "y", "text").mapInArrow(run, "h long, y int, bucket array<int>, value array<float>")
 
 
 def train_in_task(examples: DataFrame, train: Callable[..., np.ndarray]) -> np.ndarray:

@@ -36,7 +36,7 @@ def ftrl(y: np.ndarray, ends: np.ndarray, bucket: np.ndarray, value: np.ndarray)
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> np.ndarray:
     """Weights from at most `most` documents of `labels` (doc_id, quality) outside the held-out fold."""
     sample = features.first_rows(features.labelled(labels, "quality"), most)
-    return features.train_in_task(features.vectors(docs, sample, VIEW), ftrl)
+    return features.train_in_task(features.vectors(docs, sample, VIEW, most), ftrl)
 
 
 def quality_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:

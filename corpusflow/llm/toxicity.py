@@ -83,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVE, unlab
     toxic = features.first_rows(known.where("y = 1"), positives)
     rest = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~features.held_out("doc_id")).distinct()
     rest = features.first_rows(rest, unlabelled).withColumn("y", F.lit(0))
-    examples = features.vectors(docs, toxic, VIEW).unionByName(features.vectors(docs, rest, VIEW))
+    examples = features.vectors(docs, toxic, VIEW, positives).unionByName(features.vectors(docs, rest, VIEW, unlabelled))
     return features.train_in_task(examples, nonnegative_pu(prior))
 
 
