@@ -26,7 +26,7 @@ SMOOTHING = 5
 UNIT = 1_000_000_000
 
 # Terms of a shard, and of its array of sources by slots the numbers.
-SHARD_TERMS, SHARD_CELLS = 4096, 1 << 20
+SHARD_TERMS, SHARD_CELLS = 1024, 1 << 20
 # Bytes of perfect hashes and terms that are broadcast at once; each block is a pass over the texts.
 BLOCK_BYTES = 32 << 20
 # Slots that a task holds before it hands its counts on.
