@@ -11,9 +11,9 @@ BRUTE_FORCE = {
     "op2_simhash": "llm/test_operators.py::test_simhash",
     "op3_shard": "llm/test_operators.py::test_sharding",
     "op4_secret_scan": "llm/test_operators.py::test_secrets",
-    "op5_quality_model": "llm/test_operators.py::test_models_learn_held_out_documents",
-    "op6_quality_rules": "llm/test_operators.py::test_quality_rules",
-    "op7_toxicity": "llm/test_operators.py::test_models_learn_held_out_documents",
+    "op5_quality_model": "llm/test_models.py::test_quality_training",
+    "op6_quality_rules": "llm/test_models.py::test_quality_rules_score",
+    "op7_toxicity": "llm/test_models.py::test_toxicity_training",
     "op8_decontaminate": "llm/test_operators.py::test_decontamination_finds_regions_within_the_budget_only",
     "op9_pack": "llm/test_operators.py::test_packing",
     "op10_suffix_dedup": "llm/test_operators.py::test_suffix_dedup",
