@@ -146,6 +146,14 @@ ORACLE = {
 SELECT 'doc_' || doc_id || '.md' AS filename, 'document' AS outcome, md5(text) AS content_md5 FROM documents
 UNION ALL SELECT 'page_' || page_id || '.html', 'not a .md file', NULL FROM pages
 UNION ALL SELECT 'item_' || item_id || '.MD', 'not a .md file', NULL FROM benchmark""",
+    "markdown_folder": """
+SELECT 'kb/' || lang || '/doc_' || doc_id || '.md' AS filename, 'document' AS outcome,
+       md5(CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END) AS content_md5 FROM documents
+UNION ALL SELECT 'web/page_' || page_id || '.html', 'not a .md file', NULL FROM pages
+UNION ALL SELECT 'item_' || item_id || '.MD', 'not a .md file', NULL FROM benchmark""",
+    "stream_outcomes": f"""WITH {CHUNKS}
+SELECT 'doc_' || doc_id || '.md' AS filename, count(key) AS chunks_indexed, 'success' AS status, doc_id % 2 = 0 AS searchable
+FROM documents LEFT JOIN chunks ON chunks.filename = 'doc_' || doc_id || '.md' GROUP BY doc_id""",
     "chunk_metadata": f"""WITH {CHUNKS}
 SELECT key, filename, source_path, title, doc_type, chunk_index, CAST(length(chunk_text) AS INTEGER) AS n_chars FROM chunks""",
     "ingest_report": f"""WITH {CHUNKS}

@@ -16,8 +16,8 @@ from corpusflow.plans.ingest import chunk_documents, embed_documents
 from corpusflow.plans.replay import replay, search_texts, turn_id
 from corpusflow.plans.retrieve import retrieve, search
 from corpusflow.session import materialize, new_path
-from corpusflow.sources import index, message_log, transcript_files, transcripts
-from corpusflow.sources.markdown import split_markdown
+from corpusflow.sources import files, index, message_log, transcript_files, transcripts
+from corpusflow.sources.markdown import read_markdown, split_markdown
 from corpusflow.streaming import jobs
 
 DIM = 64
@@ -102,13 +102,13 @@ def user_questions(spark, sf) -> DataFrame:
 
 def src_markdown(spark, sf):
     """Documents as .md files, pages as .html and benchmark items as .MD files."""
-    def files(name: str, path: Column, content: str) -> DataFrame:
+    def as_files(name: str, path: Column, content: str) -> DataFrame:
         return table(spark, sf, name).select(path.alias("path"), F.col(content).cast("binary").alias("content"))
 
     every = (
-        files("documents", F.concat(F.lit("/kb/doc_"), "doc_id", F.lit(".md")), "text")
-        .unionByName(files("pages", F.concat(F.lit("/web/page_"), "page_id", F.lit(".html")), "html"))
-        .unionByName(files("benchmark", F.concat(F.lit("/kb/item_"), "item_id", F.lit(".MD")), "text"))
+        as_files("documents", F.concat(F.lit("/kb/doc_"), "doc_id", F.lit(".md")), "text")
+        .unionByName(as_files("pages", F.concat(F.lit("/web/page_"), "page_id", F.lit(".html")), "html"))
+        .unionByName(as_files("benchmark", F.concat(F.lit("/kb/item_"), "item_id", F.lit(".MD")), "text"))
     )
     docs, rejects = split_markdown(every)
     return docs.select(
@@ -118,6 +118,26 @@ def src_markdown(spark, sf):
     )
 
 
+def markdown_folder(spark, sf):
+    """The files of `src_markdown` written to a folder with sub-folders, listed and read from there; every tenth
+    document's file is empty."""
+    path = new_path(spark, "kb")
+    empty = F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text"))
+    every = (
+        table(spark, sf, "documents")
+        .select(F.concat(F.lit("kb/"), "lang", F.lit("/doc_"), "doc_id", F.lit(".md")).alias("path"), empty.alias("text"))
+        .unionByName(table(spark, sf, "pages").select(F.concat(F.lit("web/page_"), "page_id", F.lit(".html")).alias("path"), F.col("html").alias("text")))
+        .unionByName(table(spark, sf, "benchmark").select(F.concat(F.lit("item_"), "item_id", F.lit(".MD")).alias("path"), "text"))
+    )
+    files.write_files(every.select("path", F.col("text").cast("binary").alias("content")), path)
+    docs, rejects = read_markdown(spark, path)
+    return docs.select(
+        "filename", F.lit("document").alias("outcome"), F.md5(F.col("content").cast("binary")).alias("content_md5")
+    ).unionByName(
+        rejects.select("filename", F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("content_md5"))
+    )
+
+
 def chunk_text(spark, sf):
     return chunks(spark, sf).select("filename", "chunk_index", "chunk_text")
 
@@ -573,6 +593,22 @@ def stream_ingest(spark, sf):
     )
 
 
+def stream_outcomes(spark, sf):
+    """What became of each streamed document, half of them folded into the index."""
+    path = new_path(spark, "stream-outcomes")
+    rows = table(spark, sf, "documents").select(
+        F.concat(F.lit("doc_"), "doc_id", F.lit(".md")).alias("filename"), F.col("text").alias("content"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("modificationTime"), (F.col("doc_id") % 2).alias("half"),
+    )
+    for half in (0, 1):
+        rows.filter(F.col("half") == half).drop("half").write.mode("append").parquet(f"{path}/in")
+        arriving = spark.readStream.schema(rows.drop("half").schema).parquet(f"{path}/in")
+        jobs.stream_ingest(arriving, f"{path}/index", f"{path}/progress", EMBEDDER).awaitTermination()
+        if not half:
+            index.compact(spark, f"{path}/index", buckets=8)
+    return jobs.ingest_outcomes(spark, f"{path}/index").select("filename", "chunks_indexed", "status", "searchable")
+
+
 def stream_history(spark, sf):
     path = new_path(spark, "stream-history")
     arriving = _stream(spark, sf, "conversations").select(
@@ -615,6 +651,7 @@ def stream_retrieve(spark, sf):
 
 QUERIES = {
     "src_markdown": src_markdown,
+    "markdown_folder": markdown_folder,
     "chunk_metadata": chunk_metadata,
     "ingest_report": ingest_report_query,
     "vector_upsert": vector_upsert,
@@ -663,6 +700,7 @@ QUERIES = {
     "system_text": system_text,
     "model_request": model_request,
     "stream_ingest": stream_ingest,
+    "stream_outcomes": stream_outcomes,
     "stream_history": stream_history,
     "stream_history_late": stream_history_late,
     "stream_retrieve": stream_retrieve,

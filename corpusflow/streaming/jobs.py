@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusflow.operators.chunking import ingest_report
 from corpusflow.operators.conversation import HISTORY_MESSAGES, touched_histories
 from corpusflow.operators.embedding import Embedder
 from corpusflow.plans.ingest import embed_documents
 from corpusflow.plans.retrieve import retrieve
+from corpusflow.schemas import VECTORS
+from corpusflow.sources import index as index_store
 from corpusflow.sources import message_log
-from corpusflow.sources.index import append_log
 
 
 def stream_ingest(
@@ -23,21 +25,39 @@ def stream_ingest(
 
     Row-wise work into a folder per batch, named after the stream's checkpoint. `compact` folds
     the log into the next snapshot when it suits, so a small batch does not rewrite the index.
+
+    What became of each file is written beside, counted from what the batch has appended: documents and,
+    where the stream has a column `reason` (as of `stream_files`), rejects. See `ingest_outcomes`.
     """
-    versioned = docs.withColumn("version", F.unix_micros("modificationTime")).drop("modificationTime")
-    vectors = embed_documents(versioned, embedder).select(
-        "key", "filename", "source_path", "title", "doc_type", "chunk_index", "chunk_text",
-        "embedding", "version",
-    )
     stream = stream_name(checkpoint)
 
     def add(batch: DataFrame, number: int) -> None:
-        append_log(batch, index, stream, number)
-
-    return (
-        vectors.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+        spark = batch.sparkSession
+        if "reason" not in batch.columns:
+            batch = batch.withColumn("reason", F.lit(None).cast("string"))
+        arrived = batch.filter("reason is null")
+        versioned = arrived.withColumn("version", F.unix_micros("modificationTime")).drop("modificationTime", "reason")
+        vectors = embed_documents(versioned, embedder).select(*VECTORS.names)
+        index_store.append_log(vectors, index, stream, number)
+        appended = spark.read.schema(VECTORS).parquet(f"{index}/log/stream={stream}/batch={number}")
+        report = ingest_report(arrived.select("filename"), appended).withColumn("reason", F.lit(None).cast("string"))
+        rejected = batch.filter("reason is not null").select("filename", "reason").withColumn("status", F.lit("rejected"))
+        outcomes = report.unionByName(rejected, allowMissingColumns=True)
+        outcomes.write.mode("overwrite").parquet(f"{index}/outcomes/stream={stream}/batch={number}")
+
+    return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_outcomes(spark: SparkSession, index: str) -> DataFrame:
+    """(filename, chunks_indexed, status, reason, searchable) of every file that streams have brought: `searchable`
+    once the snapshot readers see has its batch."""
+    schema = "filename string, chunks_indexed bigint, status string, reason string, stream string, batch bigint"
+    rows = spark.read.schema(schema).parquet(f"{index}/outcomes")
+    snapshot = index_store.current_snapshot(spark, index)
+    folded = list(snapshot.folded.items()) if snapshot else []  # one position for each stream
+    ends = F.broadcast(spark.createDataFrame(folded, "stream string, folded bigint"))
+    searchable = F.coalesce(F.col("batch") <= F.col("folded"), F.lit(False)) & (F.col("status") != "rejected")
+    return rows.join(ends, "stream", "left").withColumn("searchable", searchable).drop("stream", "batch", "folded")
 
 
 def stream_name(checkpoint: str) -> str:

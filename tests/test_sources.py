@@ -8,8 +8,8 @@ from corpusflow.operators.embedding import hashing_embedder
 from corpusflow.operators.knn import knn
 from corpusflow.plans.ingest import embed_documents, ingest
 from corpusflow.schemas import VECTORS
-from corpusflow.sources import index, transcripts
-from corpusflow.sources.markdown import read_markdown
+from corpusflow.sources import files, index, transcripts
+from corpusflow.sources.markdown import read_markdown, scan_markdown
 
 E = hashing_embedder(16)
 
@@ -33,6 +33,27 @@ def test_markdown_files(spark, tmp_path):
     }
 
 
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """Nested and hidden folders, many small files and an empty one; a folder that is not there."""
+    for i in range(120):
+        (tmp_path / f"d{i % 3}" / "e" / f"f{i % 2}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"d{i % 3}" / "e" / f"f{i % 2}" / f"{i}.md").write_text("x" * i)
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden" / "a.md").write_text("no")
+    (tmp_path / ".b.md").write_text("no")
+    (tmp_path / "top.md").write_text("top")
+    listed = files.list_files(spark, str(tmp_path))
+    sizes = {r.path: r["size"] for r in listed.collect()}
+    assert len(sizes) == 121 and sizes["top.md"] == 3 and sizes["d0/e/f0/0.md"] == 0
+    read = files.read_files(spark, str(tmp_path), listed)
+    assert {r.path: len(r.content) for r in read.collect()} == sizes and read.rdd.getNumPartitions() > 1
+    assert files.list_files(spark, str(tmp_path / "none")).count() == 0
+    docs, rejects = read_markdown(spark, str(tmp_path / "none"))
+    assert docs.count() == 0 and rejects.count() == 0
+    scanned = {r.filename for r in scan_markdown(spark, str(tmp_path))[0].collect()}
+    assert scanned == set(sizes) - {"d0/e/f0/0.md"}
+
+
 def test_latest_takes_the_highest_version(spark):
     rows = [("k", "old", 1), ("k", "new", 3), ("k", "mid", 2), ("j", "x", 1), ("j", "x", 1)]
     df = spark.createDataFrame(rows, "key string, chunk_text string, version bigint")

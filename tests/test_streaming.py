@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators.conversation import with_history
 from corpusflow.operators.embedding import embed, hashing_embedder
-from corpusflow.plans.ingest import embed_documents
+from corpusflow.plans.ingest import embed_documents, ingest
 from corpusflow.plans.retrieve import retrieve
 from corpusflow.sources import index, message_log
-from corpusflow.sources.markdown import read_markdown, stream_markdown
+from corpusflow.sources.markdown import read_markdown, stream_files, stream_markdown
 from corpusflow.streaming import jobs
 
 E = hashing_embedder(32)
@@ -38,6 +38,30 @@ def test_ingest_stream_ends_like_the_batch_run(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "rejects")).collect())) == sorted(map(tuple, same))
 
 
+def test_outcomes_of_streamed_files(spark, tmp_path):
+    """Documents and rejects of one stream; the report equals that of a batch ingest of the same files."""
+    source, path = tmp_path / "kb", str(tmp_path / "index")
+    source.mkdir()
+    run = lambda: jobs.stream_ingest(stream_files(spark, str(source)), path, str(tmp_path / "progress"), E).awaitTermination()
+    (source / "a.md").write_text("alpha beta " * 400)
+    (source / "x.txt").write_text("no")
+    run()
+    index.compact(spark, path, buckets=4)
+    (source / "b.md").write_text("gamma")
+    (source / "latin.md").write_bytes("ä".encode("latin-1"))
+    run()
+    got = {r.filename: (r.chunks_indexed, r.status, r.reason, r.searchable) for r in jobs.ingest_outcomes(spark, path).collect()}
+    assert got == {
+        "a.md": (4, "success", None, True), "b.md": (1, "success", None, False),
+        "x.txt": (None, "rejected", "not a .md file", False), "latin.md": (None, "rejected", "not valid UTF-8", False),
+    }
+    index.compact(spark, path)
+    assert {r.filename for r in jobs.ingest_outcomes(spark, path).filter("searchable").collect()} == {"a.md", "b.md"}
+    report, rejects = ingest(spark, str(source), str(tmp_path / "batch"), 1, E)
+    assert {r.filename: r.chunks_indexed for r in report.collect()} == {"a.md": 4, "b.md": 1}
+    assert {r.filename: r.reason for r in rejects.collect()} == {f: o[2] for f, o in got.items() if o[1] == "rejected"}
+
+
 def test_history_stream_equals_batch(spark, tmp_path):
     """Sessions arrive over several batches, shuffled inside each; some messages come late, positions have gaps."""
     schema = "session_id string, seq int, role string, content string"
