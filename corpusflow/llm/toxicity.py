@@ -3,9 +3,12 @@
 A linear model over hashed words and their first bytes learns from confirmed toxic documents and unlabelled ones. With the
 share pi of toxic documents, the risk is pi * E_positive[loss(+)] + max(0, E_unlabelled[loss(-)] -
 pi * E_positive[loss(-)]): the part that estimates the risk on clean text may not become negative.
-Where a batch makes it so, the step goes up that part's gradient instead of down.
+Where a batch makes it so, the step goes up that part's gradient instead of down. The bias is then moved to
+where the same data's estimate of wrong decisions is least, on documents left out of training.
 """
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ VIEW = features.View(prefixes=(4, 5, 6, 7, 8), lower=True)
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 4000
 EPOCHS, BATCHES, RATE, DECAY = 40, 16, 0.2, 1e-5
 SUPPORT, LEAST_RATIO = 5, 0.5
+PARTS = 4  # each is left out once to place the bias
 THRESHOLD = 0.5
 
 
@@ -74,6 +78,41 @@ def nonnegative_pu(prior: float):
     return train
 
 
+def least_wrong(score: np.ndarray, y: np.ndarray, prior: float) -> float:
+    """The score from which on documents are best called toxic. The share of wrong decisions is
+    unlabelled called toxic - 2 * prior * positive called toxic, and a constant; of equal shares the
+    highest score counts. The cut is half the way from there to the next lower score."""
+    n = [(y == k).sum() for k in (0, 1)]
+    if not all(n):
+        return 0.0
+    order = np.argsort(-score, kind="stable")
+    wrong = np.cumsum(np.where(y[order] == 1, -2 * prior / n[1], 1 / n[0]))
+    ranked = score[order]
+    last = np.append(ranked[1:] < ranked[:-1], True)  # of equal scores
+    at = np.flatnonzero(last)[wrong[last].argmin()]
+    if wrong[at] >= 0:
+        return float(ranked[0]) + 1.0  # calling none toxic is best
+    return float(ranked[at] + ranked[at + 1]) / 2 if at + 1 < len(ranked) else float(ranked[at])
+
+
+def with_placed_bias(train: Callable[..., np.ndarray], prior: float) -> Callable[..., np.ndarray]:
+    """`train`, and the bias moved so that a score of zero is the `least_wrong` cut of documents left out."""
+
+    def placed(y: np.ndarray, ends: np.ndarray, bucket: np.ndarray, value: np.ndarray) -> np.ndarray:
+        weights = train(y, ends, bucket, value)
+        size, score = np.diff(ends), np.zeros(len(y))
+        for part in range(PARTS):
+            out = np.arange(len(y)) % PARTS == part
+            of_rest = np.repeat(~out, size)
+            rest = train(y[~out], np.append(0, np.cumsum(size[~out])), bucket[of_rest], value[of_rest])
+            product = rest[bucket[~of_rest]] * value[~of_rest]
+            score[out] = np.bincount(np.repeat(np.arange(out.sum()), size[out]), product, out.sum()) + rest[-1]
+        weights[-1] -= least_wrong(score, y, prior)
+        return weights
+
+    return placed
+
+
 def fit(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVE, unlabelled: int = MAX_UNLABELLED) -> np.ndarray:
     """Weights from `labels` (doc_id, toxic) outside the held-out fold. The class prior is the share
     of toxic documents among all these labels; unlabelled texts are documents of the same folds,
@@ -84,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVE, unlab
     rest = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~features.held_out("doc_id")).distinct()
     rest = features.first_rows(rest, unlabelled).withColumn("y", F.lit(0))
     examples = features.vectors(docs, toxic, VIEW, positives).unionByName(features.vectors(docs, rest, VIEW, unlabelled))
-    return features.train_in_task(examples, nonnegative_pu(prior))
+    return features.train_in_task(examples, with_placed_bias(nonnegative_pu(prior), prior))
 
 
 def toxicity_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:

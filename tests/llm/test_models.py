@@ -78,6 +78,25 @@ def test_toxicity_training(monkeypatch):
             assert abs(slope) < 1e-5 or np.isclose(got[i] / scale, -toxicity.RATE * np.sign(slope), rtol=1e-2)
 
 
+def test_place_of_the_bias():
+    """The cut is where the plain count of wrong decisions is least, between two scores."""
+    rng = np.random.default_rng(3)
+    for case in range(30):
+        y = (rng.random(60) < 0.3).astype(int)
+        score = np.round(rng.normal(0, 1, 60) + 2.0 * y, 1 + case % 2)
+        cut = toxicity.least_wrong(score, y, 0.2)
+
+        def wrong(at, score=score, y=y):
+            return (score[y == 0] >= at).mean() - 0.4 * (score[y == 1] >= at).mean()
+
+        every = [wrong(at) for at in [*np.unique(score), score.max() + 1]]
+        assert np.isclose(wrong(cut), min(every))
+    assert toxicity.least_wrong(np.zeros(3), np.zeros(3, int), 0.2) == 0.0
+    assert toxicity.least_wrong(np.array([1.0, 2.0]), np.array([1, 0]), 0.1) > 2.0
+    separate = toxicity.least_wrong(np.array([-3.0, -2.0, 4.0, 5.0]), np.array([0, 0, 1, 1]), 0.3)
+    assert separate == 1.0
+
+
 def test_sample_is_bounded_by_rows(spark):
     rows = [(1, f"text {i}") for i in range(300)] + [(2, "same words")] * 400 + [(3, "other")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
