@@ -32,9 +32,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(spark, sf, name: str) -> DataFrame:
+    """A table dealt out by its rows' ids: the given files have one row group, which would be one task's work."""
+    rows = table(spark, sf, name)
+    return rows.repartition(rows.columns[0])
+
+
 def documents(spark, sf) -> DataFrame:
     """documents as files."""
-    return table(spark, sf, "documents").select(
+    return dealt(spark, sf, "documents").select(
         F.concat(F.lit("doc_"), "doc_id", F.lit(".md")).alias("filename"), F.col("text").alias("content")
     )
 
@@ -49,7 +55,7 @@ def vectors(spark, sf) -> DataFrame:
 
 def language_vectors(spark, sf) -> DataFrame:
     """As `vectors`, every language being one large document: here the cap decides."""
-    docs = table(spark, sf, "documents").select(
+    docs = dealt(spark, sf, "documents").select(
         F.concat(F.lit("doc_"), "doc_id", F.lit(".md")).alias("filename"), F.col("text").alias("content"), "lang"
     )
     return embed_documents(docs, EMBEDDER).withColumn("source_path", F.col("lang"))
@@ -342,7 +348,7 @@ def search_gate(spark, sf):
 
 
 def tokenize_ws(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+    t = dealt(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
