@@ -1,6 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
 from corpusflow.llm.queries import LISTED_SITES, PROBE, RULES
+from corpusflow.llm.url_filter import JUNK_RUNS, SYMBOL_RUNS
 
 _RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in RULES)
 _SITES = ", ".join(f"('{host}')" for host in LISTED_SITES)
@@ -12,14 +13,25 @@ ORACLE = {
     "op1_url_filter": f"""
         WITH rules(rule_host, rule_path, says) AS (VALUES {_RULES}), sites(site) AS (VALUES {_SITES}),
         rest AS (
-            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r,
+                   coalesce(len(regexp_extract_all(html, '{SYMBOL_RUNS}')) * 1000 > {JUNK_RUNS} * length(html), false) AS junk
+            FROM pages
         ),
         parts AS (
-            SELECT page_id,
+            SELECT page_id, junk,
                    translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
             FROM rest
         ),
+        named AS (
+            SELECT *, regexp_replace(regexp_replace(host, ':(80|443)\\z', ''), '^(www|m)\\.', '') AS site_host,
+                   regexp_replace(path, '(/index\\.html?|\\.html?)?/*\\z', '') AS page_path
+            FROM parts WHERE host <> ''
+        ),
+        spelled AS (
+            SELECT host, path, bool_or(listed) AS url_listed
+            FROM (SELECT host, path, bool_or(junk) OVER (PARTITION BY site_host, page_path) AS listed FROM named) GROUP BY host, path
+        ),
         verdicts AS (
             SELECT host, path,
                    (SELECT max_by(struct_pack(rule := rule_host || rule_path, says := says), length(rule_host) + length(rule_path)) FROM rules
@@ -28,8 +40,8 @@ ORACLE = {
             FROM (SELECT DISTINCT host, path FROM parts)
         )
         SELECT page_id, host, path, best.rule AS rule,
-               coalesce(best.says, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict
-        FROM parts JOIN verdicts USING (host, path)
+               coalesce(best.says, CASE WHEN listed OR url_listed THEN 'block' ELSE 'allow' END) AS verdict
+        FROM parts JOIN verdicts USING (host, path) LEFT JOIN spelled USING (host, path)
     """,
     "op11_chat_format": f"""
         WITH turns AS (

@@ -21,6 +21,7 @@ from corpusflow.llm import (
     url_filter,
 )
 from corpusflow.llm.common import table
+from corpusflow.session import materialize
 
 # Rules of op1: host, path, verdict.
 RULES = [
@@ -37,7 +38,8 @@ LISTED_SITES = [f"{name}.example.{end}" for name in ("spam-farm", "cheap-pills",
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = [(*rule, True) for rule in RULES] + [(host, "", "block", False) for host in LISTED_SITES]
     listed = spark.createDataFrame(entries, "host string, path string, verdict string, is_rule boolean")
-    out = url_filter.filter_urls(table(spark, sf_dir, "pages"), listed)
+    pages = table(spark, sf_dir, "pages")
+    out = url_filter.filter_urls(pages, listed, materialize(url_filter.junk_urls(pages), "junk-urls"))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -121,6 +121,35 @@ def test_url_filter(spark):
     assert set(url_filter.filter_urls(pages, listed.limit(0)).toPandas()["verdict"]) == {"allow"}
 
 
+def test_listed_urls_fit_every_spelling(spark):
+    junk = "### *** $$$ word " * 40
+    rows = [
+        (1, "http://www.Shop.net/a/index.html?x=1", junk),
+        (2, "https://shop.net:443/a/", "fine"),
+        (3, "http://m.shop.net/a#top", None),
+        (4, "http://shop.net/a/b", "fine"),
+        (5, "http://sub.shop.net/a", "fine"),
+        (6, "http://shop.org/fr/a.htm", junk),
+        (7, "http://shop.org/fr/a//", ""),
+        (8, "no host", junk),
+        (9, None, junk),
+        (10, "http://shop.net", junk),
+        (11, "http://shop.net/index.html", "### a symbol run in a text of many words " * 1 + "word " * 60),
+        (12, "http://shop.net/p", "word " * 500 + "###"),
+        (12, "http://shop.net/p", "word " * 500 + "###"),
+    ]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, verdict string")
+    listed = spark.createDataFrame([("org", "/", "allow", True)], "host string, path string, verdict string, is_rule boolean")
+    urls = url_filter.junk_urls(pages)
+    assert sorted(map(tuple, urls.collect())) == [("shop.net", ""), ("shop.net", "/a"), ("shop.org", "/fr/a")]
+    found = url_filter.filter_urls(pages, listed, urls.union(urls).union(spark.createDataFrame([(None, "/a/b")], "host string, path string")))
+    blocked = sorted(r.page_id for r in found.where("verdict = 'block'").collect())
+    assert blocked == [1, 2, 3, 10, 11] and found.count() == len(rows)
+    assert {r.listed_as for r in found.where("page_id < 4").collect()} == {"shop.net/a"}
+    assert url_filter.filter_urls(pages, listed, urls.limit(0)).where("verdict = 'block'").count() == 0
+    assert url_filter.junk_urls(pages.limit(0)).count() == 0
+
+
 def test_bloom_filter_has_every_key(spark):
     table = url_filter.bloom_filter(spark.range(5000).select(F.xxhash64("id").alias("key")))
     keys = np.array([r.key for r in spark.range(10_000).select(F.xxhash64("id").alias("key")).collect()])
