@@ -3,15 +3,18 @@
 Two ways, same answer. The query table's size is checked first:
 
 * It fits the bound: its matrix is broadcast and every task keeps the k best of its own
-  vectors per query, so at most k rows per query and task are shuffled.
-* It does not: both sides are divided into cells around pivot vectors. A query searches its
-  own cell first; distance bounds then leave it only the cells that can still hold one of its
-  neighbours (after Lu et al., "Efficient processing of k nearest neighbor joins using
+  vectors per query, so at most k rows per query and task are shuffled. A stored index is searched in
+  two passes, some of its buckets first: the k-th distance found there is no less than the final one,
+  and only vectors within it leave the tasks of the second pass.
+* It does not: both sides are divided into cells around pivot vectors, on two levels. A query searches its
+  own cell first; distance bounds then leave it only the upper cells, and of these the cells, that can
+  still hold one of its neighbours (after Lu et al., "Efficient processing of k nearest neighbor joins using
   MapReduce", VLDB 2012). Cells are split into blocks of bounded size on both sides.
 
 Neighbours are ordered by distance rounded to `DIGITS` digits, then by key.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +35,13 @@ MAX_BROADCAST_QUERIES = 50_000
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_HITS = 1_000_000
 
-# Vectors per cell aimed at and most cells; bytes of vectors that one task holds of either side
-# (on average, blocks being made by hash).
-CELL_VECTORS = 20_000
-MAX_CELLS = 1024
+# Of a stored index, one bucket in so many is searched first.
+FIRST_SHARE = 32
+
+# Cells for each vector's root; bytes of pivots that every task holds; bytes of vectors that one task
+# holds of either side (on average, blocks being made by hash).
+CELL_ROOTS = 0.25
+PIVOT_BYTES = 64 << 20
 BLOCK_BYTES = 64 << 20
 
 # Rows of either side compared at a time.
@@ -54,6 +60,7 @@ def knn(
     enabled: bool = True,
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
     n_cells: int | None = None,
+    first_share: int = FIRST_SHARE,
 ) -> DataFrame:
     """The k nearest vectors per query: query_id, raw_rank (from 1), key, distance, metadata.
 
@@ -78,12 +85,11 @@ def knn(
     # Nothing farther is looked for, whichever way.
     farthest = np.inf if max_distance is None else max(float(max_distance), 0.0)
     if small:
-        candidates = _broadcast_search(sample, stored, asked.schema["query_id"], k, metric, dim, farthest)
+        candidates = _broadcast_search(sample, stored, asked.schema["query_id"], k, metric, dim, farthest, first_share)
     else:
         candidates = _cell_search(asked, stored, k, metric, dim, n_cells, farthest)
 
-    nearest = Window.partitionBy("query_id").orderBy("distance", "key")
-    hits = candidates.withColumn("raw_rank", F.row_number().over(nearest)).filter(F.col("raw_rank") <= k)
+    hits = _k_best(candidates, k)
     if max_distance is not None:
         hits = hits.filter(F.col("distance") <= max_distance)
     if metadata:
@@ -93,6 +99,11 @@ def knn(
     return hits.select("query_id", "raw_rank", "key", "distance", *metadata)
 
 
+def _k_best(candidates: DataFrame, k: int) -> DataFrame:
+    nearest = Window.partitionBy("query_id").orderBy("distance", "key")
+    return candidates.withColumn("raw_rank", F.row_number().over(nearest)).filter(F.col("raw_rank") <= k)
+
+
 def as_floats(name: str) -> Column:
     return F.col(name).cast(T.ArrayType(T.FloatType())).alias(name)
 
@@ -224,11 +235,28 @@ def _by_key(table: pa.Table) -> pa.Table:
 
 
 def _broadcast_search(
-    sample: pa.Table, stored: DataFrame, asked_id: T.StructField, k: int, metric: str, dim: int, farthest: float
+    sample: pa.Table, stored: DataFrame, asked_id: T.StructField, k: int, metric: str, dim: int, farthest: float, first_share: int
 ):
     keep, q = _scaled(sample["embedding"], metric, dim)
     ids = sample["query_id"].combine_chunks().take(pa.array(keep))
-    shared = stored.sparkSession.sparkContext.broadcast((ids, q))
+    limit = np.full(len(q), farthest)
+    if "bucket" not in stored.columns or first_share < 2:
+        return _search_within(ids, q, limit, stored, asked_id, k, metric, dim)
+    # By the partition column, so that no file is read in both passes.
+    is_first = F.coalesce(F.pmod("bucket", F.lit(first_share)) == 0, F.lit(True))
+    found = _search_within(ids, q, limit, stored.filter(is_first), asked_id, k, metric, dim)
+    first = materialize(_k_best(found, k), "knn-first")
+    # At most one number for each of the broadcast queries.
+    kth = first.filter(F.col("raw_rank") == k).select("query_id", "distance").toArrow()
+    at = pc.index_in(kth["query_id"], value_set=ids).to_numpy()
+    limit[at] = np.minimum(limit[at], kth["distance"].to_numpy())
+    rest = _search_within(ids, q, limit, stored.filter(~is_first), asked_id, k, metric, dim)
+    return first.drop("raw_rank").unionByName(rest)
+
+
+def _search_within(ids, q: np.ndarray, limits: np.ndarray, stored: DataFrame, asked_id: T.StructField, k: int, metric: str, dim: int):
+    """Each task's k best vectors of every query, those beyond the query's limit left out."""
+    shared = stored.sparkSession.sparkContext.broadcast((ids, q, limits))
     locator = [f for f in stored.schema if f.name != "embedding"]
     schema = T.StructType(
         [asked_id, T.StructField("distance", T.DoubleType()), *locator]
@@ -236,8 +264,8 @@ def _broadcast_search(
     names = [f.name for f in locator]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        limit = np.full(len(q), farthest)
+        ids, q, limits = shared.value
+        limit = limits.copy()
         kept, waiting = None, 0
         for batch in batches:
             if not len(q) or not batch.num_rows:
@@ -273,100 +301,151 @@ def _broadcast_search(
 # ---------------------------------------------------------------- both sides large
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    return np.sqrt(np.maximum(square - 2.0 * (a @ b.T), 0.0))
+
+
+class _Level:
+    """Pivots next to each other, and between which distances of its pivot a cell's vectors lie."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots, self.between = pivots, _distances(pivots, pivots)
+
+    def bound(self, size: np.ndarray, low: np.ndarray, high: np.ndarray, homes: np.ndarray) -> None:
+        self.used, self.low, self.high, self.homes = size > 0, low, high, homes
+
+    def floors(self, gaps: np.ndarray, scale: float) -> np.ndarray:
+        """The least distance at which each cell's vectors can be, from distances to the pivots.
+
+        They lie between the cell's radii, and on its side of the plane midway between its pivot and the
+        query's nearest one."""
+        across = self.between[gaps.argmin(axis=1)]
+        plane = (gaps**2 - gaps.min(axis=1)[:, None] ** 2) / np.where(across > 0, 2 * across, 1.0)
+        ring = np.maximum(gaps - self.high, self.low - gaps)
+        return np.where(self.used, np.maximum(ring, np.where(across > 1e-2 * scale, plane, 0.0)), np.inf)
+
+
+class _Cells:
+    """Cells around pivots on two levels. A vector belongs to the nearest upper pivot, and of the pivots
+    that this is nearest to, to the nearest: some twice the root of their number are compared with it."""
+
+    def __init__(self, pivots: np.ndarray):
+        upper = pivots[:: max(1, math.isqrt(len(pivots)))]
+        # Equal up to rounding, an upper pivot may have nothing below it.
+        upper = upper[np.unique(_distances(pivots, upper).argmin(axis=1))]
+        group = _distances(pivots, upper).argmin(axis=1)
+        pivots = pivots[np.argsort(group, kind="stable")]
+        self.starts = np.searchsorted(np.sort(group), np.arange(len(upper) + 1))
+        self.upper, self.n = _Level(upper), len(pivots)
+        self.lower = [_Level(pivots[s:e]) for s, e in zip(self.starts, self.starts[1:])]
+        self.scale = max(1.0, float(np.abs(pivots).max()))
+
+    def bound(self, extent: list, k: int) -> None:
+        """Take in the extent of each cell: cell, n, least and greatest distance of its pivot (a, b) and of the upper one (c, d)."""
+        self.size = np.zeros(self.n, "int64")
+        low, high = np.full((2, self.n), np.inf), np.full((2, self.n), -np.inf)
+        for row in extent:
+            self.size[row.cell] = row.n
+            low[:, row.cell], high[:, row.cell] = (row.a, row.c), (row.b, row.d)
+        homes = self.size >= min(k, self.size.max(initial=0))
+        for level, s, e in zip(self.lower, self.starts, self.starts[1:]):
+            level.bound(self.size[s:e], low[0, s:e], high[0, s:e], homes[s:e])
+        over = lambda ufunc, x: ufunc.reduceat(x, self.starts[:-1])
+        self.upper.bound(over(np.add, self.size), over(np.minimum, low[1]), over(np.maximum, high[1]), over(np.logical_or, homes))
+        self.scale = max(self.scale, float(high.max()))
+
+    def nearest(self, rows: np.ndarray, homes: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, distance of its pivot, distance of its upper pivot) of each row; homes: of the cells that have k vectors."""
+        gaps = _distances(rows, self.upper.pivots)
+        top = (np.where(self.upper.homes, gaps, np.inf) if homes else gaps).argmin(axis=1)
+        cell, radius = np.zeros(len(rows), "int32"), np.zeros(len(rows))
+        for t in np.unique(top):
+            at = np.flatnonzero(top == t)
+            below = _distances(rows[at], self.lower[t].pivots)
+            best = (np.where(self.lower[t].homes, below, np.inf) if homes else below).argmin(axis=1)
+            cell[at], radius[at] = self.starts[t] + best, below[np.arange(len(at)), best]
+        return cell, radius, gaps[np.arange(len(rows)), top]
+
+    def visits(self, rows: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of every cell that may hold a vector within a row's distance."""
+        # Allowance for rounded distances and for the arithmetic.
+        within = within + 1e-6 * self.scale + TOLERANCE
+        go = self.upper.floors(_distances(rows, self.upper.pivots), self.scale) <= within[:, None]
+        found = [(np.empty(0, int), np.empty(0, int))]
+        for t in np.flatnonzero(go.any(axis=0)):
+            at = np.flatnonzero(go[:, t])
+            floors = self.lower[t].floors(_distances(rows[at], self.lower[t].pivots), self.scale)
+            qi, cell = np.nonzero(floors <= within[at, None])
+            found.append((at[qi], self.starts[t] + cell))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _pivots(stored: DataFrame, n_cells: int | None, metric: str, dim: int) -> np.ndarray:
+    """About `n_cells` vectors, picked by a hash of the key. Any pivots give right results."""
+    n = stored.count()
+    n_cells = min(n_cells or 1 + int(CELL_ROOTS * n**0.5), 1 + PIVOT_BYTES // (8 * dim))
+    one_in = max(1, n // n_cells)
+    picked = stored.filter(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0).select("embedding").toArrow()
+    pivots = np.unique(_scaled(picked["embedding"], metric, dim)[1], axis=0) if picked.num_rows else np.empty((0, dim))
+    return pivots if len(pivots) else np.zeros((1, dim))
+
+
 def _cell_search(
     asked: DataFrame, stored: DataFrame, k: int, metric: str, dim: int, n_cells: int | None, farthest: float
 ):
     """Search each query's home cell first; the k-th distance found there bounds the rest."""
-    if n_cells is None:
-        n_cells = min(MAX_CELLS, 1 + stored.count() // CELL_VECTORS)
-    # Any pivots give right results; hashing the key spreads them over the data.
-    picked = stored.orderBy(F.xxhash64("key"), "key").limit(n_cells).toArrow()
-    pivots = np.unique(_scaled(picked["embedding"], metric, dim)[1], axis=0)
-    if not len(pivots):
-        pivots = np.zeros((1, dim))
-
-    def to_pivots(rows: np.ndarray) -> np.ndarray:
-        square = (rows * rows).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :]
-        return np.sqrt(np.maximum(square - 2.0 * (rows @ pivots.T), 0.0))
+    cells = _Cells(_pivots(stored, n_cells, metric, dim))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, v = _scaled(batch["embedding"], metric, dim)
             if len(rows):
-                gaps = to_pivots(v)
-                cell = gaps.argmin(axis=1)
                 out = pa.Table.from_batches([batch]).take(pa.array(rows))
-                out = out.append_column("cell", pa.array(cell.astype("int32")))
-                yield from out.append_column("radius", pa.array(gaps[np.arange(len(v)), cell])).to_batches()
+                for name, values in zip(("cell", "radius", "upper"), cells.nearest(v)):
+                    out = out.append_column(name, pa.array(values))
+                yield from out.to_batches()
 
     # Written once: the bounds must describe the very placement that is searched.
-    placed = materialize(
-        stored.mapInArrow(place, _plus(stored.schema, cell=T.IntegerType(), radius=T.DoubleType())), "knn-cells"
-    )
-    asked = materialize(asked, "knn-queries")
-
+    placed_schema = _plus(stored.schema, cell=T.IntegerType(), radius=T.DoubleType(), upper=T.DoubleType())
+    placed = materialize(stored.mapInArrow(place, placed_schema), "knn-cells")
     # One row per cell.
-    size = np.zeros(len(pivots), "int64")
-    low, high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
-    extent = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("radius").alias("a"), F.max("radius").alias("b"))
-    for row in extent.collect():
-        size[row.cell], low[row.cell], high[row.cell] = row.n, row.a, row.b
-    used = size > 0
-    homes = size >= min(k, size.max(initial=0))
-
-    routed_schema = _plus(asked.schema, cell=T.IntegerType(), limit=T.DoubleType())
-
-    def routed(batch: pa.RecordBatch, rows: np.ndarray, cell: np.ndarray, limit: np.ndarray):
-        out = pa.Table.from_batches([batch]).select(["query_id", "embedding"]).take(pa.array(rows))
-        out = out.append_column("cell", pa.array(cell.astype("int32")))
-        return out.append_column("limit", pa.array(limit)).to_batches()
-
-    def home_of(gaps: np.ndarray) -> np.ndarray:
-        return np.where(homes, gaps, np.inf).argmin(axis=1)
+    ends = [f(c).alias(n) for n, f, c in (("a", F.min, "radius"), ("b", F.max, "radius"), ("c", F.min, "upper"), ("d", F.max, "upper"))]
+    cells.bound(placed.groupBy("cell").agg(F.count("*").alias("n"), *ends).collect(), k)
+    placed = placed.drop("radius", "upper")
 
     def go_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, q = _scaled(batch["embedding"], metric, dim)
-            yield from routed(batch, rows, home_of(to_pivots(q)), np.full(len(q), farthest))
-
-    between = to_pivots(pivots)
-    # Allowance for rounded distances and for the arithmetic.
-    scale = max(1.0, float(np.abs(pivots).max()), float(high[used].max(initial=0.0)))
-    room = 1e-6 * scale + TOLERANCE
+            out = pa.Table.from_batches([batch]).take(pa.array(rows))
+            yield from out.append_column("home", pa.array(cells.nearest(q, True)[0])).to_batches()
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """To every other cell whose nearest possible vector is within the query's limit."""
         for batch in batches:
             rows, q = _scaled(batch["embedding"], metric, dim)
             limit = batch["limit"].to_numpy(zero_copy_only=False)[rows]
+            home = batch["home"].to_numpy(zero_copy_only=False)[rows]
             for at in range(0, len(rows), 2000):
-                gaps, far = to_pivots(q[at : at + 2000]), limit[at : at + 2000]
-                within = np.sqrt(2.0 * far + 4 * TOLERANCE) if metric == "cosine" else far
-                # Vectors of a cell lie between its radii, and on its side of the plane midway
-                # between its pivot and the query's nearest one.
-                floor = np.maximum(gaps - high, low - gaps)
-                nearest = gaps.argmin(axis=1)
-                across = between[nearest]
-                plane = (gaps**2 - gaps.min(axis=1)[:, None] ** 2) / np.where(across > 0, 2 * across, 1.0)
-                floor = np.maximum(floor, np.where(across > 1e-2 * scale, plane, 0.0))
-                go = used & (floor <= (within + room)[:, None])
-                go[np.arange(len(go)), home_of(gaps)] = False
-                qi, cell = np.nonzero(go)
-                yield from routed(batch, rows[at + qi], cell, far[qi])
-
-    first = materialize(
-        _visit(asked.mapInArrow(go_home, routed_schema), placed, size, k, metric, dim), "knn-home"
-    )
-    by_distance = Window.partitionBy("query_id").orderBy("distance", "key")
-    reached = (
-        first.withColumn("r", F.row_number().over(by_distance)).filter(F.col("r") == k)
-        .select("query_id", F.col("distance").alias("limit"))
-    )
-    bounded = materialize(
-        asked.join(reached, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float(farthest)))),
-        "knn-limits",
-    )
-    second = _visit(bounded.mapInArrow(go_on, routed_schema), placed, size, k, metric, dim)
+                far = limit[at : at + 2000]
+                qi, cell = cells.visits(q[at : at + 2000], np.sqrt(2.0 * far + 4 * TOLERANCE) if metric == "cosine" else far)
+                other = cell != home[at + qi]
+                qi, cell = qi[other], cell[other]
+                ids = batch["query_id"].take(pa.array(rows[at + qi]))
+                yield pa.record_batch([ids, pa.array(cell.astype("int32")), pa.array(far[qi])], names=["query_id", "cell", "limit"])
+
+    asked = materialize(asked.mapInArrow(go_home, _plus(asked.schema, home=T.IntegerType())), "knn-queries")
+    at_home = asked.select("query_id", "embedding", F.col("home").alias("cell"), F.lit(float(farthest)).alias("limit"))
+    first = materialize(_visit(at_home, at_home, placed, cells.size, k, metric, dim), "knn-home")
+    reached = _k_best(first, k).filter(F.col("raw_rank") == k).select(F.col("query_id").alias("_id"), F.col("distance").alias("limit"))
+    bounded = asked.join(reached, F.col("query_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    bounded = bounded.withColumn("limit", F.coalesce("limit", F.lit(float(farthest))))
+    # Written once, without vectors; they are joined to it for the visit.
+    routes_schema = T.StructType([asked.schema["query_id"], T.StructField("cell", T.IntegerType()), T.StructField("limit", T.DoubleType())])
+    routes = materialize(bounded.mapInArrow(go_on, routes_schema), "knn-routes")
+    with_vector = asked.select(F.col("query_id").alias("_id"), "embedding")
+    routed = routes.join(with_vector, F.col("query_id").eqNullSafe(F.col("_id"))).drop("_id")
+    second = _visit(routed, routes, placed, cells.size, k, metric, dim)
     return first.unionByName(second)
 
 
@@ -374,14 +453,16 @@ def _plus(schema: T.StructType, **columns: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in columns.items()]])
 
 
-def _visit(routed: DataFrame, placed: DataFrame, size: np.ndarray, k: int, metric: str, dim: int) -> DataFrame:
-    """Each routed query's k best in the cell it visits, within its limit.
+def _visit(
+    routed: DataFrame, routes: DataFrame, placed: DataFrame, size: np.ndarray, k: int, metric: str, dim: int
+) -> DataFrame:
+    """Each routed query's k best in the cell it visits, within its limit. routes: the same without vectors.
 
     A cell's vectors and visitors are cut into blocks by hash; every pair of blocks of a cell
     is one group, so neither a crowded cell nor a popular one ends up in a single task.
     """
-    rows = max(1, BLOCK_BYTES // (4 * dim))
-    visits = routed.groupBy("cell").count().collect()
+    rows = max(1, BLOCK_BYTES // (8 * dim))
+    visits = routes.groupBy("cell").count().collect()
     blocks = routed.sparkSession.createDataFrame(
         [(r.cell, int(-(-size[r.cell] // rows)), int(-(-r["count"] // rows))) for r in visits],
         "cell int, v_blocks int, q_blocks int",
@@ -396,7 +477,7 @@ def _visit(routed: DataFrame, placed: DataFrame, size: np.ndarray, k: int, metri
             .drop("v_blocks", "q_blocks")
         )
 
-    locator = [f for f in placed.schema if f.name not in ("embedding", "cell", "radius")]
+    locator = [f for f in placed.schema if f.name not in ("embedding", "cell")]
     names = [f.name for f in locator]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:

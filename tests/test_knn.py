@@ -1,3 +1,5 @@
+from collections import namedtuple
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -44,7 +46,7 @@ def as_dict(df):
 @pytest.mark.parametrize("shift", [0.0, 50.0])
 def test_same_as_brute_force(spark, monkeypatch, metric, way, shift):
     if way == "small blocks":
-        monkeypatch.setattr(module, "BLOCK_BYTES", 10 * 4 * 8)
+        monkeypatch.setattr(module, "BLOCK_BYTES", 10 * 8 * 8)
     data = clusters(240) + shift
     vectors = [(f"k{i * 7919 % 240}", v.tolist(), f"t{i}") for i, v in enumerate(data)]
     queries = [(i, v.tolist()) for i, v in enumerate(np.vstack([clusters(30, seed=5) + shift, data[:10]]))]
@@ -88,6 +90,61 @@ def test_unusable_vectors_have_no_hits(spark, bound):
     assert as_dict(knn(q, v, 5, dim=2, max_broadcast_queries=bound)) == {(1, 1): ("a", 1.0)}
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_a_stored_index_is_searched_in_two_passes(spark, tmp_path, monkeypatch, metric):
+    data = clusters(2000)
+    vectors = [(f"k{i * 7919 % 2000}", v.tolist(), f"t{i}") for i, v in enumerate(data)]
+    queries = [(i, v.tolist()) for i, v in enumerate(np.vstack([clusters(30, seed=5), data[:10]]))] + [(99, None)]
+    path = str(tmp_path / "v")
+    df = spark.createDataFrame(vectors, V).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(40)).cast("int"))
+    df.repartition("bucket").write.partitionBy("bucket").parquet(path)
+    stored, asked = spark.read.parquet(path), spark.createDataFrame(queries, Q)
+    seen, leaving = module._k_best, {}
+
+    def k_best(candidates, k):
+        leaving.setdefault(share, []).append(candidates.count())
+        return seen(candidates, k)
+
+    monkeypatch.setattr(module, "_k_best", k_best)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # the cost of opening a file: every file is a task
+    try:
+        for share in (1, 8):
+            got = as_dict(knn(asked, stored, 9, metric, dim=data.shape[1], first_share=share, metadata=["title"]))
+            assert got == brute(queries[:-1], vectors, 9, metric)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    # One number is of the only pass; else the first pass's, and what is left of it with the second's.
+    assert len(leaving[1]) == 1 and len(leaving[8]) == 2 and sum(leaving[8]) < 0.6 * leaving[1][0], leaving
+    rest = module._search_within(module.pa.array([0]), data[:1], np.zeros(1), stored.filter("pmod(bucket, 8) != 0"), asked.schema["query_id"], 9, metric, 8)
+    assert "pmod(bucket" in plan_of(rest).split("PartitionFilters: ")[1].split("PushedFilters")[0]
+
+
+def test_cells_on_two_levels_leave_most_visits_out():
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(100, 8)) * 10
+    v = centres[rng.integers(0, 100, 20_000)] + rng.normal(size=(20_000, 8)) * 0.3
+    v[:500] = v[0]
+    cells = module._Cells(np.unique(v[::50], axis=0))
+    assert 10 < len(cells.lower) < 30 and cells.n == len(np.unique(v[::50], axis=0))
+    cell, radius, upper = cells.nearest(v)
+    Extent = namedtuple("Extent", "cell n a b c d")
+    of = [cell == c for c in range(cells.n)]
+    cells.bound([Extent(c, m.sum(), radius[m].min(), radius[m].max(), upper[m].min(), upper[m].max()) for c, m in enumerate(of) if m.any()], 5)
+    assert cells.size.sum() == len(v)
+    q = v[1::100] + 0.01
+    gaps = np.sqrt(((q[:, None, :] - v[None, :, :]) ** 2).sum(axis=2))
+    counts = []
+    for within in (3.0, 1.0, 0.3):
+        qi, ci = cells.visits(q, np.full(len(q), within))
+        visited = set(zip(qi.tolist(), ci.tolist()))
+        at, near = np.nonzero(gaps <= within)
+        assert set(zip(at.tolist(), cell[near].tolist())) <= visited
+        counts.append(len(visited))
+    assert counts[0] < 0.1 * len(q) * cells.n and counts[0] > counts[1] > counts[2]
+    home = cells.nearest(q, True)[0]
+    assert (cells.size[home] >= 5).all()
+
+
 def test_gate_cutoff_and_metadata(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], Q)
     v = spark.createDataFrame([("a", [0.0, 1.0], "x"), ("b", [1.0, 0.1], "y")], V)
