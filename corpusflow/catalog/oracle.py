@@ -217,6 +217,7 @@ SELECT query_id, rank,
        title, source_path, snippet, doc_type, chunk_index, distance FROM sources""",
     "retrieve_filtered": f"{FILTERED} SELECT {SOURCE_COLUMNS} FROM sources",
     "retrieve": f"{RETRIEVED} SELECT {SOURCE_COLUMNS} FROM sources",
+    "retrieve_stored": f"{RETRIEVED} SELECT {SOURCE_COLUMNS} FROM sources",
     "history_window": history(20),
     "history_window_short": history(2, ""),
     "rewrite_context": f"SELECT session_id, seq, context FROM ({CONTEXT})",

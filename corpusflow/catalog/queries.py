@@ -237,6 +237,16 @@ def retrieve_filtered(spark, sf):
     return _source_columns(retrieve(questions(spark, sf), index.read_index(spark, path, where=where), dim=DIM))
 
 
+def retrieve_stored(spark, sf):
+    """Sources whose texts are fetched by key from a stored index, a part of which was put again."""
+    path = new_path(spark, "stored-index")
+    known = vectors(spark, sf)
+    index.write_snapshot(known.withColumn("version", F.lit(1).cast("long")), path, buckets=8)
+    index.put(spark, path, known.filter("title < 'doc_2'").withColumn("version", F.lit(2).cast("long")))
+    stored, fetch = index.open_index(spark, path)
+    return _source_columns(retrieve(questions(spark, sf), stored, dim=DIM, fetch=fetch))
+
+
 def transcript_scan(spark, sf):
     """Histories of as many session ids as there are documents, most of them unknown."""
     asked = table(spark, sf, "documents").select(F.col("doc_id").alias("session_id"))
@@ -666,6 +676,7 @@ QUERIES = {
     "vector_upsert_log_replace": vector_upsert_log_replace,
     "vector_scan": vector_scan,
     "retrieve_filtered": retrieve_filtered,
+    "retrieve_stored": retrieve_stored,
     "transcript_scan": transcript_scan,
     "transcript_sink": transcript_sink,
     "transcript_files": transcript_files_query,

@@ -15,7 +15,7 @@ Neighbours are ordered by distance rounded to `DIGITS` digits, then by key.
 """
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +61,15 @@ def knn(
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
     n_cells: int | None = None,
     first_share: int = FIRST_SHARE,
+    fetch: Callable[[DataFrame, list[str]], DataFrame] | None = None,
 ) -> DataFrame:
     """The k nearest vectors per query: query_id, raw_rank (from 1), key, distance, metadata.
 
     `queries` has a unique query_id and an embedding, `vectors` a unique key, an embedding
     and the metadata columns, vectors of `dim` components. A query without a usable vector (missing, wrong size, of no
     direction under cosine) has no hits; so has every query when `enabled` is False.
-    `max_distance` drops hits farther away.
+    `max_distance` drops hits farther away. `fetch` gives the metadata of keys (as `open_index` has it);
+    without it they are joined from `vectors`.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError("metric is cosine or euclidean")
@@ -92,7 +94,11 @@ def knn(
     hits = _k_best(candidates, k)
     if max_distance is not None:
         hits = hits.filter(F.col("distance") <= max_distance)
-    if metadata:
+    if metadata and fetch is not None:
+        # Written once: the keys are asked for, and the hits joined to what is found.
+        hits = materialize(hits.drop("bucket"), "knn-hits")
+        hits = hits.join(fetch(hits.select("key").distinct(), metadata), "key")
+    elif metadata:
         # At most k rows per broadcast query, so a bounded side again.
         near = F.broadcast(hits) if small else hits
         hits = vectors.select(*locator, *metadata).join(near, locator)

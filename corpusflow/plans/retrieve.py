@@ -29,7 +29,7 @@ def retrieve(
     **options,
 ) -> DataFrame:
     """Source rows per query, best first. Options: metric, max_distance, enabled, dim,
-    lexical_weight, zero_is_missing."""
+    lexical_weight, zero_is_missing; fetch, which with `vectors` comes from `open_index`."""
     ranked = search(queries, vectors, fetch_n, **options)
     return to_sources(diversify(ranked, cap, return_n), max_chars)
 

@@ -15,20 +15,27 @@ once the deltas are many or large, so each row is rewritten a bounded number of
 
 import json
 import uuid
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusflow.schemas import VECTORS
+from corpusflow.session import materialize
 from corpusflow.sources.commits import CommitConflict, create_file, file_names, file_system, read_file
 
 # Rows aimed at for each bucket; buckets are doubled until they hold less than twice as many.
 BUCKET_ROWS = 1_000_000
+# Bytes of a row group of the base, unless the session sets its own: the least that is read for one key.
+GROUP_BYTES = 16 << 20
 # Deltas are folded when they are this many, or hold this share of the base's rows.
 MAX_DELTAS = 16
 FOLD_SHARE = 0.5
@@ -172,6 +179,11 @@ def read_snapshot(
     rows = rows.withColumn("bucket", _bucket(snapshot.buckets))
     if only is not None:
         rows = rows.filter(F.col("bucket").isin(*only) if only else F.lit(False))
+    return _merge(base, rows, replaced)
+
+
+def _merge(base: DataFrame, rows: DataFrame, replaced: DataFrame | None) -> DataFrame:
+    """The base with the deltas' `rows` on top; both may be of some keys only."""
     if replaced is not None:
         gone = (F.col("filename") == F.col("_file")) & (F.col("_put") >= F.col("version"))
         rows = rows.join(replaced, gone & (F.col("_by") > F.col("_run")), "left_anti")
@@ -189,6 +201,86 @@ def read_snapshot(
     return kept.unionByName(won)
 
 
+def find_rows(system, folder: str, keys: list[str], columns: list[str]) -> Iterator[tuple[pa.Table, int]]:
+    """(rows, bytes) of every row group of a bucket's files that has some of `keys`, which are sorted. Footers
+    tell which groups may have them, their key columns which do; only of these other columns are read."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    wanted = pa.array(keys, pa.string())
+    for info in system.get_file_info(fs.FileSelector(folder)):
+        if info.base_name[0] in "._":
+            continue
+        with system.open_input_file(info.path) as source:
+            file = pq.ParquetFile(source)
+            there = [c for c in columns if c in file.schema_arrow.names]
+            at = file.schema_arrow.names.index("key")
+            for g in range(file.num_row_groups):
+                group = file.metadata.row_group(g)
+                extent = group.column(at).statistics
+                if extent is not None and extent.has_min_max:
+                    first = bisect_left(keys, extent.min)
+                    if first == len(keys) or keys[first] > extent.max:
+                        continue
+                has = pc.is_in(file.read_row_group(g, ["key"])["key"], value_set=wanted)
+                read = there if pc.any(has).as_py() else ["key"]
+                sizes = {group.column(c).path_in_schema.split(".")[0]: 0 for c in range(group.num_columns)}
+                for c in range(group.num_columns):
+                    sizes[group.column(c).path_in_schema.split(".")[0]] += group.column(c).total_compressed_size
+                rows = file.read_row_group(g, there).filter(has) if read is there else None
+                yield rows, sum(sizes[c] for c in read)
+
+
+def read_keys(spark: SparkSession, path: str, snapshot: Commit | None, keys: DataFrame, schema: T.StructType = VECTORS) -> DataFrame:
+    """The rows of a snapshot that have one of `keys` (key), which are unique. What is read of the base depends on
+    the keys, not on the size of the index: a footer for each file of their buckets, and the row groups that
+    have them. schema: at least key, version and filename. Keys that aren't there have no row."""
+    if snapshot is None:
+        return read_snapshot(spark, path, None, schema)
+    folders = {b: f"base/run={r}/bucket={b}" for b, r in snapshot.base.items()}
+    stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    arrow, columns = to_arrow_schema(stored), schema.names
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            asked = {}
+            for bucket, key in zip(batch["bucket"].to_pylist(), batch["key"].to_pylist()):
+                asked.setdefault(bucket, []).append(key)
+            for bucket, some in asked.items():
+                if bucket not in folders:
+                    continue
+                for rows, _ in find_rows(system, f"{root}/{folders[bucket]}", sorted(some), columns):
+                    if rows is not None:
+                        rows = rows.append_column("bucket", pa.array([bucket] * rows.num_rows, pa.int32()))
+                        full = [rows[f.name] if f.name in rows.column_names else pa.nulls(rows.num_rows, f.type) for f in arrow]
+                        yield from pa.table(full, names=arrow.names).cast(arrow).to_batches(max_chunksize=1000)
+
+    keys = keys.select("key")
+    ordered = keys.withColumn("bucket", _bucket(snapshot.buckets)).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
+    base = ordered.mapInArrow(fetch, stored)
+    if not snapshot.deltas:
+        return base
+    rows, replaced = _deltas(spark, path, snapshot, schema)
+    rows = rows.join(keys, "key", "left_semi").withColumn("bucket", _bucket(snapshot.buckets))
+    return _merge(materialize(base, "index-rows"), rows, replaced)
+
+
+def open_index(spark: SparkSession, path: str, schema: T.StructType = VECTORS) -> tuple[DataFrame, Callable[[DataFrame, list[str]], DataFrame]]:
+    """(vectors, fetch): the current snapshot, and a function that gives some columns of its rows by key. A search
+    that is given both reads texts for its hits only. The store is reached by `pyarrow.fs` to fetch."""
+    snapshot = current_snapshot(spark, path)
+
+    def fetch(keys: DataFrame, columns: list[str]) -> DataFrame:
+        needed = {"key", "version", "filename", *columns}
+        rows = read_keys(spark, path, snapshot, keys, T.StructType([f for f in schema if f.name in needed]))
+        return rows.select("key", *columns)
+
+    return read_snapshot(spark, path, snapshot, schema), fetch
+
+
 def read_index(spark: SparkSession, path: str, schema: T.StructType = VECTORS, where: Column | None = None) -> DataFrame:
     """The current snapshot; `where`: rows of some metadata only, a condition that reaches the scan of the
     base, whose files are sorted by key and have the extent of each column in their footers."""
@@ -203,10 +295,11 @@ def _write_base(vectors: DataFrame, path: str, buckets: int) -> tuple[str, set[i
     """A run of whole buckets: (its name, the buckets that it has). Rebalanced by bucket: adaptive execution
     splits large buckets and merges small ones into files of the advisory partition size."""
     run = uuid.uuid4().hex
+    group = vectors.sparkSession.conf.get("parquet.block.size", str(GROUP_BYTES))
     (
         vectors.drop("bucket").withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "key")
-        .write.partitionBy("bucket").parquet(f"{path}/base/run={run}")
+        .write.option("parquet.block.size", group).partitionBy("bucket").parquet(f"{path}/base/run={run}")
     )
     names = file_names(vectors.sparkSession, f"{path}/base/run={run}")
     return run, {int(n[7:]) for n in names if n.startswith("bucket=")}

@@ -242,6 +242,46 @@ def test_metadata_conditions_reach_the_scan(spark, tmp_path):
     assert titles == [f"{i:05d}" for i in range(100, 110) if i != 105], "a newer row that does not meet the condition hides the older"
 
 
+def test_rows_fetched_by_key(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    monkeypatch.setattr(index, "GROUP_BYTES", 20_000)  # row groups of these small tables
+    monkeypatch.setattr(index, "BUCKET_ROWS", 1000)
+    read = []
+    for n in (1000, 8000):
+        path = str(tmp_path / f"i{n}")
+        docs = spark.createDataFrame([(f"{i:05d}.md", f"text {i} " * 20) for i in range(n)], "filename string, content string")
+        index.put(spark, path, embed_documents(docs, E).withColumn("version", F.lit(1).cast("long")))
+        vectors, fetch = index.open_index(spark, path)
+        all_rows = {r.key: r for r in vectors.select("key", "title", "chunk_text").collect()}
+        keys = [*(f"{i:05d}.md_0" for i in range(0, 1000, 50)), "gone", "\uffff"]
+        asked = spark.createDataFrame([(k,) for k in keys], "key string")
+        found = fetch(asked, ["title", "chunk_text"]).collect()
+        assert sorted(found) == sorted(all_rows[k] for k in keys[:-2])
+        assert fetch(asked.limit(0), ["title"]).count() == 0
+        now = index.current_snapshot(spark, path)
+        # Bytes that one key's lookup takes, of what its bucket's files have.
+        bucket = vectors.filter("key = '00500.md_0'").first().bucket
+        folder = f"{path}/base/run={now.base[bucket]}/bucket={bucket}"
+        groups = list(index.find_rows(fs.LocalFileSystem(), folder, ["00500.md_0"], ["key", "chunk_text"]))
+        assert sum(rows.num_rows for rows, _ in groups if rows is not None) == 1
+        read.append((now.buckets, sum(size for _, size in groups)))
+    assert read[1][0] >= 4 * read[0][0] and read[1][1] < 1.5 * read[0][1], read
+    # Deltas on top: a newer row, a new row, an older version that is of no use.
+    index.put(spark, path, put_rows(spark, ("x_0", 1)))
+    changed = vectors.drop("bucket").filter("key in ('00050.md_0', '00100.md_0')")
+    changed = changed.withColumn("title", F.lit("new")).withColumn("version", F.when(F.col("key") == "00050.md_0", 2).otherwise(0).cast("long"))
+    index.put(spark, path, changed)
+    again, fetch = index.open_index(spark, path)
+    want = {(r.key, r.title) for r in again.filter(F.col("key").isin("x_0", *keys)).collect()}
+    got = fetch(asked.union(spark.createDataFrame([("x_0",)], "key string")), ["title"]).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) == 21 and ("00050.md_0", "new") in want
+    q = again.filter("key = '00150.md_0'").select(F.col("key").alias("query_id"), "embedding")
+    plain = knn(q, again, 5, dim=16, metadata=["title", "chunk_text"])
+    assert sorted(knn(q, again, 5, dim=16, metadata=["title", "chunk_text"], fetch=fetch).collect()) == sorted(plain.collect())
+    assert index.open_index(spark, str(tmp_path / "none"))[1](asked, ["title"]).count() == 0
+
+
 def test_a_later_export_replaces_its_sessions_only(spark, tmp_path):
     schema = "session_id string, seq int, role string, content string, timestamp timestamp_ntz"
     path = str(tmp_path / "out")
