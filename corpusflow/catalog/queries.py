@@ -591,8 +591,10 @@ def chat_turn(spark, sf):
 
 
 def _stream(spark, sf, name):
+    """A table's files as a stream, whether it is one file or a folder of them. The path is a pattern, as Spark takes a
+    stream's plain path for a folder."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def stream_ingest(spark, sf):

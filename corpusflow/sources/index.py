@@ -424,7 +424,7 @@ def fold(spark: SparkSession, path: str, schema: T.StructType = VECTORS) -> int:
 # ---------------------------------------------------------------- the streams' log
 
 
-def _read_if_there(reader: Callable[[str], DataFrame], path: str) -> DataFrame | None:
+def read_if_there(reader: Callable[[str], DataFrame], path: str) -> DataFrame | None:
     try:
         return reader(path)
     except AnalysisException as error:
@@ -451,7 +451,7 @@ def read_log(
 ) -> DataFrame:
     """The log's batches after one position up to another, by partition filters."""
     stored = T.StructType([*schema.fields, T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())])
-    log = _read_if_there(spark.read.schema(stored).parquet, f"{path}/log") if upto else None
+    log = read_if_there(spark.read.schema(stored).parquet, f"{path}/log") if upto else None
     if log is None:
         return spark.createDataFrame([], schema)
     wanted = F.lit(False)

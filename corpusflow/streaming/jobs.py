@@ -15,6 +15,7 @@ from corpusflow.plans.retrieve import retrieve
 from corpusflow.schemas import VECTORS
 from corpusflow.sources import index as index_store
 from corpusflow.sources import message_log
+from corpusflow.sources.index import read_if_there
 
 
 def stream_ingest(
@@ -90,7 +91,10 @@ def read_histories(spark: SparkSession, path: str, session_type: T.DataType = T.
     """(session_id, seq, roles, contents) of all user turns, as the last batch that touched them left them."""
     texts = T.ArrayType(T.StringType())
     fields = [("session_id", session_type), ("seq", T.IntegerType()), ("roles", texts), ("contents", texts), ("batch", T.LongType())]
-    rows = spark.read.schema(T.StructType([T.StructField(*f) for f in fields])).parquet(f"{path}/histories")
+    schema = T.StructType([T.StructField(*f) for f in fields])
+    rows = read_if_there(spark.read.schema(schema).parquet, f"{path}/histories")
+    if rows is None:  # no batch has been run yet
+        return spark.createDataFrame([], schema).drop("batch")
     last = rows.groupBy("session_id", "seq").agg(F.max("batch").alias("batch"))
     return rows.join(last, ["session_id", "seq", "batch"], "left_semi").drop("batch")
 

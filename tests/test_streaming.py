@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from corpusflow.catalog import queries
 from corpusflow.operators.conversation import with_history
 from corpusflow.operators.embedding import embed, hashing_embedder
 from corpusflow.plans.ingest import embed_documents, ingest
@@ -108,3 +109,19 @@ def test_retrieve_stream_equals_batch(spark, tmp_path):
         jobs.stream_retrieve(embed(arriving, "query", E), vectors, str(tmp_path / "out"), str(tmp_path / "progress"), dim=32).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     assert sorted(map(str, got.collect())) == sorted(map(str, retrieve(embed(asked, "query", E), vectors, dim=32).collect()))
+
+
+def test_a_streamed_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path):
+    rows = [(s, t, "user" if t % 2 == 0 else "assistant", f"{s}-{t}") for s in range(9) for t in range(4)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.repartition(3).write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    (tmp_path / "file").mkdir()
+    table.toPandas().to_parquet(tmp_path / "file" / "conversations.parquet")
+    for kind in ("folder", "file"):
+        got = queries.stream_history(spark, str(tmp_path / kind)).collect()
+        assert sorted((r.session_id, r.seq, r.n) for r in got) == [(s, t, t) for s in range(9) for t in (0, 2)], kind
+        assert {r.history for r in got if r.session_id == 4} == {"", "user=4-0|assistant=4-1"}
+
+
+def test_histories_before_the_first_batch(spark, tmp_path):
+    assert jobs.read_histories(spark, str(tmp_path / "none")).collect() == []
