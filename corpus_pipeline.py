@@ -21,7 +21,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies: five-word shingles, a similarity of 0.8 or more,
-    searched by SimHash and checked exactly."""
+    searched by SimHash, what that leaves apart by shared rare shingles, and checked exactly."""
     return near_dedup.keep_first(docs)
 
 

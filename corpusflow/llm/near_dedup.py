@@ -9,6 +9,10 @@ on some part is known; of the plans with enough of it the cheapest is taken.
 Rows of a bucket are compared by all their bits, loosely. What is within the bound and connects a bucket's
 rows by the smallest distances (a minimum spanning forest, not all pairs) is a candidate link; the
 shingles of its two texts are then compared exactly, so nothing is linked below the similarity.
+
+What this search leaves apart is then searched exactly. Two sets of the similarity share one of their first shingles
+in any common order (prefix filter; after Chaudhuri et al., "A primitive operator for similarity joins", ICDE 2006), so
+sets of different groups that share such a shingle, and no others, are compared. Rare shingles come first.
 """
 
 from collections.abc import Iterator
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import simhash
-from corpusflow.llm.common import SpanHash, components, documents, min_labels, mix, word_spans
+from corpusflow.llm.common import BASE, SpanHash, components, documents, min_labels, mix, word_spans
 from corpusflow.llm.url_filter import bloom_filter, maybe_listed
 from corpusflow.session import materialize
 
@@ -35,6 +39,9 @@ RECALL = 0.95
 # Candidates may differ in this many standard deviations more bits than a pair at SIMILARITY.
 SLACK = 3
 CELL_ROWS = 8192
+# Counters by which shingles are ordered; pairs made at a time.
+COUNTERS = 1 << 18
+PAIRS_AT_ONCE = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _WORDS = [f"w{k}" for k in range(SKETCH)]
@@ -101,8 +108,15 @@ def node_of(words: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def set_number(hashes: np.ndarray) -> np.uint64:
+    """One number for a set of shingles."""
+    with np.errstate(over="ignore"):
+        return mix(mix(hashes + np.uint64(BASE)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(hashes)))[0]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, w0.., node) for every row of (doc_id, text, key); without words all bits are 0."""
+    """(doc_id, key, w0.., node, shingles) for every row of (doc_id, text, key); without words all bits are 0. shingles: the
+    number of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,12 +124,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 bounds, hashes = shingle_sets(data, offsets)
                 words = np.array([sketch(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.uint64).reshape(-1, SKETCH)
                 part = batch.slice(first, last - first)
+                numbers = np.array([set_number(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.uint64)
                 columns = [part.column("doc_id"), part.column("key"), *(pa.array(w.view(np.int64)) for w in np.ascontiguousarray(words.T)), pa.array(node_of(words))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", *_WORDS, "node"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers.view(np.int64))], names=["doc_id", "key", *_WORDS, "node", "shingles"])
 
     kind = dict(docs.dtypes)["doc_id"]
     ddl = ", ".join(f"{w} long" for w in _WORDS)
-    return docs.select("doc_id", "text", "key").mapInArrow(run, f"doc_id {kind}, key long, {ddl}, node long")
+    return docs.select("doc_id", "text", "key").mapInArrow(run, f"doc_id {kind}, key long, {ddl}, node long, shingles long")
 
 
 # ---------------------------------------------------------------- candidates
@@ -319,6 +334,108 @@ def exact_links(links: DataFrame, classes: DataFrame, docs: DataFrame, similarit
     return sides.mapInArrow(_similar(similarity), "u long, v long")
 
 
+# ---------------------------------------------------------------- what the sketches leave apart
+
+
+def shingle_counts(docs: DataFrame) -> np.ndarray:
+    """Occurrences in `docs` (text) of the shingles of each of COUNTERS slots of a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in documents(batch):
+                total += np.bincount((shingle_sets(data, offsets)[1] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
+
+    found = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def prefixes(docs: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """(shingles, n, first): of each row of `docs` (text) with words the number and size of its set, and as many of its rarest
+    shingles that a set of the similarity has one of them among its own."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in documents(batch):
+                bounds, hashes = shingle_sets(data, offsets)
+                size = np.diff(bounds)
+                row = np.repeat(np.arange(len(size)), size)
+                order = np.lexsort((hashes, shared.value[(hashes % np.uint64(COUNTERS)).astype(np.int64)], row))
+                # Least number of common shingles, not too high by rounding.
+                common = np.ceil(similarity * size * (1 - 1e-12)).astype(np.int64)
+                most = size - common + 1
+                kept = np.arange(len(row)) - bounds[row] < most[row]
+                some = np.flatnonzero(size)
+                ends = np.append(0, np.cumsum(most[some]))
+                numbers = np.array([set_number(hashes[bounds[i] : bounds[i + 1]]) for i in some], np.uint64)
+                first = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[order][kept].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers.view(np.int64)), pa.array(size[some], pa.int64()), first], names=["shingles", "n", "first"])
+
+    return docs.select("text").mapInArrow(run, "shingles long, n long, first array<long>")
+
+
+def crossing_pairs(end: np.ndarray, root: np.ndarray, number: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of numbers, at most about PAIRS_AT_ONCE at a time, of the rows of one run that have different roots and sizes that
+    allow for the similarity. Rows of a run are sorted by root; end: where each row's run ends."""
+    index = np.arange(len(root))
+    new = np.append(True, (root[1:] != root[:-1]) | (end[1:] != end[:-1])) if len(root) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    after = np.append(starts[1:], len(root))[np.cumsum(new) - 1]  # where the rows of the own root end
+    count = end - after
+    done = np.append(0, np.cumsum(count))
+    at = 0
+    while at < len(root):
+        to = max(int(np.searchsorted(done, done[at] + PAIRS_AT_ONCE, "right")) - 1, at + 1)
+        n = count[at:to]
+        a = np.repeat(index[at:to], n)
+        b = np.repeat(after[at:to], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        near = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) * (1 - 1e-12)
+        u, v = number[a[near]], number[b[near]]
+        pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
+        yield pairs[0], pairs[1]
+        at = to
+
+
+def missed_pairs(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): sets of different roots that may have the similarity, each pair once. sets: (shingles, root), unique."""
+    rows = prefixes(docs, shingle_counts(docs), similarity).dropDuplicates(["shingles"]).join(sets, "shingles")
+    rows = rows.select(F.explode("first").alias("shingle"), "root", "shingles", F.col("n").cast("int").alias("n"))
+    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "root")
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        shingle, root, number, size = (rows.column(c).to_numpy() for c in ("shingle", "root", "shingles", "n"))
+        new = np.append(0, np.flatnonzero(shingle[1:] != shingle[:-1]) + 1)
+        length = np.diff(np.append(new, len(shingle)))
+        # Most shingles are of one root, and make no pair.
+        several = np.repeat(root[new] != root[new + length - 1], length)
+        end = np.cumsum(several)[np.repeat(new + length - 1, length)]
+        for u, v in crossing_pairs(end[several], root[several], number[several], size[several], similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            # The last run may go on in the next batch.
+            shingle = rows.column("shingle").to_numpy()
+            first = int(np.searchsorted(shingle, shingle[-1]))
+            if first:
+                yield from compare(rows.slice(0, first))
+            rest = rows.slice(first)
+        if rest is not None:
+            yield from compare(rest)
+
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
 def _free(docs: DataFrame, name: str) -> str:
     while name in docs.columns:
         name += "_"
@@ -341,6 +458,16 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links = materialize(candidates(classes, similarity), "candidates")
     roots = components(materialize(exact_links(links, classes, docs, similarity), "links"))
     rooted = classes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted, "rooted")
+    # Every set of shingles with its root; sets of one class have one.
+    sets = rows.groupBy(F.col("shingles").alias("node")).agg(F.min(_order("doc_id", "key")).alias("first"), F.min("node").alias("class"))
+    sets = materialize(sets.join(rooted.select(F.col("node").alias("class"), "root"), "class").drop("class"), "sets")
+    missed = materialize(missed_pairs(docs, sets.select(F.col("node").alias("shingles"), "root"), similarity), "missed")
+    more = exact_links(missed, sets, docs, similarity)
+    for side in ("u", "v"):
+        more = more.join(sets.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side)
+    joined = components(materialize(more.select("u_root", "v_root"), "more-links"), "u_root", "v_root").toDF("root", "whole")
+    rooted = rooted.join(joined, "root", "left").withColumn("root", F.coalesce("whole", "root"))
     return rooted.groupBy("root").agg(F.min("first").alias("first")).select("root", "first.doc_id", "first.key")
 
 
@@ -350,7 +477,8 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Rows with the same doc_id and text are one document, of which one row stays; rows of one doc_id with different
     texts are documents of their own, and so are rows without doc_id. Null, empty and blank texts
     have no shingles and are copies of each other; a text of fewer than five words is one shingle, and a copy of
-    texts with just that. Texts of equal sketches (256 bits) are one class. An empty table gives no rows.
+    texts with just that. Texts of equal sketches (256 bits) are one class; no other pair of the similarity is left out.
+    An empty table gives no rows.
     """
     key = _free(docs, "text_key")
     keyed = docs.withColumn(key, F.xxhash64("text"))

@@ -129,3 +129,37 @@ def test_plans_find_enough_at_any_size(n):
     assert near_dedup.missed(parts, near_dedup.differing_share(0.8)) ** near_dedup.SKETCH <= 1 - near_dedup.RECALL
     assert sum(len(bits) for bits, _ in parts) <= 64 and sum(t + 1 for _, t in parts) >= near_dedup.MAX_BITS + 1
     assert simhash.BITS == 64
+
+
+def test_no_pair_is_left_out(spark, monkeypatch):
+    """Every pair of the similarity is linked, also where the sketches bring no pair together; hot lines and all sizes of texts."""
+    none = spark.createDataFrame([], "u long, v long")
+    rng = random.Random(12)
+    line = prose(rng, 30)
+    rows = []
+    for n in range(120):
+        text = prose(rng, [5, 9, 25, 80, 200][n % 5])
+        text = f"{text} {line}" if n % 3 == 0 else text
+        rows += [(3 * n, text), (3 * n + 1, changed(rng, text, [0.8, 0.74, 0.85, 0.4][n % 4])), (3 * n + 2, changed(rng, text, 0.9))]
+    sets = [grams(t) for _, t in rows]
+    pairs = [(i, j) for i, j in combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j])]
+    label = common.min_labels(*(np.array(x) for x in zip(*pairs)), len(rows))
+    expected = sorted((rows[i] for i in set(label.tolist())), key=str)
+    assert len(pairs) > 150 and kept(spark, rows) == expected
+    monkeypatch.setattr(near_dedup, "candidates", lambda classes, similarity: none)
+    monkeypatch.setattr(near_dedup, "PAIRS_AT_ONCE", 7)
+    assert kept(spark, rows) == expected
+
+
+def test_crossing_pairs(monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRS_AT_ONCE", 5)
+    rng = np.random.default_rng(3)
+    run, root = (np.sort(rng.integers(0, n, 60)) for n in (6, 20))
+    root = root[np.lexsort((root, run))]
+    end = np.searchsorted(run, run, "right")
+    order = np.lexsort((root, run))
+    root, number, size = root[order], rng.permutation(60), rng.integers(8, 12, 60)
+    got = [(u, v) for x in near_dedup.crossing_pairs(end, root, number, size, 0.8) for u, v in zip(*x)]
+    expected = {(max(number[i], number[j]), min(number[i], number[j])) for i, j in combinations(range(60), 2)
+                if run[i] == run[j] and root[i] != root[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])}
+    assert set(got) == expected and expected
