@@ -560,3 +560,36 @@ def test_pipeline_on_given_tables(spark, docs, none, rows, labels, tmp_path):
     run = corpus_pipeline.run(spark, sf).toPandas()
     assert sorted(set(run["doc_id"])) == sorted(set(frame.toPandas()["doc_id"])) == kept[3]
     assert QUERIES.keys() >= {"op1_url_filter", "op10_suffix_dedup"}
+
+
+def test_every_finding_trains_the_network(spark, monkeypatch):
+    """Several shards: each distinct finding is a step's example in every epoch, and the threshold keeps the recall of all held out."""
+    monkeypatch.setattr(secrets, "SHARD_VIEWS", 400)
+    rng = random.Random(2)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(700)]
+    data = [(i, f"{prose(i, 9)} token = \"{h}\" {prose(i + 999, 9)} mail{i}.{prose(i, 1)}@{prose(i + 1, 1)}.example.com") for i, h in enumerate(hexes)]
+    seen, trained = [], secrets._trained
+
+    def counted(network, rows, shards, *more):
+        seen.append((shards, rows.count()))
+        trained(network, rows, shards, *more)
+
+    monkeypatch.setattr(secrets, "_trained", counted)
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    network = secrets.fit(frame)
+    rows = [("", v) for _, t in data for f in secrets.scan(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])).values()
+            for s in {*f.values, *(c for c in f.candidates if not secrets.overlapping(c, [b[1:] for b in f.base]))} for v in secrets.windows(t, *s)]
+    assert len(seen) == secrets.EPOCHS and seen[0][0] > 1 and 0.65 * 1.4 * len(set(rows)) < seen[0][1] < 0.85 * 1.6 * len(set(rows))
+    found = secrets.secret_spans(frame, network).toPandas()["spans"]
+    assert not found.str.contains("model").any()
+    plain = spark.createDataFrame([(i, f"{prose(i, 9)} {h.upper()}Z {prose(i, 5)}") for i, h in enumerate(hexes)], "doc_id long, text string")
+    assert secrets.secret_spans(plain, network).toPandas()["spans"].str.contains("model").mean() > 0.9
+    again = secrets.fit(frame.repartition(5))
+    assert again.threshold == pytest.approx(network.threshold, abs=1e-6) and np.allclose(again.state(), network.state())
+
+
+def test_kth_smallest_is_exact(spark):
+    values = [random.Random(3).random() ** 9 for _ in range(500)] * 2 + [0.0, 1e-300, 1.0]
+    rows = spark.createDataFrame([(v,) for v in values], "p double")
+    for k in (0, 1, 2, 17, 500, 1001, 1002):
+        assert secrets.kth_smallest(rows, "p", k, 8) == sorted(values)[k]
