@@ -145,6 +145,26 @@ def test_cells_on_two_levels_leave_most_visits_out():
     assert (cells.size[home] >= 5).all()
 
 
+def test_blocks_of_cells():
+    first, parts = module._blocks(np.array([3, 0, 4, 25, 2, 9, 1, 10]), 10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 5, 5, 6] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1, 1]
+
+
+def test_rows_sent_grow_with_blocks_not_with_visits(spark, monkeypatch):
+    """Of vectors without clusters each query visits nearly every cell: it is sent once for each block of vectors."""
+    monkeypatch.setattr(module, "BLOCK_BYTES", 250 * 8 * 8)
+    sent = []
+    blocks = module._blocks
+    monkeypatch.setattr(module, "_blocks", lambda size, rows: sent.append((blocks(size, rows), size)) or blocks(size, rows))
+    v = np.random.default_rng(4).normal(size=(1000, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    q = spark.createDataFrame(rows, Q)
+    got = knn(q, spark.createDataFrame([(f"k{i}", x, "t") for i, x in rows], V), 5, dim=8, metric="euclidean", max_broadcast_queries=0, n_cells=60)
+    assert as_dict(got) == brute(rows, [(f"k{i}", x, "t") for i, x in rows], 5, "euclidean")
+    assert [size.sum() for _, size in sent] == [1000, 1000]
+    assert all(4 <= first[-1] + parts[-1] <= 15 for (first, parts), _ in sent)
+
+
 def test_gate_cutoff_and_metadata(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], Q)
     v = spark.createDataFrame([("a", [0.0, 1.0], "x"), ("b", [1.0, 0.1], "y")], V)
