@@ -12,10 +12,12 @@ shingles of its two texts are then compared exactly, so nothing is linked below
 
 What this search leaves apart is then searched exactly. Two sets of the similarity share one of their first shingles
 in any common order (prefix filter; after Chaudhuri et al., "A primitive operator for similarity joins", ICDE 2006), so
-sets of different groups that share such a shingle, and no others, are compared. Rare shingles come first.
+sets of different groups that share such a shingle, and no others, are compared. Rare shingles come first. Sets also differ in
+at least as many shingles as the parities of their shingles' places differ in bits (after Sandes et al., "Bitmap filter", TKDE 2020);
+where these are too many, no texts are read.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import acos, comb, floor, pi, sqrt
 
@@ -42,6 +44,9 @@ CELL_ROWS = 8192
 # Counters by which shingles are ordered; pairs made at a time.
 COUNTERS = 1 << 18
 PAIRS_AT_ONCE = 1 << 20
+# Bits of parity for each shingle of a set, least and most; bytes of parities compared at a time.
+PARITY, PARITY_BITS = 4, (64, 4096)
+_PARITY_BYTES = 1 << 24
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _WORDS = [f"w{k}" for k in range(SKETCH)]
@@ -186,16 +191,16 @@ def file_and_probe(classes: DataFrame, plans: list[Parts]) -> DataFrame:
     return classes.select(*_WORDS).mapInArrow(run, f"bucket long, role byte, {ddl}")
 
 
-def cells(filed: DataFrame) -> DataFrame:
-    """Adds `cell`. A bucket above CELL_ROWS is cut into chunks, and each pair of chunks is a cell of
-    its own, so that every pair of its rows still meets."""
+def cells(filed: DataFrame, row: list[str] = _WORDS) -> DataFrame:
+    """Adds `cell`. A bucket above CELL_ROWS is cut into chunks by the columns `row`, and each pair of chunks is
+    a cell of its own, so that every pair of its rows still meets."""
     large = filed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
     large = materialize(large.withColumn("k", F.ceil(F.col("n") / CELL_ROWS).cast("int")).drop("n"), "buckets")
     if large.isEmpty():
         return filed.withColumn("cell", F.lit(0))
     cut = filed.join(large, "bucket", "left")
     k = F.coalesce("k", F.lit(1))
-    chunk = F.pmod(F.xxhash64(*_WORDS), k).cast("int")
+    chunk = F.pmod(F.xxhash64(*row), k).cast("int")
     return cut.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda other: F.least(chunk, other) * k + F.greatest(chunk, other)))).drop("k")
 
 
@@ -252,24 +257,8 @@ def candidate_links(end: np.ndarray, role: np.ndarray, words: np.ndarray, most:
     return x, y
 
 
-def candidates(classes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): nodes of classes (w0.., node) to compare, each pair once."""
-    plans = []
-    for w in _WORDS:
-        n, counts = simhash.bit_counts(classes.select(F.col(w).alias("fp")))
-        plans.append(plan(n, counts, similarity))
-    most = most_bits(similarity)
-    filed = cells(file_and_probe(classes, plans)).repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "role")
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        bucket, cell, role = (rows.column(c).to_numpy() for c in ("bucket", "cell", "role"))
-        words = np.stack([rows.column(w).to_numpy() for w in _WORDS], axis=1).view(np.uint64)
-        new = np.append(0, np.flatnonzero((bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])) + 1)
-        end = np.repeat(np.append(new[1:], len(bucket)), np.diff(np.append(new, len(bucket))))
-        a, b = candidate_links(end, role, words, most)
-        node = node_of(words)
-        u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+def by_runs(compare: Callable[[pa.Table], Iterator[pa.RecordBatch]], *names: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`compare` of tables that hold whole runs of equal values in `names`, by which the rows are sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -280,17 +269,39 @@ def candidates(classes: DataFrame, similarity: float) -> DataFrame:
             rows = rows if rest is None else pa.concat_tables([rest, rows])
             # The last run may go on in the next batch.
             last = np.ones(len(rows), bool)
-            for c in ("bucket", "cell"):
+            for c in names:
                 values = rows.column(c).to_numpy()
                 last &= values == values[-1]
             first = 0 if last.all() else int(np.flatnonzero(~last)[-1]) + 1
             if first:
-                yield compare(rows.slice(0, first))
+                yield from compare(rows.slice(0, first))
             rest = rows.slice(first)
         if rest is not None:
-            yield compare(rest)
+            yield from compare(rest)
+
+    return run
+
 
-    return filed.mapInArrow(run, "u long, v long").where("u != v").distinct()
+def candidates(classes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): nodes of classes (w0.., node) to compare, each pair once."""
+    plans = []
+    for w in _WORDS:
+        n, counts = simhash.bit_counts(classes.select(F.col(w).alias("fp")))
+        plans.append(plan(n, counts, similarity))
+    most = most_bits(similarity)
+    filed = cells(file_and_probe(classes, plans)).repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "role")
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, cell, role = (rows.column(c).to_numpy() for c in ("bucket", "cell", "role"))
+        words = np.stack([rows.column(w).to_numpy() for w in _WORDS], axis=1).view(np.uint64)
+        new = np.append(0, np.flatnonzero((bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])) + 1)
+        end = np.repeat(np.append(new[1:], len(bucket)), np.diff(np.append(new, len(bucket))))
+        a, b = candidate_links(end, role, words, most)
+        node = node_of(words)
+        u, v = np.maximum(node[a], node[b]), np.minimum(node[a], node[b])
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return filed.mapInArrow(by_runs(compare, "bucket", "cell"), "u long, v long").where("u != v").distinct()
 
 
 # ---------------------------------------------------------------- exact links and the choice
@@ -315,11 +326,10 @@ def _similar(similarity: float):
     return run
 
 
-def exact_links(links: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The candidate links (u, v) whose texts reach the similarity. Texts of linked classes alone are
-    moved: a Bloom filter of their first rows' keys lets few others pass on to the join."""
-    linked = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-    first = classes.join(linked, "node").select("node", "first.doc_id", "first.key")
+def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the first rows of some classes (node), which are unique; rows that come twice come twice. Their texts
+    alone are moved: a Bloom filter of the first rows' keys lets few others pass on to the join."""
+    first = classes.join(nodes, "node").select("node", "first.doc_id", "first.key")
     first = materialize(first.withColumnsRenamed({"doc_id": "first_id", "key": "first_key"}), "linked")
     shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(first.select(F.xxhash64("first_id", "first_key").alias("key"))))
 
@@ -328,8 +338,13 @@ def exact_links(links: DataFrame, classes: DataFrame, docs: DataFrame, similarit
         return pd.Series(maybe_listed(key.to_numpy(np.int64), shared.value))
 
     some = docs.where(passes(F.xxhash64("doc_id", "key")))
-    texts = some.join(first, some["doc_id"].eqNullSafe(first["first_id"]) & (some["key"] == first["first_key"]))
-    texts = materialize(texts.select("node", "text").dropDuplicates(["node"]), "linked-texts")
+    return some.join(first, some["doc_id"].eqNullSafe(first["first_id"]) & (some["key"] == first["first_key"])).select("node", "text")
+
+
+def exact_links(links: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The candidate links (u, v) whose texts reach the similarity. Texts of linked classes alone are moved."""
+    linked = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    texts = materialize(texts_of(linked, classes, docs).dropDuplicates(["node"]), "linked-texts")
     sides = links.join(texts.toDF("u", "text_u"), "u").join(texts.toDF("v", "text_v"), "v")
     return sides.mapInArrow(_similar(similarity), "u long, v long")
 
@@ -355,7 +370,7 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
-    """(shingles, n, first): of each row of `docs` (text) with words the number and size of its set, and as many of its rarest
+    """(shingles, first): of each row of `docs` (text) with words the number of its set, and as many of its rarest
     shingles that a set of the similarity has one of them among its own."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -374,14 +389,70 @@ def prefixes(docs: DataFrame, counts: np.ndarray, similarity: float) -> DataFram
                 ends = np.append(0, np.cumsum(most[some]))
                 numbers = np.array([set_number(hashes[bounds[i] : bounds[i + 1]]) for i in some], np.uint64)
                 first = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[order][kept].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(numbers.view(np.int64)), pa.array(size[some], pa.int64()), first], names=["shingles", "n", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers.view(np.int64)), first], names=["shingles", "first"])
+
+    return docs.select("text").mapInArrow(run, "shingles long, first array<long>")
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each place of a set's shingles: whether their number there is odd. Places are as many as a power of two; half
+    as many are had by folding the halves together."""
+    least, most = PARITY_BITS
+    width = min(max(1 << int(PARITY * len(hashes) - 1).bit_length(), least), most) if len(hashes) else least
+    place = (hashes & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
-    return docs.select("text").mapInArrow(run, "shingles long, n long, first array<long>")
 
+def with_parities(texts: DataFrame) -> DataFrame:
+    """(node, n, bits): size and parities of the sets of (node, text), each node once."""
 
-def crossing_pairs(end: np.ndarray, root: np.ndarray, number: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of numbers, at most about PAIRS_AT_ONCE at a time, of the rows of one run that have different roots and sizes that
-    allow for the similarity. Rows of a run are sorted by root; end: where each row's run ends."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in documents(batch):
+                bounds, hashes = shingle_sets(data, offsets)
+                bits = [parities(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                columns = [batch.column("node").slice(first, last - first), pa.array(np.diff(bounds), pa.int32()), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "bits"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n int, bits binary").dropDuplicates(["node"])
+
+
+class Parities:
+    """Parities of many sets, to be compared by pairs."""
+
+    def __init__(self, bits: pa.BinaryArray):
+        self._where = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+        self._data = np.frombuffer(bits.buffers()[2], np.uint8)
+        self._width = np.diff(self._where)
+
+    def _of(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """Of some rows, folded to so many bytes."""
+        out = np.empty((len(rows), width), np.uint8)
+        for wide in np.unique(self._width[rows]).tolist():
+            some = np.flatnonzero(self._width[rows] == wide)
+            found = self._data[self._where[rows[some]][:, None] + np.arange(wide)]
+            while found.shape[1] > width:
+                half = found.shape[1] // 2
+                found = found[:, :half] ^ found[:, half:]
+            out[some] = found
+        return out.view(np.uint64)
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many bits rows a and b differ: no more than in shingles."""
+        width, bits = np.minimum(self._width[a], self._width[b]), np.zeros(len(a), np.int64)
+        for narrow in np.unique(width).tolist():
+            some = np.flatnonzero(width == narrow)
+            for at in range(0, len(some), _PARITY_BYTES // narrow):
+                part = some[at : at + _PARITY_BYTES // narrow]
+                bits[part] = np.bitwise_count(self._of(a[part], narrow) ^ self._of(b[part], narrow)).sum(1, dtype=np.int64)
+        return bits
+
+
+def crossing_pairs(
+    end: np.ndarray, root: np.ndarray, number: np.ndarray, size: np.ndarray, similarity: float, parity: Parities | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of numbers, at most about PAIRS_AT_ONCE at a time, of the rows of one run that have different roots, and sizes and
+    parities that allow for the similarity. Rows of a run are sorted by root; end: where each row's run ends."""
     index = np.arange(len(root))
     new = np.append(True, (root[1:] != root[:-1]) | (end[1:] != end[:-1])) if len(root) else np.zeros(0, bool)
     starts = np.flatnonzero(new)
@@ -395,45 +466,51 @@ def crossing_pairs(end: np.ndarray, root: np.ndarray, number: np.ndarray, size:
         a = np.repeat(index[at:to], n)
         b = np.repeat(after[at:to], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
         near = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) * (1 - 1e-12)
-        u, v = number[a[near]], number[b[near]]
+        a, b = a[near], b[near]
+        if parity is not None:
+            near = parity.differ(a, b) <= (size[a] + size[b]) * ((1 - similarity) / (1 + similarity) * (1 + 1e-12))
+            a, b = a[near], b[near]
+        u, v = number[a], number[b]
         pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
         yield pairs[0], pairs[1]
         at = to
 
 
-def missed_pairs(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): sets of different roots that may have the similarity, each pair once. sets: (shingles, root), unique."""
-    rows = prefixes(docs, shingle_counts(docs), similarity).dropDuplicates(["shingles"]).join(sets, "shingles")
-    rows = rows.select(F.explode("first").alias("shingle"), "root", "shingles", F.col("n").cast("int").alias("n"))
-    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "root")
+def sharing_sets(docs: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, node): sets (numbers) that have one of their first shingles in common, once for all shingles that the same sets
+    have. A set alone with a shingle has no row."""
+    rows = prefixes(docs, shingle_counts(docs), similarity).dropDuplicates(["shingles"])
+    rows = rows.select(F.explode("first").alias("shingle"), F.col("shingles").alias("node"))
+    dealt = rows.repartition("shingle").sortWithinPartitions("shingle")
 
-    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        shingle, root, number, size = (rows.column(c).to_numpy() for c in ("shingle", "root", "shingles", "n"))
+    def several(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        shingle, node = (rows.column(c).to_numpy() for c in ("shingle", "node"))
         new = np.append(0, np.flatnonzero(shingle[1:] != shingle[:-1]) + 1)
         length = np.diff(np.append(new, len(shingle)))
-        # Most shingles are of one root, and make no pair.
-        several = np.repeat(root[new] != root[new + length - 1], length)
-        end = np.cumsum(several)[np.repeat(new + length - 1, length)]
-        for u, v in crossing_pairs(end[several], root[several], number[several], size[several], similarity):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        # Of equal buckets the sets are put together, so a chance hit adds pairs and loses none.
+        bucket = mix(np.add.reduceat(mix(node.view(np.uint64) + np.uint64(BASE)), new) + length.astype(np.uint64)).view(np.int64)
+        shared = np.repeat(length > 1, length)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, length)[shared]), pa.array(node[shared])], names=["bucket", "node"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = pa.Table.from_batches([batch])
-            rows = rows if rest is None else pa.concat_tables([rest, rows])
-            # The last run may go on in the next batch.
-            shingle = rows.column("shingle").to_numpy()
-            first = int(np.searchsorted(shingle, shingle[-1]))
-            if first:
-                yield from compare(rows.slice(0, first))
-            rest = rows.slice(first)
-        if rest is not None:
-            yield from compare(rest)
+    return dealt.mapInArrow(by_runs(several, "shingle"), "bucket long, node long").distinct()
+
+
+def missed_pairs(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): sets of different roots that may have the similarity, each pair once. sets: (node, first, root), unique."""
+    shared = materialize(sharing_sets(docs, similarity), "sharing")
+    known = with_parities(texts_of(shared.select("node").distinct(), sets, docs)).join(sets.select("node", "root"), "node")
+    rows = cells(shared, ["node"]).join(known, "node")
+    dealt = rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "root")
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, cell, root, number, size = (rows.column(c).to_numpy() for c in ("bucket", "cell", "root", "node", "n"))
+        new = np.append(0, np.flatnonzero((bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])) + 1)
+        length = np.diff(np.append(new, len(bucket)))
+        parity = Parities(rows.column("bits").combine_chunks().cast(pa.binary()))
+        for u, v in crossing_pairs(np.repeat(new + length, length), root, number, size, similarity, parity):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(by_runs(compare, "bucket", "cell"), "u long, v long").distinct()
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -462,7 +539,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # Every set of shingles with its root; sets of one class have one.
     sets = rows.groupBy(F.col("shingles").alias("node")).agg(F.min(_order("doc_id", "key")).alias("first"), F.min("node").alias("class"))
     sets = materialize(sets.join(rooted.select(F.col("node").alias("class"), "root"), "class").drop("class"), "sets")
-    missed = materialize(missed_pairs(docs, sets.select(F.col("node").alias("shingles"), "root"), similarity), "missed")
+    missed = materialize(missed_pairs(docs, sets, similarity), "missed")
     more = exact_links(missed, sets, docs, similarity)
     for side in ("u", "v"):
         more = more.join(sets.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side)

@@ -4,7 +4,9 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusflow.llm import common, near_dedup, simhash
 
@@ -163,3 +165,37 @@ def test_crossing_pairs(monkeypatch):
     expected = {(max(number[i], number[j]), min(number[i], number[j])) for i, j in combinations(range(60), 2)
                 if run[i] == run[j] and root[i] != root[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])}
     assert set(got) == expected and expected
+
+
+def test_parities():
+    """They differ in no more bits than the sets in shingles, at any sizes; sets that differ much are told apart."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (0, 1, 15, 16, 17, 100, 1000, 1100, 3000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.int64).view(np.uint64)
+        sets += [np.unique(np.append(base[k:], rng.integers(0, 1 << 63, k, dtype=np.int64).view(np.uint64))) for k in {0, n // 20, n // 4, n // 2}]
+    found = near_dedup.Parities(pa.array([b"", *map(near_dedup.parities, sets)], pa.binary())[1:])
+    a, b = np.array(list(combinations(range(len(sets)), 2))).T
+    bits, apart = found.differ(a, b), np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    assert (bits <= apart).all() and (bits[apart == 0] == 0).all()
+    size = np.array([len(x) for x in sets])
+    far = (size[a] == size[b]) & (size[a] >= 100) & (apart > 0.4 * size[a])
+    assert far.any() and (bits[far] > 0.25 * size[a][far]).all()
+
+
+@pytest.mark.parametrize("most", [8192, 50])
+def test_loose_group_makes_few_pairs(spark, monkeypatch, most):
+    """Texts that share most shingles but are no near copies: their pairs, which grow with the square of the group, do not leave the tasks."""
+    monkeypatch.setattr(near_dedup, "CELL_ROWS", most)
+    rng = random.Random(13)
+    text = prose(rng, 200)
+    texts = [changed(rng, text, rng.choice([0.8, 0.82])) for _ in range(150)]
+    sets = [grams(t) for t in texts]
+    close = {(i, j) for i, j in combinations(range(150), 2) if len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.xxhash64("text"))
+    rows = near_dedup.sketches(docs).select(F.col("shingles").alias("node"), "doc_id", F.struct(F.lit(False), "doc_id", "key").alias("first"))
+    rows = rows.withColumn("root", F.col("node")).withColumn("first", F.col("first").cast("struct<nameless:boolean,doc_id:long,key:long>"))
+    known = {r.node: r.doc_id for r in rows.collect()}
+    pairs = [(r.u, r.v) for r in near_dedup.missed_pairs(docs, rows.drop("doc_id"), 0.8).collect()]
+    assert len(pairs) == len(set(pairs)) and {tuple(sorted((known[u], known[v]))) for u, v in pairs} >= close
+    assert len(pairs) <= len(close) + 450
