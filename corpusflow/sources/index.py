@@ -20,10 +20,12 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,6 +41,9 @@ GROUP_BYTES = 16 << 20
 # Deltas are folded when they are this many, or hold this share of the base's rows.
 MAX_DELTAS = 16
 FOLD_SHARE = 0.5
+# Parts of a bucket, which a fold deals its rows by. Bits, by a hash, of the rows that it keeps.
+PARTS = 32
+KEPT_BITS = 1 << 26
 
 
 class Delta(NamedTuple):
@@ -291,14 +296,14 @@ def read_index(spark: SparkSession, path: str, schema: T.StructType = VECTORS, w
 # ---------------------------------------------------------------- writing
 
 
-def _write_base(vectors: DataFrame, path: str, buckets: int) -> tuple[str, set[int]]:
-    """A run of whole buckets: (its name, the buckets that it has). Rebalanced by bucket: adaptive execution
-    splits large buckets and merges small ones into files of the advisory partition size."""
+def _write_base(vectors: DataFrame, path: str, buckets: int, dealt: bool = False) -> tuple[str, set[int]]:
+    """A run of whole buckets: (its name, the buckets that it has). Rebalanced by bucket, unless they are dealt by parts
+    of buckets: adaptive execution splits large buckets and merges small ones into files of the advisory partition size."""
     run = uuid.uuid4().hex
     group = vectors.sparkSession.conf.get("parquet.block.size", str(GROUP_BYTES))
+    placed = vectors.drop("bucket").withColumn("bucket", _bucket(buckets))
     (
-        vectors.drop("bucket").withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket")
-        .sortWithinPartitions("bucket", "key")
+        (placed if dealt else placed.hint("rebalance", "bucket")).sortWithinPartitions("bucket", "key")
         .write.option("parquet.block.size", group).partitionBy("bucket").parquet(f"{path}/base/run={run}")
     )
     names = file_names(vectors.sparkSession, f"{path}/base/run={run}")
@@ -366,36 +371,123 @@ def put(
 def _write_delta(spark: SparkSession, path: str, incoming: DataFrame, last: Commit | None, schema: T.StructType) -> tuple[str, int]:
     """(folder, rows). last: the snapshot whose documents are to be replaced, if any are."""
     folder = uuid.uuid4().hex
-    target = f"{path}/deltas/{folder}"
-    if last is None:
-        incoming.write.parquet(target)
-    else:
-        # Written as it came, so that it is computed once; then the rows that count.
-        incoming.write.parquet(f"{target}-incoming")
-        incoming = spark.read.schema(schema).parquet(f"{target}-incoming")
-        documents = incoming.groupBy(F.col("filename").alias("_file")).agg(F.max("version").alias("_put"))
-        documents.write.parquet(f"{target}-documents")
-        documents = spark.read.schema("_file string, _put bigint").parquet(f"{target}-documents")
-        there = read_snapshot(spark, path, last, schema).select("filename", "version")
-        later = there.join(documents, (F.col("filename") == F.col("_file")) & (F.col("version") > F.col("_put")), "left_semi")
-        later = later.select(F.col("filename").alias("_later")).distinct()
-        counts = documents.join(later, F.col("_file") == F.col("_later"), "left_anti")
-        match = (F.col("filename") == F.col("_file")) & (F.col("version") == F.col("_put"))
-        incoming.join(counts, match, "left_semi").write.parquet(target)
-    return folder, spark.read.schema(schema).parquet(target).count()
-
-
-def fold(spark: SparkSession, path: str, schema: T.StructType = VECTORS) -> int:
+    # Written as it came, so that it is computed once.
+    incoming.write.parquet(f"{path}/deltas/{folder}")
+    incoming = spark.read.schema(schema).parquet(f"{path}/deltas/{folder}")
+    rows = incoming.count()
+    if last is not None:
+        documents = materialize(incoming.groupBy(F.col("filename").alias("_file")).agg(F.max("version").alias("_put")), "documents")
+        there = _present(spark, path, last, schema)
+        counting = _counting(incoming.select("filename", "version"), documents, there).count()
+        if counting < rows:  # then the rows that count
+            folder, rows = uuid.uuid4().hex, counting
+            _counting(incoming, documents, there).select(*schema.names).write.parquet(f"{path}/deltas/{folder}")
+        documents.write.parquet(f"{path}/deltas/{folder}-documents")
+    return folder, rows
+
+
+_SMALL = ["key", "filename", "version", "_run"]
+
+
+def _winners(rows: DataFrame, replaced: DataFrame | None) -> DataFrame:
+    """Those of `rows` (key, filename, version, _run), of the base (run 0) and of deltas, that `_merge` keeps; of rows of a
+    delta that have the same key and version, all."""
+    if replaced is not None:
+        gone = (F.col("filename") == F.col("_file")) & (F.col("_put") >= F.col("version")) & (F.col("_by") > F.col("_run"))
+        rows = rows.join(replaced, gone, "left_anti")
+    put, same = F.col("_run") > 0, Window.partitionBy("key")
+    rows = rows.withColumn("_newest", F.max(F.when(put, F.struct("version", "_run"))).over(same))
+    rows = rows.withColumn("_highest", F.max(F.when(~put, F.col("version"))).over(same))
+    newest = F.col("version").eqNullSafe(F.col("_newest.version")) & (F.col("_run") == F.col("_newest._run"))
+    beaten = F.when(put, F.col("_highest") > F.col("_newest.version")).otherwise(F.col("_newest.version") >= F.col("version"))
+    return rows.filter((~put | newest) & (F.col("key").isNull() | ~F.coalesce(beaten, F.lit(False)))).select(*_SMALL)
+
+
+def _present(spark: SparkSession, path: str, last: Commit, schema: T.StructType) -> DataFrame:
+    """(filename, version) of a snapshot's rows."""
+    rows, replaced = _deltas(spark, path, last, schema) if last.deltas else (None, None)
+    small = _base(spark, path, last, schema).withColumn("_run", F.lit(0)).select(*_SMALL)
+    if rows is not None:
+        small = _winners(small.unionByName(rows.select(*_SMALL)), replaced)
+    return small.select("filename", "version")
+
+
+def _counting(rows: DataFrame, documents: DataFrame, there: DataFrame) -> DataFrame:
+    """Those of `rows` (filename, version) that have the version put of their document (_file, _put), where `there` has none later."""
+    later = there.join(documents, (F.col("filename") == F.col("_file")) & (F.col("version") > F.col("_put")), "left_semi")
+    counts = documents.join(later.select(F.col("filename").alias("_later")).distinct(), F.col("_file") == F.col("_later"), "left_anti")
+    return rows.join(counts, (F.col("filename") == F.col("_file")) & (F.col("version") == F.col("_put")), "left_semi")
+
+
+def _kept_rows(rows: DataFrame, won: DataFrame, buckets: int) -> DataFrame:
+    """The `rows` that have won, dealt by parts of buckets: the only time that whole rows are shuffled. Of rows of a delta that
+    have the same key and version one is kept. A bit for each hash lets few of the rows that haven't won pass on."""
+    spark = rows.sparkSession
+    place = F.pmod(F.xxhash64(*_SMALL), F.lit(KEPT_BITS))
+    words = won.select(place.alias("at")).selectExpr("shiftright(at, 6) as word", "shiftleft(1L, cast(at & 63 as int)) as bit")
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # KEPT_BITS / 64 rows at most
+    bits = np.zeros(KEPT_BITS // 64, np.uint64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def passes(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    marked = rows.filter(passes(place)).withColumn("_won", F.lit(0))
+    marked = marked.unionByName(won.withColumn("_won", F.lit(1)), allowMissingColumns=True)
+    marked = marked.withColumn("bucket", _bucket(buckets)).withColumn("_part", F.pmod(F.xxhash64(F.lit(PARTS), "key"), F.lit(PARTS)))
+    dealt = marked.repartition("bucket", "_part")
+    same = ["bucket", "_part", "key", "version", "_run"]
+    kept = dealt.withColumn("_has", F.max("_won").over(Window.partitionBy(*same, "filename"))).filter("_won = 0 and _has = 1")
+    others = [F.desc(c) for c in rows.columns if c not in ("key", "version", "_run")]
+    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy(*others))).filter("_run = 0 or _n = 1")
+    return kept.drop("_won", "_has", "_n", "_part", "_run")
+
+
+def fold(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = VECTORS,
+    gained: DataFrame | None = None,
+    replace_document: bool = False,
+    buckets: int | None = None,
+    folded: tuple[dict[str, int], dict[str, int]] | None = None,
+) -> int:
     """Merge the deltas into the base: only the buckets that they touch are written again, all of them
-    where the index has outgrown their number. Deltas that others put meanwhile stay on top."""
+    where the index has outgrown their number. Deltas that others put meanwhile stay on top.
+
+    gained, folded: stored rows to be folded as if they had been put, and the log's positions between which they lie;
+    CommitConflict if others have folded them. Which rows stay is decided by their small columns."""
+    first = buckets
     while True:
-        last = current_snapshot(spark, path)
-        if last is None or not last.deltas:
-            return last.snapshot if last else 0
-        rows, replaced = _deltas(spark, path, last, schema)
-        buckets, most = max(last.buckets, 1), last.rows + sum(d.rows for d in last.deltas)
+        last = current_snapshot(spark, path) or EMPTY
+        if first and not last.base and not last.deltas:
+            last = last._replace(buckets=first)
+        if folded and last.folded != folded[0]:
+            raise CommitConflict(path)
+        if not last.deltas and gained is None:
+            return last.snapshot
+        buckets, most = max(last.buckets, 1), last.rows + sum(d.rows for d in last.deltas) + (gained.count() if gained is not None else 0)
         while most >= 2 * BUCKET_ROWS * buckets:
             buckets *= 2
+        rows, replaced = _deltas(spark, path, last, schema) if last.deltas else (None, None)
+        whole = _base(spark, path, last, schema).drop("bucket").withColumn("_run", F.lit(0))
+        before = [whole] if rows is None else [whole, rows]
+        small = [r.select(*_SMALL) for r in before]
+        if gained is not None:
+            run = last.snapshot + 1
+            new = gained.select(*schema.names).withColumn("_run", F.lit(run))
+            counting = new.select(*_SMALL)
+            if replace_document:
+                documents = materialize(gained.groupBy(F.col("filename").alias("_file")).agg(F.max("version").alias("_put")), "documents")
+                counting = _counting(counting, documents, _present(spark, path, last, schema))
+                put_documents = documents.withColumn("_by", F.lit(run))
+                replaced = put_documents if replaced is None else replaced.unionByName(put_documents)
+            rows = new if rows is None else rows.unionByName(new)
+            small.append(counting)
+        won = materialize(_winners(_union(small), replaced), "index-winners")
         if buckets == last.buckets:
             found = rows.select(_bucket(buckets).alias("b"))
             if replaced is not None:
@@ -403,18 +495,24 @@ def fold(spark: SparkSession, path: str, schema: T.StructType = VECTORS) -> int:
                 gone = (F.col("filename") == F.col("_file")) & (F.col("_put") >= F.col("version"))
                 found = found.union(old.join(replaced, gone, "left_semi").select("bucket"))
             touched = {r.b for r in found.distinct().collect()}
+            base = _base(spark, path, last, schema, touched).drop("bucket").withColumn("_run", F.lit(0))
+            won = won.filter(_bucket(buckets).isin(*touched) if touched else F.lit(False))
         else:
-            touched = None
-        merged = read_snapshot(spark, path, last, schema, touched)
-        run, held = _write_base(merged, path, buckets)
+            touched, base = None, whole
+        run, held = _write_base(_kept_rows(base.unionByName(rows), won, buckets), path, buckets, True)
         kept = {} if touched is None else {b: r for b, r in last.base.items() if b not in touched}
         base = kept | dict.fromkeys(held, run)
         total = _base(spark, path, last._replace(base=base), schema).select("key").count()
         while True:
-            now = current_snapshot(spark, path)
+            now = current_snapshot(spark, path) or EMPTY
+            if folded and now.folded != folded[0]:
+                raise CommitConflict(path)
             if now.base != last.base or now.deltas[: len(last.deltas)] != last.deltas:
                 break  # somebody else has folded
-            new = now._replace(snapshot=now.snapshot + 1, buckets=buckets, base=base, rows=total, deltas=now.deltas[len(last.deltas) :])
+            new = now._replace(
+                snapshot=now.snapshot + 1, buckets=buckets, base=base, rows=total, deltas=now.deltas[len(last.deltas) :],
+                folded={**now.folded, **(folded[1] if folded else {})},
+            )
             try:
                 return commit(spark, path, new)
             except CommitConflict:
@@ -461,7 +559,8 @@ def read_log(
 
 
 def compact(spark: SparkSession, path: str, replace_document: bool = False, buckets: int | None = None) -> int:
-    """Put what the log has gained since the last snapshot, as one delta.
+    """Put what the log has gained since the last snapshot, as one delta; a gain that would be folded at once is folded
+    from the log.
 
     The commit records how far the log is folded, so no batch is folded twice and an older
     version in the log never comes back. With nothing to fold, no snapshot is written.
@@ -472,7 +571,10 @@ def compact(spark: SparkSession, path: str, replace_document: bool = False, buck
         if last.snapshot and all(last.folded.get(s, -1) >= n for s, n in upto.items()):
             return last.snapshot
         gained = read_log(spark, path, last.folded, upto)
+        rows = gained.count() + sum(d.rows for d in last.deltas)
         try:
+            if len(last.deltas) + 1 >= MAX_DELTAS or rows > FOLD_SHARE * last.rows:
+                return fold(spark, path, VECTORS, gained, replace_document, buckets, (last.folded, upto))
             return put(spark, path, gained, replace_document, buckets, folded=(last.folded, upto))
         except CommitConflict:
             continue

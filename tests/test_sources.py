@@ -355,3 +355,57 @@ def test_message_log_reads_one_bucket_per_session(spark, tmp_path):
     assert sorted(r.seq for r in one.collect()) == list(range(10))
     scan = [x for x in one._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in x][0]
     assert "bucket" in scan.split("PartitionFilters: ")[1].split("]")[0]
+
+
+def test_a_large_gain_is_folded_from_the_log(spark, tmp_path, monkeypatch):
+    """No second copy of it is written, and whole rows are shuffled once."""
+    path, plans = str(tmp_path / "i"), []
+    real = index._kept_rows
+
+    def seen(*args):
+        plans.append(real(*args))
+        return plans[-1]
+
+    monkeypatch.setattr(index, "_kept_rows", seen)
+    for batch, replace in ((0, False), (1, True)):
+        index.append_log(put_rows(spark, ("a_0", 1 + batch), ("b_0", 1), ("b_1", 1)), path, "s", batch)
+        assert index.compact(spark, path, replace, buckets=2) == batch + 1
+        assert state(spark, path) == {"a_0": 1 + batch, "b_0": 1, "b_1": 1}
+    assert not (tmp_path / "i" / "deltas").exists() and len(plans) == 2
+    for plan in plans:
+        lines = plan._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert sum("Exchange" in line for line in lines) == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_folds_keep_what_readers_see(spark, tmp_path, monkeypatch, seed):
+    """Keys, names and versions that are null, come twice or are of several documents."""
+    monkeypatch.setattr(index, "MAX_DELTAS", 99)
+    monkeypatch.setattr(index, "FOLD_SHARE", 1e9)
+    rng, path = random.Random(seed), str(tmp_path / "i")
+
+    def rows(n):
+        made = [(rng.choice([None, *"abcdefgh"]), rng.choice([None, "x", "y", "z"]), rng.choice([None, 1, 2, 3]), rng.choice("pq")) for _ in range(n)]
+        given = spark.createDataFrame(made, "key string, filename string, version long, chunk_text string")
+        return given.select(*(F.col(f.name) if f.name in given.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in VECTORS))
+
+    def seen(frame):
+        return sorted(map(str, frame.select(*VECTORS.names).collect()))
+
+    index.write_snapshot(rows(12), path, buckets=2)
+    for replace in (False, True, False, True):
+        index.put(spark, path, rows(6), replace)
+    before = seen(index.read_index(spark, path))
+    index.fold(spark, path)
+    assert not index.current_snapshot(spark, path).deltas and seen(index.read_index(spark, path)) == before
+    for batch, replace in ((0, seed % 2 == 0), (1, True)):
+        gain = rows(9)
+        index.append_log(gain, path, "s", batch)
+        gain = index.read_log(spark, path, {"s": batch - 1}, {"s": batch})
+        other = f"{path}-{batch}"
+        index.write_snapshot(index.read_index(spark, path), other, buckets=2)
+        index.put(spark, other, gain, replace)
+        monkeypatch.setattr(index, "FOLD_SHARE", 0)
+        index.compact(spark, path, replace)
+        monkeypatch.setattr(index, "FOLD_SHARE", 1e9)
+        assert not index.current_snapshot(spark, path).deltas and seen(index.read_index(spark, path)) == seen(index.read_index(spark, other))
