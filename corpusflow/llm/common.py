@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from corpusflow.session import materialize
 
-CHUNK_BYTES = 2 << 20
+# Bytes of texts worked on at a time: the arrays made of them take up to some hundred times as many in each Python worker.
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import simhash
-from corpusflow.llm.common import BASE, SpanHash, components, documents, min_labels, mix, word_spans
+from corpusflow.llm.common import BASE, SpanHash, components, documents, min_labels, mix, pieces, utf8, word_spans
 from corpusflow.llm.url_filter import bloom_filter, maybe_listed
 from corpusflow.session import materialize
 
@@ -43,10 +43,10 @@ SLACK = 3
 CELL_ROWS = 8192
 # Counters by which shingles are ordered; pairs made at a time.
 COUNTERS = 1 << 18
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 18
 # Bits of parity for each shingle of a set, least and most; bytes of parities compared at a time.
 PARITY, PARITY_BITS = 4, (64, 4096)
-_PARITY_BYTES = 1 << 24
+_PARITY_BYTES = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _WORDS = [f"w{k}" for k in range(SKETCH)]
@@ -93,7 +93,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.searchsorted(rows[new], np.arange(len(count) + 1)), found[new]
 
 
-_AT_ONCE = 1 << 16
+_AT_ONCE = 1 << 13
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -246,7 +246,7 @@ def candidate_links(end: np.ndarray, role: np.ndarray, words: np.ndarray, most:
             b.append(other[near])
             w.append(bits)
             found += len(near)
-        if found > 1 << 20:
+        if found > PAIRS_AT_ONCE:
             x, y, z = spanning()
             a, b, w, found = [x], [y], [z], len(x)
         ahead += 1
@@ -310,17 +310,17 @@ def candidates(classes: DataFrame, similarity: float) -> DataFrame:
 def _similar(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for name in ("text_u", "text_v"):
-                found = []
-                for _, _, data, offsets in documents(batch.select([name]).rename_columns(["text"])):
-                    bounds, hashes = shingle_sets(data, offsets)
-                    found += [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                sets.append(found)
+            (data_u, ends_u), (data_v, ends_v) = (utf8(batch.column(c)) for c in ("text_u", "text_v"))
             keep = []
-            for a, b in zip(*sets, strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= similarity * (len(a) + len(b) - both))
+            # As many pairs at a time as both texts have bytes for.
+            for first, last in pieces(ends_u + ends_v):
+                sets = []
+                for data, ends in ((data_u, ends_u), (data_v, ends_v)):
+                    bounds, hashes = shingle_sets(data[ends[first] : ends[last]], ends[first : last + 1] - ends[first])
+                    sets.append([hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+                for a, b in zip(*sets, strict=True):
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(both >= similarity * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -421,21 +421,26 @@ class Parities:
     """Parities of many sets, to be compared by pairs."""
 
     def __init__(self, bits: pa.BinaryArray):
-        self._where = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
-        self._data = np.frombuffer(bits.buffers()[2], np.uint8)
-        self._width = np.diff(self._where)
+        where = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1]
+        self._width = np.diff(where).astype(np.int64)
+        # Sets of one width are rows of one array.
+        self._place, self._sets = np.zeros(len(bits), np.int64), {}
+        for wide in np.unique(self._width).tolist():
+            rows = np.flatnonzero(self._width == wide)
+            self._place[rows] = np.arange(len(rows))
+            self._sets[wide] = np.frombuffer(bits.take(pa.array(rows)).buffers()[2], np.uint64, len(rows) * wide // 8).reshape(len(rows), -1)
 
     def _of(self, rows: np.ndarray, width: int) -> np.ndarray:
         """Of some rows, folded to so many bytes."""
-        out = np.empty((len(rows), width), np.uint8)
+        out = np.empty((len(rows), width // 8), np.uint64)
         for wide in np.unique(self._width[rows]).tolist():
             some = np.flatnonzero(self._width[rows] == wide)
-            found = self._data[self._where[rows[some]][:, None] + np.arange(wide)]
-            while found.shape[1] > width:
+            found = self._sets[wide][self._place[rows[some]]]
+            while found.shape[1] > width // 8:
                 half = found.shape[1] // 2
                 found = found[:, :half] ^ found[:, half:]
             out[some] = found
-        return out.view(np.uint64)
+        return out
 
     def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """In how many bits rows a and b differ: no more than in shingles."""

@@ -1,6 +1,7 @@
 """Near copies of the pipeline: exact links, recall at the edge, rows kept."""
 
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -199,3 +200,29 @@ def test_loose_group_makes_few_pairs(spark, monkeypatch, most):
     pairs = [(r.u, r.v) for r in near_dedup.missed_pairs(docs, rows.drop("doc_id"), 0.8).collect()]
     assert len(pairs) == len(set(pairs)) and {tuple(sorted((known[u], known[v]))) for u, v in pairs} >= close
     assert len(pairs) <= len(close) + 450
+
+
+def test_worker_memory_is_bounded():
+    """Arrays made of a batch's texts, and of the pairs of a large group, stay small whatever the batch and the group hold."""
+    def peak(work):
+        tracemalloc.start()
+        try:
+            return work(), tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    rng = random.Random(14)
+    texts = [prose(rng, 400) for _ in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"u": range(2000), "v": range(2000), "text_u": texts, "text_v": [t + " end" for t in texts[:1900]] + texts[:100]})
+    assert batch.nbytes > 8e6
+    found, mb = peak(lambda: list(near_dedup._similar(0.8)([batch])))
+    assert [x for b in found for x in b.column("u").to_pylist()] == list(range(1900)) and mb < 40
+    texts = batch.select(["text_u"]).rename_columns(["text"])
+    assert peak(lambda: [near_dedup.shingle_sets(d, o) and None for _, _, d, o in common.documents(texts)])[1] < 40
+
+    numbers = np.random.default_rng(14)
+    sets = [numbers.integers(0, 1 << 63, n, dtype=np.int64).view(np.uint64) for n in numbers.integers(120, 150, 1500)]
+    bits = pa.array([near_dedup.parities(x) for x in sets], pa.binary())
+    end, index, size = np.full(1500, 1500), np.arange(1500), np.array([len(x) for x in sets])
+    pairs, mb = peak(lambda: sum(len(u) for u, _ in near_dedup.crossing_pairs(end, index, index, size, 0.8, near_dedup.Parities(bits))))
+    assert pairs == 0 and mb < 40
