@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import knn as module
+from corpusflow.operators.embedding import batch_embedder, embed
 from corpusflow.operators.knn import knn
 
 Q = "query_id int, embedding array<float>"
@@ -165,6 +166,73 @@ def test_rows_sent_grow_with_blocks_not_with_visits(spark, monkeypatch):
     assert all(4 <= first[-1] + parts[-1] <= 15 for (first, parts), _ in sent)
 
 
+def test_hits_leave_once_a_group_of_blocks(spark, monkeypatch):
+    """Of vectors without clusters every pair of blocks meets: a query's hits leave for a few groups, not for each block."""
+    monkeypatch.setattr(module, "BLOCK_BYTES", 50 * 8 * 32)
+    v = np.random.default_rng(4).normal(size=(1000, 32))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    seen, leaving = module._k_best, []
+    monkeypatch.setattr(module, "_k_best", lambda found, k: leaving.append(found.count()) or seen(found, k))
+    stored = spark.createDataFrame([(f"k{i}", x, "t") for i, x in rows], V)
+    got = knn(spark.createDataFrame(rows, Q), stored, 5, dim=32, metric="euclidean", max_broadcast_queries=0, n_cells=200)
+    assert as_dict(got) == brute(rows, [(f"k{i}", x, "t") for i, x in rows], 5, "euclidean")
+    # The home cells, then the groups; block by block it was 71 hits of a query that left.
+    assert len(leaving) == 2 and 5 * len(rows) <= leaving[1] <= 30 * len(rows), leaving
+
+
+def test_groups_of_blocks(spark):
+    n = 4 * spark.sparkContext.defaultParallelism
+    routes = [(q, v) for q in range(2) for v in range(2 * n - q)]
+    number, of_q, of_v = module._groups(spark.createDataFrame(routes, "q_block int, v_block int"))
+    met = of_q.join(of_v, "group").select("q_block", "v_block").collect()
+    assert sorted(map(tuple, met)) == routes
+    assert number == of_v.select("group").distinct().count() and max(r["count"] for r in of_v.groupBy("group").count().collect()) <= 4
+    assert module._groups(spark.createDataFrame([], "q_block int, v_block int"))[0] == 1
+
+
+def test_cells_run_the_embedder_once_a_text(spark, tmp_path):
+    seen = tmp_path / "texts"
+
+    def load():
+        def model(texts):
+            with open(seen, "a") as f:
+                f.writelines(t + "\n" for t in texts)
+            return [[len(t), 1.0] for t in texts]
+
+        return model
+
+    texts = spark.createDataFrame([(f"k{i}", "x" * i) for i in range(1, 60)], "key string, t string")
+    vectors = embed(texts, "t", batch_embedder(load))
+    q = spark.createDataFrame([(1, [3.0, 1.0]), (2, [50.0, 1.0])], Q)
+    got = knn(q, vectors, 1, "euclidean", dim=2, max_broadcast_queries=0, n_cells=4)
+    assert as_dict(got) == {(1, 1): ("k3", 0.0), (2, 1): ("k50", 0.0)}
+    assert sorted(map(len, seen.read_text().split())) == list(range(1, 60))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("limit", [np.inf, 0.3, 0.0, 1e9])
+@pytest.mark.parametrize("size", [1.0, 1e6])
+def test_kept_of_tables_one_after_the_other(metric, limit, size):
+    """Tables larger than a tile, with ties that the key decides, some queries seen alone."""
+    v, q = clusters(2000) * size, np.vstack([clusters(600, seed=5), clusters(2000)[:20]]) * size
+    keys = [f"k{i * 7919 % 2000}" for i in range(2000)]
+    table = module.pa.table({"key": keys, "embedding": module.pa.array(v.tolist(), module.pa.list_(module.pa.float32()))})
+    _, queries = module._scaled(module.pa.array(q.tolist(), module.pa.list_(module.pa.float32())), metric, 8)
+    kept = module._Kept(module.pa.array(np.arange(len(q))), queries, np.full(len(q), limit), 9, metric, ["key"])
+    for at in range(0, 2000, 700):
+        part = module._by_key(table.slice(at, 700))
+        rows, near = module._scaled(part["embedding"], metric, 8)
+        for some in (np.arange(0, len(q), 2), np.arange(1, len(q), 2)):
+            kept.see(part, rows, near, some)
+    got = sorted(r for b in kept.batches() for r in zip(*(b[c].to_pylist() for c in ("query_id", "distance", "key"))))
+    every = module._scaled(table["embedding"], metric, 8)[1]
+    expected = [
+        (i, d, key) for i, one in enumerate(queries)
+        for d, key in sorted(zip(module._gaps(np.tile(one, (2000, 1)), every, metric).tolist(), keys))[:9] if d <= limit
+    ]
+    assert got == sorted(expected)
+
+
 def test_gate_cutoff_and_metadata(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], Q)
     v = spark.createDataFrame([("a", [0.0, 1.0], "x"), ("b", [1.0, 0.1], "y")], V)
