@@ -9,6 +9,7 @@ from corpusflow.operators import conversation as conv
 from corpusflow.operators.embedding import Embedder
 from corpusflow.operators.prompts import HEADER_LINES, model_requests
 from corpusflow.plans.retrieve import retrieve_texts
+from corpusflow.session import materialize
 
 
 def open_turns(requests: DataFrame) -> DataFrame:
@@ -66,7 +67,8 @@ def chat_requests(
     if rewrites is not None:
         texts = conv.merge_rewrites(past, rewrites, ["turn_id"])
     queries = texts.select(F.col("turn_id").alias("query_id"), F.col("search_text").alias("query"))
-    sources = retrieve_texts(queries, vectors, embedder, **options)
+    # Written once: the requests have them, and the responses again.
+    sources = materialize(retrieve_texts(queries, vectors, embedder, **options), "chat-sources")
     asked = past.select(F.col("turn_id").alias("query_id"), "content", "history")
     return model_requests(asked, sources, base, header_lines), sources
 

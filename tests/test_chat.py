@@ -51,3 +51,17 @@ def test_the_log_is_cut_before_the_shuffle(spark, tmp_path):
     turns = chat.open_turns(spark.createDataFrame([("r", "s", 0, "m", AT)], REQUESTS))
     plan = chat.with_past(spark.read.schema(LOG).parquet(path), turns)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_sources_are_searched_once(spark):
+    """The requests and the responses read what the search has written."""
+    log = spark.createDataFrame([("s", 0, "user", "m", None, None)], LOG)
+    turns = chat.open_turns(spark.createDataFrame([("r1", "s", 0, "cats", AT)], REQUESTS))
+    docs = spark.createDataFrame([("cats.md", "cats purr"), ("tax.md", "income tax")], "filename string, content string")
+    e = hashing_embedder(128)
+    requests, sources = chat.chat_requests(log, turns, embed_documents(docs, e), F.lit("B"), None, e, dim=128)
+    _, responses = chat.close_turns(log, turns, sources, spark.createDataFrame([("r1", "a1", AT)], "turn_id string, answer string, answered_at timestamp_ntz"))
+    for df in (requests, responses):
+        assert "InArrow" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [[s.title for s in r.sources] for r in responses.collect()] == [["cats", "tax"]]
+    assert "[S1] cats" in requests.first().system[0].text
